@@ -194,7 +194,7 @@ _counts: dict[tuple[str, str], int] = {}
 
 def _needed(sql: str, found: dict[str, None]) -> dict[str, None]:
     """Names of the fixture and raw tables ``sql`` reads, dependencies first."""
-    for name in re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql):
+    for name in re.findall(r"(?:FROM|JOIN)\s+\(?(\w+)", sql):
         if name in FIXTURES and name not in found:
             _needed(FIXTURES[name], found)
             found[name] = None
