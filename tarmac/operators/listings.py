@@ -223,7 +223,7 @@ def admin_flights_total(
 # Bookings
 
 
-def _on_flights(bookings: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
+def on_flights(bookings: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Bookings with their flight and airports. Flights meet the airports first: the booking rows move once."""
     places = with_airports(
         flights.select(
@@ -272,7 +272,7 @@ def user_bookings(
     status: str | None = None,
 ) -> DataFrame:
     """Bookings of a user with flight and airports, newest first; ``status`` 'all' filters nothing."""
-    found = _on_flights(_of(bookings, user_id, status), flights, airports).select(*BOOKING_COLUMNS, *_flight_part())
+    found = on_flights(_of(bookings, user_id, status), flights, airports).select(*BOOKING_COLUMNS, *_flight_part())
     order = [F.desc("booking_date"), F.desc("booking_id")]
     return found.orderBy(*order) if user_id is not None else found.orderBy("user_id", *order)
 
@@ -281,7 +281,7 @@ def admin_bookings(
     bookings: DataFrame, users: DataFrame, flights: DataFrame, airports: DataFrame, status: str | None = None
 ) -> DataFrame:
     """Bookings of all users with the user's name and e-mail, newest first."""
-    found = _with_user(_on_flights(_of(bookings, None, status), flights, airports), users)
+    found = _with_user(on_flights(_of(bookings, None, status), flights, airports), users)
     return found.select(
         *BOOKING_COLUMNS, "user_first_name", "user_last_name", "user_email", *_flight_part()
     ).orderBy(F.desc("booking_date"), F.desc("booking_id"))
@@ -297,7 +297,7 @@ def booking_detail(
 ) -> DataFrame:
     """A booking with flight and airports; ``user_id`` admits its owner only, ``users`` adds the user's columns."""
     found = bookings if booking_id is None else bookings.where(F.col("booking_id") == booking_id)
-    found = _on_flights(_of(found, user_id, None), flights, airports)
+    found = on_flights(_of(found, user_id, None), flights, airports)
     columns = [*BOOKING_COLUMNS, *_flight_part()]
     if users is not None:
         found = _with_user(found, users)
@@ -320,8 +320,13 @@ def booking_passenger_detail(detail: DataFrame, booking_passengers: DataFrame, p
     return detail.join(rows, "booking_id", "left")
 
 
-def nested_passengers(booking_passengers: DataFrame, passengers: DataFrame, array_rows: int = MAX_SEATS) -> DataFrame:
-    """Passengers of a booking as arrays of structs ordered by booking_passenger_id.
+def nested_passengers(
+    booking_passengers: DataFrame,
+    passengers: DataFrame,
+    array_rows: int = MAX_SEATS,
+    order: tuple[str, ...] = ("booking_passenger_id",),
+) -> DataFrame:
+    """Passengers of a booking as arrays of structs in ``order``.
 
     A booking has one row, ``part`` 0, unless it holds more than ``array_rows`` passengers; those are spread over
     several parts by a hash, so that no task gathers them all.
@@ -333,7 +338,7 @@ def nested_passengers(booking_passengers: DataFrame, passengers: DataFrame, arra
         .select("booking_id", parts.alias("parts"))
     )
     part = F.pmod(F.xxhash64("booking_passenger_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    item = F.struct("booking_passenger_id", F.struct(*PASSENGER_COLUMNS, "seat_number").alias("passenger"))
+    item = F.struct(*order, F.struct("booking_passenger_id", *PASSENGER_COLUMNS, "seat_number").alias("passenger"))
     return (
         passenger_rows(booking_passengers, passengers)
         .join(large, "booking_id", "left")

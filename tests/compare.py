@@ -75,7 +75,7 @@ if __name__ == "__main__":
             problems = differences(df, db, sql) if sql else []
             note = f"{df.count()} rows, no oracle" if not sql else "ok"
         except Exception as e:  # report and go on
-            problems, note = [f"{type(e).__name__}: {str(e)[:1500]}"], ""
+            problems, note = [f"{type(e).__name__}: {str(e)[:700]}"], ""
         bad += bool(problems)
         print(f"{name}: {'FAIL' if problems else note} {time.time() - start:.1f}s", *problems, sep="\n    ", flush=True)
     print("failed:", bad)
