@@ -245,3 +245,19 @@ def oracle(sql: str) -> str:
     if body.startswith("WITH "):
         return f"WITH {', '.join([*parts, body.removeprefix('WITH ')])}"
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The feed ``name`` as a stream over the events file; the other tables it reads are static."""
+    events = (
+        spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+        .option("pathGlobFilter", "events*.parquet")
+        .parquet(sf_dir)
+    )
+    events.createOrReplaceTempView("arriving_events")
+    parts = []
+    for needed in _needed(f"FROM {name}", {}):
+        body = f"SELECT * FROM parquet.`{sf_dir}/{needed}.parquet`" if needed in RAW else FIXTURES[needed]
+        body = "SELECT * FROM arriving_events" if needed == "events" else body
+        parts.append(f"{needed} AS ({_spark_text(spark, sf_dir, body)})")
+    return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")

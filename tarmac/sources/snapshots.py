@@ -1,0 +1,66 @@
+"""Snapshots: the tables a job leaves, published together.
+
+A snapshot is written to a folder of its own and becomes visible with one appended manifest row, so readers see either
+all of its tables or none, and a job that dies half-way changes nothing.
+"""
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarmac.schemas import TABLES, conform
+
+MANIFEST = "version BIGINT, folder STRING"
+MONTH = "booking_month"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Version and folder of the newest published snapshot."""
+    try:
+        row = _manifest(spark, root).orderBy(F.desc("version"), "folder").first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return (row["version"], row["folder"]) if row else None
+
+
+def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> int:
+    """Write ``tables`` as the next version under ``root`` and return its number.
+
+    Bookings are laid out by booking month. Rows are rebalanced rather than hashed by month, so a month with a large
+    share of all bookings is written by several tasks.
+    """
+    root = root.rstrip("/")
+    newest = current(spark, root)
+    version = newest[0] + 1 if newest else 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        path = f"{root}/{folder}/{name}"
+        df = conform(df, name)
+        if name == "bookings":
+            df = df.withColumn(MONTH, F.date_format("booking_date", "yyyy-MM"))
+            df.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).parquet(path)
+        else:
+            df.write.parquet(path)
+    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(folder).alias("folder"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def read_snapshot(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of the newest snapshot; bookings carry ``booking_month`` as well, for pruning."""
+    root = root.rstrip("/")
+    newest = current(spark, root)
+    if newest is None:
+        raise FileNotFoundError(f"no snapshot published under {root}")
+    found = {}
+    for name in names or TABLES:
+        schema = f"{TABLES[name]}, {MONTH} STRING" if name == "bookings" else TABLES[name]
+        found[name] = spark.read.schema(schema).parquet(f"{root}/{newest[1]}/{name}")
+    return found
