@@ -47,7 +47,7 @@ CASE WHEN l.booking_id IS NULL THEN b.payment_status ELSE l.payment_status END A
 FROM bookings b LEFT JOIN last l ON l.booking_id = b.booking_id""",
 )
 def booking_changes_applied(changes, bookings):
-    outcome = bookings_feed.decide_changes(bookings, changes)
+    outcome = bookings_feed.decide_changes(bookings, changes).stored("booking-changes")
     new = bookings_feed.apply_changes(bookings, outcome.accepted)
     return new.select("booking_id", "status", "payment_status", "updated_at")
 
@@ -71,7 +71,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY change_ts DESC, change_
 SELECT u.user_id, coalesce(l.status, u.status) AS status, l.change_ts AS updated_at FROM users u LEFT JOIN last l ON l.user_id = u.user_id""",
 )
 def user_status_applied(changes, users):
-    accepted = feeds.user_status_changes(users, changes).accepted
+    accepted = feeds.user_status_changes(users, changes).stored("user-status").accepted
     return feeds.apply_user_status(users, accepted).select("user_id", "status", "updated_at")
 
 
@@ -136,7 +136,7 @@ def profile_updates(feed, users):
 {last_value('user_id', 'CAST(NULL AS VARCHAR)', 'has_address', 'address')} AS address, {updated('user_id')} FROM users b""",
 )
 def profiles_applied(feed, users):
-    accepted = feeds.profile_updates(users, _profile_changes(feed), AS_OF).accepted
+    accepted = feeds.profile_updates(users, _profile_changes(feed), AS_OF).stored("profiles").accepted
     return feeds.apply_profiles(users, accepted).select("user_id", "first_name", "email", "address", "updated_at")
 
 
@@ -172,7 +172,7 @@ def aircraft_updates(feed, fleet):
 CAST({last_value('aircraft_id', 'b.capacity', 'has_capacity', 'capacity')} AS INTEGER) AS capacity, b.status FROM fleet b""",
 )
 def aircraft_applied(feed, fleet):
-    accepted = feeds.aircraft_updates(fleet, _aircraft_changes(feed)).accepted
+    accepted = feeds.aircraft_updates(fleet, _aircraft_changes(feed)).stored("aircraft").accepted
     new = feeds.apply_aircraft(fleet.withColumn("capacity", F.col("capacity").cast("int")), accepted)
     return new.select("aircraft_id", "model", "registration", "capacity", "status")
 
@@ -210,7 +210,7 @@ def flight_updates(feed, flights):
 {last_value('flight_id', 'b.base_price', 'has_base_price', 'base_price')} AS base_price, {updated('flight_id')} FROM flights b""",
 )
 def flights_applied(feed, flights):
-    accepted = feeds.flight_updates(flights, _flight_changes(feed)).accepted
+    accepted = feeds.flight_updates(flights, _flight_changes(feed)).stored("flights").accepted
     new = feeds.apply_flights(flights, accepted)
     return new.select(
         "flight_id", "flight_number", "departure_datetime", "arrival_datetime", "base_price", "updated_at"
@@ -257,7 +257,7 @@ def delete_flights(requests, flights, bookings):
     f"WITH {FLIGHT_DELETES} SELECT flight_id, flight_number FROM flights WHERE flight_id NOT IN (SELECT flight_id FROM d WHERE reasons = '')",
 )
 def flights_left(requests, flights, bookings):
-    accepted = feeds.delete_flights(requests, flights, bookings).accepted
+    accepted = feeds.delete_flights(requests, flights, bookings).stored("deletes").accepted
     return feeds.without(flights, accepted, "flight_id").select("flight_id", "flight_number")
 
 
@@ -272,5 +272,5 @@ def delete_aircraft(requests, aircraft, flights):
 WHERE aircraft_id NOT IN (SELECT aircraft_id FROM d WHERE reasons = '')""",
 )
 def aircraft_left(requests, aircraft, flights):
-    accepted = feeds.delete_aircraft(requests, aircraft, flights).accepted
+    accepted = feeds.delete_aircraft(requests, aircraft, flights).stored("deletes").accepted
     return feeds.without(aircraft, accepted, "aircraft_id").select("aircraft_id", "registration")

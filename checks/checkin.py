@@ -56,7 +56,7 @@ def checkin_passengers(requests, bookings, flights, airports, booking_passengers
 
     outcome = checkin.checkin_eligibility(
         requests, bookings, flights, airports, booking_passengers, passengers, check_ins, NOW
-    )
+    ).stored("eligible")
     nested = checkin.eligible_with_passengers(outcome.accepted, booking_passengers, passengers)
     return nested.select("request_id", "booking_id", text("passengers", "last_name", "first_name", "booking_passenger_id"))
 
@@ -106,4 +106,5 @@ LEFT JOIN d ON d.booking_id = s.booking_id AND d.reasons = ''""",
 )
 def confirmed_seats(feed, bookings, flights, booking_passengers, check_ins):
     outcome = checkin.confirm_checkins(_requests(feed), bookings, flights, booking_passengers, check_ins, NOW)
+    outcome = outcome.stored("confirmed")
     return checkin.with_seats(booking_passengers, checkin.seat_updates(outcome.accepted, booking_passengers))

@@ -15,6 +15,7 @@ from tarmac.functions.expr import OPEN_FLIGHT, booking_reference, class_price
 from tarmac.functions.rules import emptied, first_failure
 from tarmac.operators.listings import MAX_SEATS
 from tarmac.plans.airline import booked_seats
+from tarmac.plans.combine import asked_for
 from tarmac.plans.outcome import Outcome, is_ok
 
 SPREAD = 1024
@@ -28,7 +29,7 @@ def free_seats(
     on_sale = flights.where(F.col("status").isin(*OPEN_FLIGHT)).join(
         aircraft.select("aircraft_id", "capacity"), "aircraft_id"
     )
-    theirs = bookings.join(on_sale.select("flight_id"), "flight_id", "left_semi")
+    theirs = asked_for(bookings, on_sale, "flight_id")
     return on_sale.join(booked_seats(theirs, booking_passengers), "flight_id", "left").select(
         "flight_id",
         "base_price",
@@ -108,7 +109,8 @@ def admit_bookings(
     booking_passengers: DataFrame,
 ) -> Outcome:
     """Decide ``requests`` (request_id, request_ts, user_id, flight_id, class, n_seats or passengers) in time order."""
-    asked = priced_requests(requests, free_seats(flights, aircraft, bookings, booking_passengers))
+    wanted = asked_for(flights, requests, "flight_id")
+    asked = priced_requests(requests, free_seats(wanted, aircraft, bookings, booking_passengers))
     admitted = admitted_ids(asked).withColumn("admitted", F.lit(True))
     refused = is_ok() & F.col("admitted").isNull()
     decided = asked.join(admitted, "request_id", "left").withColumn(

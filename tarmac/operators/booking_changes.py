@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.rules import failures, first_failure
+from tarmac.plans.combine import asked_for
 from tarmac.plans.outcome import Outcome, is_ok
 
 # What each side may set.
@@ -100,7 +101,7 @@ def decide_changes(bookings: DataFrame, changes: DataFrame) -> Outcome:
     op is ``cancel`` (owner; not if cancelled or completed), ``user_status`` (owner) or ``admin_status`` (any booking,
     with an optional payment status).
     """
-    checked = with_booking(changes, bookings)
+    checked = with_booking(changes, asked_for(bookings, changes, "booking_id"))
     columns = ["change_id", "change_ts", "booking_id", "op", "status", "payment_status", "reasons"]
     valid = checked.where(is_ok()).select(*columns, "base_status")
     refused = F.when(F.col("op") == "cancel", refusal(F.col("status_before")))

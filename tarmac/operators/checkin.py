@@ -10,7 +10,8 @@ from tarmac.functions.expr import instant
 from tarmac.functions.rules import emptied, failures, first_failure, text
 from tarmac.operators.listings import nested_passengers, on_flights, passenger_rows
 from tarmac.plans.airline import passengers_per_booking
-from tarmac.plans.outcome import Outcome, is_ok
+from tarmac.plans.combine import asked_for
+from tarmac.plans.outcome import Outcome
 
 # The window before departure, boarding time and the gate where none is given.
 WINDOW_HOURS = 24
@@ -52,7 +53,7 @@ def checkin_eligibility(
     for failed, _ in rules.name_rules("last_name", F.col("last_name")):
         invalid = invalid | failed
 
-    wanted = bookings.join(asked.select("booking_reference"), "booking_reference", "left_semi")
+    wanted = asked_for(bookings, asked, "booking_reference")
     place = F.row_number().over(Window.partitionBy("booking_reference").orderBy("booking_id"))
     found = (
         on_flights(wanted, flights, airports)
@@ -60,14 +61,14 @@ def checkin_eligibility(
         .where(F.col("_place") == 1)
         .withColumnsRenamed({"from_airport_code": "from_code", "to_airport_code": "to_code"})
     )
-    theirs = booking_passengers.join(found.select("booking_id"), "booking_id", "left_semi")
+    theirs = asked_for(booking_passengers, wanted.where(F.col("status") == "confirmed"), "booking_id")
     names = (
         passenger_rows(theirs, passengers)
         .select("booking_id", F.lower("last_name").alias("lower_name"))
         .distinct()
         .withColumn("name_known", F.lit(True))
     )
-    first_check_in = check_ins.groupBy("booking_id").agg(F.min_by("status", "check_in_id").alias("check_in_status"))
+    first_check_in = asked_for(check_ins, wanted, "booking_id").groupBy("booking_id").agg(F.min_by("status", "check_in_id").alias("check_in_status"))
     hours = F.timestamp_diff("MILLISECOND", instant(now), F.col("departure_datetime")) / 3600000
     decided = (
         asked.withColumn("invalid", invalid)
@@ -123,7 +124,7 @@ def checkin_eligibility(
 
 def eligible_with_passengers(accepted: DataFrame, booking_passengers: DataFrame, passengers: DataFrame) -> DataFrame:
     """Eligible requests with the nested passengers of their booking, by last and first name."""
-    theirs = booking_passengers.join(accepted.select("booking_id"), "booking_id", "left_semi")
+    theirs = asked_for(booking_passengers, accepted, "booking_id")
     by_name = ("last_name", "first_name", "booking_passenger_id")
     return accepted.join(nested_passengers(theirs, passengers, order=by_name), "booking_id")
 
@@ -144,15 +145,14 @@ def confirm_checkins(
     seats = F.col("seat_numbers")
     no_seats = F.coalesce(F.size(seats), F.lit(0)) <= 0
     blank_seat = F.exists(seats, lambda s: text(s) == "")
-    ids = requests.select("booking_id").distinct()
-    checked_in = check_ins.select("booking_id").distinct().withColumn("checked_in", F.lit(True))
+    checked_in = asked_for(check_ins, requests, "booking_id").select("booking_id").distinct().withColumn("checked_in", F.lit(True))
     departures = flights.select("flight_id", F.lit(True).alias("flight_known"), "departure_datetime")
     booking = (
-        bookings.select("booking_id", F.col("user_id").alias("owner_id"), "flight_id", "status")
-        .join(ids, "booking_id", "left_semi")
+        asked_for(bookings, requests, "booking_id")
+        .select("booking_id", F.col("user_id").alias("owner_id"), "flight_id", "status")
         .join(departures, "flight_id", "left")
         .join(checked_in, "booking_id", "left")
-        .join(passengers_per_booking(booking_passengers), "booking_id", "left")
+        .join(passengers_per_booking(asked_for(booking_passengers, requests, "booking_id")), "booking_id", "left")
     )
     asked = requests.join(booking, "booking_id", "left").withColumns(
         {
@@ -213,7 +213,7 @@ def seat_updates(accepted: DataFrame, booking_passengers: DataFrame) -> DataFram
 
     Passengers are numbered within accepted bookings only, which have as many as the request has seats.
     """
-    theirs = booking_passengers.join(accepted.select("booking_id"), "booking_id", "left_semi")
+    theirs = asked_for(booking_passengers, accepted, "booking_id")
     place = F.row_number().over(Window.partitionBy("booking_id").orderBy("booking_passenger_id")) - 1
     numbered = theirs.select("booking_id", "booking_passenger_id", place.alias("pos"))
     seats = accepted.select("booking_id", F.posexplode("seat_numbers").alias("pos", "seat"))

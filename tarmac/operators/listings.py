@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.expr import OPEN_FLIGHT, class_price, day, lenient_int
 from tarmac.plans.airline import booked_seats, passengers_per_booking, with_aircraft, with_airports
+from tarmac.plans.combine import asked_for
 
 # Page sizes of the flight administration, and the most seats one aircraft may have.
 DEFAULT_LIMIT, MAX_LIMIT = 50, 100
@@ -64,7 +65,7 @@ def _codes(*names: str) -> list[Column | str]:
 def _available(df: DataFrame, bookings: DataFrame, booking_passengers: DataFrame, few: bool) -> DataFrame:
     """Free seats of the flights in ``df``; ``few`` restricts the seat count to their bookings first."""
     if few:
-        bookings = bookings.join(df.select("flight_id"), "flight_id", "left_semi")
+        bookings = asked_for(bookings, df, "flight_id")
     free = F.col("capacity") - F.coalesce("booked_seats", F.lit(0))
     return df.join(booked_seats(bookings, booking_passengers), "flight_id", "left").withColumn(
         "available_seats", F.greatest(F.lit(0), free).cast("long")
@@ -351,7 +352,7 @@ def nested_passengers(
 
 def booking_with_passengers(detail: DataFrame, booking_passengers: DataFrame, passengers: DataFrame) -> DataFrame:
     """Booking details with the nested passengers; an empty array where there are none."""
-    wanted = booking_passengers.join(detail.select("booking_id"), "booking_id", "left_semi")
+    wanted = asked_for(booking_passengers, detail, "booking_id")
     nested = nested_passengers(wanted, passengers)
     return (
         detail.join(nested, "booking_id", "left")

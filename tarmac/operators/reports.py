@@ -26,7 +26,7 @@ from tarmac.plans.airline import (
     with_aircraft,
     with_airports,
 )
-from tarmac.plans.combine import as_array, one_row
+from tarmac.plans.combine import as_array, asked_for, one_row
 
 TREND_MONTHS = 6
 
@@ -383,7 +383,7 @@ def hot_flights(
         .orderBy(F.desc("booking_count"), F.desc("total_revenue"), "flight_id")
         .limit(k)
     )
-    seats = booked_seats(bookings.join(top.select("flight_id"), "flight_id", "left_semi"), booking_passengers)
+    seats = booked_seats(asked_for(bookings, top, "flight_id"), booking_passengers)
     booked = F.coalesce("booked_seats", F.lit(0))
     return (
         top.join(seats, "flight_id", "left")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tarmac.functions import rules
 from tarmac.functions.expr import PRICE, blank, lenient_int
 from tarmac.functions.rules import emptied, failures, first_failure, given_rules, text
-from tarmac.plans.outcome import Outcome, is_ok, reject_taken
+from tarmac.plans.combine import asked_for
+from tarmac.plans.outcome import Outcome, reject_taken
 
 
 def register_users(requests: DataFrame, users: DataFrame, as_of: date | str) -> Outcome:
@@ -141,7 +142,7 @@ def create_flights(requests: DataFrame, flights: DataFrame) -> Outcome:
         .agg(F.min("request_id").alias("first_id"))
     )
     holders = (
-        flights.select("flight_number", F.lit(None).cast("long").alias("first_id"), F.lit(True).alias("in_base"))
+        asked_for(flights, checked, "flight_number").select("flight_number", F.lit(None).cast("long").alias("first_id"), F.lit(True).alias("in_base"))
         .unionByName(first.withColumn("in_base", F.lit(False)))
         .groupBy("flight_number")
         .agg(F.min("first_id").alias("first_id"), F.bool_or("in_base").alias("in_base"))

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from tarmac.functions import rules
 from tarmac.functions.expr import PRICE, lenient_int
 from tarmac.functions.rules import emptied, failures, first_failure, given_rules, text
+from tarmac.plans.combine import asked_for
 from tarmac.plans.outcome import Outcome, is_ok
-from tarmac.plans.updates import apply_last, key, with_conflict
+from tarmac.plans.updates import apply_last, with_conflict
 
 
 def user_status_changes(users: DataFrame, changes: DataFrame) -> Outcome:
     """Decide ``changes`` (change_id, change_ts, admin_id, user_id, status); the first failing check is the reason."""
     status = F.col("status")
     off = status != "active"
-    roles = users.select("user_id", F.lit(True).alias("known"), "role")
+    roles = asked_for(users, changes, "user_id").select("user_id", F.lit(True).alias("known"), "role")
     decided = changes.join(roles, "user_id", "left").withColumn(
         "reasons",
         first_failure(
@@ -66,7 +67,7 @@ def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) ->
     some = given["first_name"]
     for name in PROFILE_FIELDS[1:]:
         some = some | given[name]
-    known = users.select("user_id", F.lit(True).alias("known"))
+    known = asked_for(users, changes, "user_id").select("user_id", F.lit(True).alias("known"))
     checked = changes.join(known, "user_id", "left").select(
         "change_id",
         "change_ts",
@@ -103,7 +104,7 @@ def aircraft_updates(aircraft: DataFrame, changes: DataFrame) -> Outcome:
         *given_rules(given["status"], [rules.domain_rule("status", raw["status"], rules.AIRCRAFT_STATUS)]),
     )
     some = given["model"] | given["registration"] | given["capacity"] | given["status"]
-    known = aircraft.select("aircraft_id", F.lit(True).alias("known"))
+    known = asked_for(aircraft, changes, "aircraft_id").select("aircraft_id", F.lit(True).alias("known"))
     unknown = first_failure((F.col("known").isNull(), "aircraft_not_found"))
     checked = changes.join(known, "aircraft_id", "left").select(
         "change_id",
@@ -163,7 +164,7 @@ def flight_updates(flights: DataFrame, changes: DataFrame) -> Outcome:
         some = some | given[name]
         unreadable = unreadable | (given[name] & value[name].isNull())
     both = given["departure_datetime"] & given["arrival_datetime"]
-    known = flights.select("flight_id", F.lit(True).alias("known"))
+    known = asked_for(flights, changes, "flight_id").select("flight_id", F.lit(True).alias("known"))
     checked = changes.join(known, "flight_id", "left").select(
         "change_id",
         "change_ts",
@@ -201,7 +202,7 @@ def _decided(checked: DataFrame, base: DataFrame, entity: str, unique: str, reas
 
 def _delete(requests: DataFrame, base: DataFrame, uses: DataFrame, entity: str, missing: str, blocked: str) -> Outcome:
     """Delete rows of ``base`` that ``uses`` does not count; only the first request for a row finds it."""
-    known = base.select(entity, F.lit(True).alias("known"))
+    known = asked_for(base, requests, entity).select(entity, F.lit(True).alias("known"))
     checked = (
         requests.join(known, entity, "left")
         .join(uses, entity, "left")
@@ -224,13 +225,13 @@ def delete_flights(requests: DataFrame, flights: DataFrame, bookings: DataFrame)
     ``uses`` of the decided rows is the number of those bookings.
     """
     live = bookings.where(~F.col("status").isin("cancelled", "completed"))
-    uses = live.groupBy("flight_id").agg(F.count("*").alias("uses"))
+    uses = asked_for(live, requests, "flight_id").groupBy("flight_id").agg(F.count("*").alias("uses"))
     return _delete(requests, flights, uses, "flight_id", "flight_not_found", "active_bookings")
 
 
 def delete_aircraft(requests: DataFrame, aircraft: DataFrame, flights: DataFrame) -> Outcome:
     """Decide deletes (request_id, aircraft_id); an aircraft any flight uses stays."""
-    uses = flights.groupBy("aircraft_id").agg(F.count("*").alias("uses"))
+    uses = asked_for(flights, requests, "aircraft_id").groupBy("aircraft_id").agg(F.count("*").alias("uses"))
     return _delete(requests, aircraft, uses, "aircraft_id", "aircraft_not_found", "used_by_flights")
 
 

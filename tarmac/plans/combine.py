@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def asked_for(base: DataFrame, requests: DataFrame, key: str, request_key: str | None = None) -> DataFrame:
+    """Rows of ``base`` that a batch of requests refers to.
+
+    A small batch is broadcast here, and the large table behind a lookup does not move for it.
+    """
+    wanted = requests.select(F.col(request_key or key).alias(key))
+    return base.join(wanted, key, "left_semi")
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Side-by-side columns of several one-row frames, without a join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -5,6 +5,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.plans.combine import asked_for
+from tarmac.sources.work import stored
+
 
 def is_ok() -> Column:
     return F.size("reasons") == 0
@@ -14,13 +17,16 @@ def is_ok() -> Column:
 class Outcome:
     """Every request with its ``reasons``; those without any are accepted.
 
-    ``decided`` is one plan; whoever needs both parts should write or checkpoint it first.
+    ``decided`` is one plan. ``stored`` computes it once, for whoever uses more than one part of it.
     """
 
     decided: DataFrame
     key: str
     columns: list[str]
 
+    def stored(self, name: str) -> "Outcome":
+        return Outcome(stored(self.decided, name), self.key, self.columns)
+
     @property
     def accepted(self) -> DataFrame:
         return self.decided.where(is_ok()).select(self.key, *self.columns)
@@ -46,12 +52,13 @@ def reject_taken(
     """
     earliest = F.min(F.struct(*order, key)).alias("_earliest")
     first = checked.where(is_ok()).groupBy(value).agg(earliest)
-    free = first.join(base.select(value), value, "left_anti").select(
+    taken = asked_for(base.select(value), first, value)
+    free = first.join(taken, value, "left_anti").select(
         F.col("_earliest")[key].alias(key), F.lit(True).alias("_free")
     )
-    taken = is_ok() & F.col("_free").isNull()
+    refused = is_ok() & F.col("_free").isNull()
     return (
         checked.join(free, key, "left")
-        .withColumn("reasons", F.when(taken, F.array(F.lit(reason))).otherwise(F.col("reasons")))
+        .withColumn("reasons", F.when(refused, F.array(F.lit(reason))).otherwise(F.col("reasons")))
         .drop("_free")
     )

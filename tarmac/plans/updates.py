@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.plans.combine import asked_for
+
 ORDER = ("change_ts", "change_id")
 
 
@@ -18,7 +20,8 @@ def with_conflict(checked: DataFrame, valid: Column, base: DataFrame, entity: st
     """
     claims = checked.where(valid & F.col(new_value).isNotNull()).groupBy(F.col(new_value).alias("_value"))
     first = claims.agg(F.min(F.struct(*ORDER, entity)).alias("_first"))
-    held = base.groupBy(F.col(value).alias("_value")).agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
+    wanted = checked.where(F.col(new_value).isNotNull())
+    held = asked_for(base, wanted, value, new_value).groupBy(F.col(value).alias("_value")).agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
     holders = (
         first.unionByName(held, allowMissingColumns=True)
         .groupBy("_value")
