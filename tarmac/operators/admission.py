@@ -30,7 +30,7 @@ def free_seats(
         aircraft.select("aircraft_id", "capacity"), "aircraft_id"
     )
     theirs = asked_for(bookings, on_sale, "flight_id")
-    return on_sale.join(booked_seats(theirs, booking_passengers), "flight_id", "left").select(
+    return on_sale.join(booked_seats(theirs, booking_passengers, few=True), "flight_id", "left").select(
         "flight_id",
         "base_price",
         "business_price",

@@ -67,7 +67,7 @@ def _available(df: DataFrame, bookings: DataFrame, booking_passengers: DataFrame
     if few:
         bookings = asked_for(bookings, df, "flight_id")
     free = F.col("capacity") - F.coalesce("booked_seats", F.lit(0))
-    return df.join(booked_seats(bookings, booking_passengers), "flight_id", "left").withColumn(
+    return df.join(booked_seats(bookings, booking_passengers, few), "flight_id", "left").withColumn(
         "available_seats", F.greatest(F.lit(0), free).cast("long")
     )
 

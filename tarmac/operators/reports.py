@@ -27,6 +27,7 @@ from tarmac.plans.airline import (
     with_airports,
 )
 from tarmac.plans.combine import as_array, asked_for, one_row
+from tarmac.sources.work import stored
 
 TREND_MONTHS = 6
 
@@ -367,7 +368,8 @@ def hot_flights(
     """The ``k`` most booked flights departing on or after ``as_of``, with their occupancy.
 
     Confirmed bookings rank the flights; seats of every booking that is not cancelled fill them. Seats are counted
-    for the ``k`` flights only.
+    for the ``k`` flights only. Those, and then their bookings, are stored, so that Spark knows their size when it
+    plans the next join and the large tables are filtered where they lie if it is small.
     """
     coming = flights.where(F.col("departure_datetime") >= midnight(day(as_of)))
     per_flight = (
@@ -383,7 +385,9 @@ def hot_flights(
         .orderBy(F.desc("booking_count"), F.desc("total_revenue"), "flight_id")
         .limit(k)
     )
-    seats = booked_seats(asked_for(bookings, top, "flight_id"), booking_passengers)
+    top = stored(top, "hot-flights")
+    theirs = stored(asked_for(bookings, top, "flight_id").select("booking_id", "flight_id", "status"), "hot-bookings")
+    seats = booked_seats(theirs, booking_passengers, few=True)
     booked = F.coalesce("booked_seats", F.lit(0))
     return (
         top.join(seats, "flight_id", "left")

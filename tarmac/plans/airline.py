@@ -65,9 +65,15 @@ def passengers_per_booking(booking_passengers: DataFrame) -> DataFrame:
     return booking_passengers.groupBy("booking_id").agg(F.count("*").alias("passenger_count"))
 
 
-def booked_seats(bookings: DataFrame, booking_passengers: DataFrame) -> DataFrame:
-    """Seats taken per flight: passenger rows of bookings that are not cancelled."""
+def booked_seats(bookings: DataFrame, booking_passengers: DataFrame, few: bool = False) -> DataFrame:
+    """Seats taken per flight: passenger rows of bookings that are not cancelled.
+
+    ``few`` says that ``bookings`` are a small part of the table: they pick their passenger rows where those lie,
+    rather than wait for the counts of all bookings.
+    """
     held = bookings.where(F.col("status") != "cancelled").select("booking_id", "flight_id")
+    if few:
+        return booking_passengers.join(held, "booking_id").groupBy("flight_id").agg(F.count("*").alias("booked_seats"))
     return (
         passengers_per_booking(booking_passengers)
         .join(held, "booking_id")
