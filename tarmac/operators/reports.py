@@ -27,6 +27,7 @@ from tarmac.plans.airline import (
     with_airports,
 )
 from tarmac.plans.combine import as_array, asked_for, one_row
+from tarmac.schemas import BOOKING_MONTH
 from tarmac.sources.work import stored
 
 TREND_MONTHS = 6
@@ -36,8 +37,26 @@ def _confirmed() -> Column:
     return F.col("status") == "confirmed"
 
 
+def _since(bookings: DataFrame, as_of: date | str, back: int) -> DataFrame:
+    """Skip the month partitions that end before the month ``back`` months before ``as_of``, where there are any."""
+    if BOOKING_MONTH not in bookings.columns:
+        return bookings
+    return bookings.where(F.col(BOOKING_MONTH) >= F.date_format(F.add_months(day(as_of), -back), "yyyy-MM"))
+
+
+def _until(bookings: DataFrame, as_of: date | str) -> DataFrame:
+    """Skip the month partitions that begin after the month of ``as_of``, where there are any."""
+    if BOOKING_MONTH not in bookings.columns:
+        return bookings
+    return bookings.where(F.col(BOOKING_MONTH) <= F.date_format(day(as_of), "yyyy-MM"))
+
+
+def _this_month(bookings: DataFrame, as_of: date | str) -> DataFrame:
+    return _until(_since(bookings, as_of, 0), as_of).where(in_month(F.col("booking_date"), as_of))
+
+
 def _by_month(bookings: DataFrame, as_of: date | str, **totals: Column) -> DataFrame:
-    recent = bookings.where(since_months(F.col("booking_date"), as_of, TREND_MONTHS))
+    recent = _since(bookings, as_of, TREND_MONTHS).where(since_months(F.col("booking_date"), as_of, TREND_MONTHS))
     return (
         recent.groupBy(F.date_format("booking_date", "yyyy-MM").alias("month"))
         .agg(*[c.alias(n) for n, c in totals.items()])
@@ -53,7 +72,7 @@ def total_revenue(bookings: DataFrame) -> DataFrame:
 
 
 def monthly_revenue(bookings: DataFrame, as_of: date | str) -> DataFrame:
-    return total_revenue(bookings.where(in_month(F.col("booking_date"), as_of)))
+    return total_revenue(_this_month(bookings, as_of))
 
 
 def revenue_by_route(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 5) -> DataFrame:
@@ -78,7 +97,7 @@ def revenue_trend(bookings: DataFrame, as_of: date | str) -> DataFrame:
 
 def _two_months(bookings: DataFrame, as_of: date | str) -> DataFrame:
     ts = F.col("booking_date")
-    return bookings.where(in_month(ts, as_of) | in_month(ts, as_of, back=1))
+    return _until(_since(bookings, as_of, 1), as_of).where(in_month(ts, as_of) | in_month(ts, as_of, back=1))
 
 
 def revenue_growth(bookings: DataFrame, as_of: date | str) -> DataFrame:
@@ -118,7 +137,7 @@ def confirmed_bookings(bookings: DataFrame) -> DataFrame:
 
 
 def monthly_confirmed_bookings(bookings: DataFrame, as_of: date | str) -> DataFrame:
-    return confirmed_bookings(bookings.where(in_month(F.col("booking_date"), as_of)))
+    return confirmed_bookings(_this_month(bookings, as_of))
 
 
 def all_bookings_counts(bookings: DataFrame, as_of: date | str) -> DataFrame:

@@ -36,6 +36,9 @@ TABLES = {
     ),
 }
 
+# The partition column of stored bookings: the month of booking_date as yyyy-MM.
+BOOKING_MONTH = "booking_month"
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """``df`` with exactly the columns of ``table``: cast to the declared types, nulls where it has none."""

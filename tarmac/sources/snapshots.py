@@ -9,10 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.schemas import TABLES, conform
+from tarmac.schemas import BOOKING_MONTH, TABLES, conform
 
 MANIFEST = "version BIGINT, folder STRING"
-MONTH = "booking_month"
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -44,8 +43,8 @@ def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str)
         path = f"{root}/{folder}/{name}"
         df = conform(df, name)
         if name == "bookings":
-            df = df.withColumn(MONTH, F.date_format("booking_date", "yyyy-MM"))
-            df.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).parquet(path)
+            df = df.withColumn(BOOKING_MONTH, F.date_format("booking_date", "yyyy-MM"))
+            df.hint("rebalance", F.col(BOOKING_MONTH)).write.partitionBy(BOOKING_MONTH).parquet(path)
         else:
             df.write.parquet(path)
     row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(folder).alias("folder"))
@@ -61,6 +60,6 @@ def read_snapshot(spark: SparkSession, root: str, *names: str) -> dict[str, Data
         raise FileNotFoundError(f"no snapshot published under {root}")
     found = {}
     for name in names or TABLES:
-        schema = f"{TABLES[name]}, {MONTH} STRING" if name == "bookings" else TABLES[name]
+        schema = f"{TABLES[name]}, {BOOKING_MONTH} STRING" if name == "bookings" else TABLES[name]
         found[name] = spark.read.schema(schema).parquet(f"{root}/{newest[1]}/{name}")
     return found

@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.maxMetadataStringLength", "4000")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tarmac-checkpoint-"))
         .getOrCreate()
     )
