@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.expr import OPEN_FLIGHT, class_price, day, lenient_int
+from tarmac.plans import paging
 from tarmac.plans.airline import booked_seats, passengers_per_booking, with_aircraft, with_airports
 from tarmac.plans.combine import asked_for
 
@@ -184,23 +185,20 @@ def admin_flights_page(
 ) -> DataFrame:
     """One page of flights, latest departure first; ``search`` is a literal part of a number, city or airport name."""
     page, limit = page_bounds(page, limit)
-    return (
-        with_aircraft(_matching_flights(flights, airports, search), aircraft)
-        .select(
-            *FLIGHT_COLUMNS,
-            "aircraft_model",
-            "capacity",
-            "from_name",
-            "from_city",
-            "from_country",
-            "to_name",
-            "to_city",
-            "to_country",
-        )
-        .orderBy(F.desc("departure_datetime"), "flight_id")
-        .offset((page - 1) * limit)
-        .limit(limit)
+    found = with_aircraft(_matching_flights(flights, airports, search), aircraft).select(
+        *FLIGHT_COLUMNS,
+        "aircraft_model",
+        "capacity",
+        "from_name",
+        "from_city",
+        "from_country",
+        "to_name",
+        "to_city",
+        "to_country",
     )
+    order = [F.desc("departure_datetime"), F.asc("flight_id")]
+    buckets = [*paging.latest_first("departure_datetime"), paging.id_block("flight_id")]
+    return paging.page(found, order, buckets, (page - 1) * limit, limit)
 
 
 def admin_flights_total(
