@@ -8,6 +8,7 @@ from checks.requests import coded, name_rules
 from fixtures import AS_OF
 from tarmac.operators import booking_changes as bookings_feed
 from tarmac.operators import table_changes as feeds
+from tarmac.sources.work import stored
 
 # Bookings: the changes of a booking one after the other
 STATIC = """CASE WHEN c.op = 'user_status' AND (c.status IS NULL OR c.status NOT IN ('completed', 'missed', 'cancelled')) THEN 'invalid_status'
@@ -75,7 +76,7 @@ def user_status_applied(changes, users):
     return feeds.apply_user_status(users, accepted).select("user_id", "status", "updated_at")
 
 
-# Partial updates
+# Partial updates. The feeds are stored first: a map that arrives in a table is read, not built anew for every use.
 def as_map(*fields: tuple[str, str, str]) -> Column:
     """(key, flag, value) columns as a map without the keys whose flag is 0."""
     entries = [
@@ -121,7 +122,7 @@ def _profile_changes(feed):
         ("email", "has_email", "email"),
         ("address", "has_address", "address"),
     )
-    return feed.select("change_id", "change_ts", "user_id", changes)
+    return stored(feed.select("change_id", "change_ts", "user_id", changes), "profile-feed")
 
 
 @check("profile_feed users", f"WITH {PROFILES} SELECT change_id, reasons FROM d")
@@ -157,7 +158,7 @@ def _aircraft_changes(feed):
         ("registration", "has_registration", "registration"),
         ("capacity", "has_capacity", "capacity"),
     )
-    return feed.select("change_id", "change_ts", "aircraft_id", changes)
+    return stored(feed.select("change_id", "change_ts", "aircraft_id", changes), "aircraft-feed")
 
 
 @check("aircraft_feed fleet", f"WITH {AIRCRAFT} SELECT change_id, reasons FROM d")
@@ -194,7 +195,7 @@ def _flight_changes(feed):
         ("arrival_datetime", "has_times", "arrival_datetime"),
         ("base_price", "has_base_price", "base_price"),
     )
-    return feed.select("change_id", "change_ts", "flight_id", changes)
+    return stored(feed.select("change_id", "change_ts", "flight_id", changes), "flight-feed")
 
 
 @check("flight_feed flights", f"WITH {FLIGHTS} SELECT change_id, reasons FROM d")

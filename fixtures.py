@@ -10,7 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.schemas import TABLES, conform
 
-RAW = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
+RAW = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
 
 # Parameters every check uses.
 AS_OF = "2001-07-15"
@@ -222,13 +237,27 @@ def _spark_text(spark: SparkSession, sf_dir: str, sql: str) -> str:
     return _COUNT.sub(literal, sql).replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("'O''Neil'", '"O\'Neil"')
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture table or feed ``name`` as a DataFrame over the parquet files in ``sf_dir``."""
+def _raw_view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    view = re.sub(r"\W", "_", f"given{sf_dir}_{name}")
+    if not spark.catalog.tableExists(view):
+        spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+    return view
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, **views: str) -> DataFrame:
     parts = []
     for needed in _needed(f"FROM {name}", {}):
-        body = f"SELECT * FROM parquet.`{sf_dir}/{needed}.parquet`" if needed in RAW else FIXTURES[needed]
-        parts.append(f"{needed} AS ({_spark_text(spark, sf_dir, body)})")
-    df = spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
+        if needed in RAW:
+            body = f"SELECT * FROM {views.get(needed) or _raw_view(spark, sf_dir, needed)}"
+        else:
+            body = _spark_text(spark, sf_dir, FIXTURES[needed])
+        parts.append(f"{needed} AS ({body})")
+    return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The fixture table or feed ``name`` as a DataFrame over the parquet files in ``sf_dir``."""
+    df = _derived(spark, sf_dir, name)
     return conform(df, name) if name in TABLES else df
 
 
@@ -249,15 +278,6 @@ def oracle(sql: str) -> str:
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The feed ``name`` as a stream over the events file; the other tables it reads are static."""
-    events = (
-        spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .parquet(sf_dir)
-    )
-    events.createOrReplaceTempView("arriving_events")
-    parts = []
-    for needed in _needed(f"FROM {name}", {}):
-        body = f"SELECT * FROM parquet.`{sf_dir}/{needed}.parquet`" if needed in RAW else FIXTURES[needed]
-        body = "SELECT * FROM arriving_events" if needed == "events" else body
-        parts.append(f"{needed} AS ({_spark_text(spark, sf_dir, body)})")
-    return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
+    arriving = spark.readStream.schema(RAW["events"]).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    arriving.createOrReplaceTempView("arriving_events")
+    return _derived(spark, sf_dir, name, events="arriving_events")

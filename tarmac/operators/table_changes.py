@@ -5,6 +5,7 @@ empty text or null through it clears it.
 """
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,20 @@ def apply_user_status(users: DataFrame, accepted: DataFrame) -> DataFrame:
     return apply_last(users, accepted.withColumn("has_status", F.lit(True)), "user_id", ["status"])
 
 
-def _given(name: str) -> Column:
-    return F.coalesce(F.map_contains_key("changes", name), F.lit(False))
+def _opened(changes: DataFrame, base: DataFrame, entity: str, keys: dict[str, str]) -> DataFrame:
+    """Changes with the map opened: ``raw_<field>``, whether it was there, and whether the row to change exists."""
+    known = asked_for(base, changes, entity).select(entity, F.lit(True).alias("known"))
+    return changes.select(
+        "change_id",
+        "change_ts",
+        entity,
+        *[F.coalesce(F.map_contains_key("changes", k), F.lit(False)).alias(f"has_{f}") for f, k in keys.items()],
+        *[F.col("changes")[k].alias(f"raw_{f}") for f, k in keys.items()],
+    ).join(known, entity, "left")
 
 
-def _raw(name: str) -> Column:
-    return F.col("changes")[name]
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 # Profiles
@@ -55,7 +64,7 @@ PROFILE_FIELDS = ["first_name", "last_name", "email", "phone", "date_of_birth",
 def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) -> Outcome:
     """Decide profile updates (change_id, change_ts, user_id, changes); e-mails stay unique."""
     keys = dict(zip(PROFILE_FIELDS, ["firstName", "lastName", "email", "phone", "dateOfBirth", "address"], strict=True))
-    given, raw = {f: _given(k) for f, k in keys.items()}, {f: _raw(k) for f, k in keys.items()}
+    given, raw = {f: F.col(f"has_{f}") for f in keys}, {f: F.col(f"raw_{f}") for f in keys}
     early = failures(
         *given_rules(given["first_name"], rules.name_rules("first_name", raw["first_name"])),
         *given_rules(given["last_name"], rules.name_rules("last_name", raw["last_name"])),
@@ -64,15 +73,11 @@ def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) ->
         *rules.birth_rules(raw["date_of_birth"], given["date_of_birth"], as_of),
         rules.length_rule("address", raw["address"], rules.ADDRESS_LENGTH),
     )
-    some = given["first_name"]
-    for name in PROFILE_FIELDS[1:]:
-        some = some | given[name]
-    known = asked_for(users, changes, "user_id").select("user_id", F.lit(True).alias("known"))
-    checked = changes.join(known, "user_id", "left").select(
+    checked = _opened(changes, users, "user_id", keys).select(
         "change_id",
         "change_ts",
         "user_id",
-        *[given[f].alias(f"has_{f}") for f in PROFILE_FIELDS],
+        *given.values(),
         text(raw["first_name"]).alias("first_name"),
         text(raw["last_name"]).alias("last_name"),
         F.when(given["email"], rules.normal_email(raw["email"])).alias("email"),
@@ -80,7 +85,7 @@ def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) ->
         rules.parsed_date(raw["date_of_birth"]).alias("date_of_birth"),
         emptied(text(raw["address"])).alias("address"),
         F.when(F.col("known").isNull(), F.array(F.lit("user_not_found"))).otherwise(early).alias("early"),
-        first_failure((~some, "no_fields")).alias("late"),
+        first_failure((~_any(list(given.values())), "no_fields")).alias("late"),
     )
     return _decided(checked, users, "user_id", "email", "email_taken", PROFILE_FIELDS)
 
@@ -96,27 +101,26 @@ AIRCRAFT_FIELDS = ["model", "registration", "capacity", "status"]
 
 def aircraft_updates(aircraft: DataFrame, changes: DataFrame) -> Outcome:
     """Decide aircraft updates (change_id, change_ts, aircraft_id, changes); registrations stay unique."""
-    given, raw = {f: _given(f) for f in AIRCRAFT_FIELDS}, {f: _raw(f) for f in AIRCRAFT_FIELDS}
+    keys = {f: f for f in AIRCRAFT_FIELDS}
+    given, raw = {f: F.col(f"has_{f}") for f in keys}, {f: F.col(f"raw_{f}") for f in keys}
     invalid = failures(
         *given_rules(given["model"], rules.model_rules(raw["model"])),
         *given_rules(given["registration"], rules.registration_rules(raw["registration"])),
         *given_rules(given["capacity"], [rules.capacity_rule(raw["capacity"])]),
         *given_rules(given["status"], [rules.domain_rule("status", raw["status"], rules.AIRCRAFT_STATUS)]),
     )
-    some = given["model"] | given["registration"] | given["capacity"] | given["status"]
-    known = asked_for(aircraft, changes, "aircraft_id").select("aircraft_id", F.lit(True).alias("known"))
     unknown = first_failure((F.col("known").isNull(), "aircraft_not_found"))
-    checked = changes.join(known, "aircraft_id", "left").select(
+    checked = _opened(changes, aircraft, "aircraft_id", keys).select(
         "change_id",
         "change_ts",
         "aircraft_id",
-        *[given[f].alias(f"has_{f}") for f in AIRCRAFT_FIELDS],
+        *given.values(),
         text(raw["model"]).alias("model"),
         F.when(given["registration"], F.upper(text(raw["registration"]))).alias("registration"),
         rules.whole_number(raw["capacity"]).try_cast("int").alias("capacity"),
         raw["status"].alias("status"),
         F.when(F.size(invalid) > 0, invalid).otherwise(unknown).alias("early"),
-        first_failure((~some, "no_fields")).alias("late"),
+        first_failure((~_any(list(given.values())), "no_fields")).alias("late"),
     )
     return _decided(checked, aircraft, "aircraft_id", "registration", "registration_taken", AIRCRAFT_FIELDS)
 
@@ -148,35 +152,28 @@ def flight_updates(flights: DataFrame, changes: DataFrame) -> Outcome:
     An empty text or 0 is no value, except for prices, where 0 is kept. The order of the dates is tested only if both
     are given.
     """
-    raw = {f: _raw(f) for f in FLIGHT_FIELDS}
-    given = {
-        f: raw[f].isNotNull() if f in PRICE_FIELDS else ~F.coalesce(raw[f], F.lit("")).isin("", "0")
-        for f in FLIGHT_FIELDS
-    }
-    value = dict(raw)
-    value["aircraft_id"] = lenient_int(raw["aircraft_id"])
+    raw = {f: F.col(f"raw_{f}") for f in FLIGHT_FIELDS}
+    value = {f: F.when(~raw[f].isin("", "0"), raw[f]) for f in FLIGHT_FIELDS if f not in PRICE_FIELDS}
+    given = {f: value.get(f, raw[f]).isNotNull().alias(f"has_{f}") for f in FLIGHT_FIELDS}
+    value["aircraft_id"] = lenient_int(value["aircraft_id"])
     for name in ("departure_datetime", "arrival_datetime"):
-        value[name] = raw[name].try_cast("timestamp_ntz")
+        value[name] = value[name].try_cast("timestamp_ntz")
     for name in PRICE_FIELDS:
         value[name] = raw[name].try_cast(PRICE)
-    some = unreadable = F.lit(False)
-    for name in FLIGHT_FIELDS:
-        some = some | given[name]
-        unreadable = unreadable | (given[name] & value[name].isNull())
-    both = given["departure_datetime"] & given["arrival_datetime"]
-    known = asked_for(flights, changes, "flight_id").select("flight_id", F.lit(True).alias("known"))
-    checked = changes.join(known, "flight_id", "left").select(
-        "change_id",
-        "change_ts",
-        "flight_id",
-        *[given[f].alias(f"has_{f}") for f in FLIGHT_FIELDS],
-        *[F.when(given[f], value[f]).alias(f) for f in FLIGHT_FIELDS],
-        first_failure((F.col("known").isNull(), "flight_not_found")).alias("early"),
-        first_failure(
-            (~some, "no_fields"),
-            (both & (value["arrival_datetime"] <= value["departure_datetime"]), "arrival_not_after_departure"),
-            (unreadable, "invalid_value"),
-        ).alias("late"),
+    opened = _opened(changes, flights, "flight_id", {f: f for f in FLIGHT_FIELDS}).select(
+        "change_id", "change_ts", "flight_id", "known", *given.values(), *[value[f].alias(f) for f in FLIGHT_FIELDS]
+    )
+    has = {f: F.col(f"has_{f}") for f in FLIGHT_FIELDS}
+    backwards = F.col("arrival_datetime") <= F.col("departure_datetime")
+    checked = opened.withColumns(
+        {
+            "early": first_failure((F.col("known").isNull(), "flight_not_found")),
+            "late": first_failure(
+                (~_any(list(has.values())), "no_fields"),
+                (has["departure_datetime"] & has["arrival_datetime"] & backwards, "arrival_not_after_departure"),
+                (_any([has[f] & F.col(f).isNull() for f in FLIGHT_FIELDS]), "invalid_value"),
+            ),
+        }
     )
     return _decided(checked, flights, "flight_id", "flight_number", "flight_number_taken", FLIGHT_FIELDS)
 

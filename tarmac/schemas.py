@@ -1,7 +1,6 @@
 """Table layouts: the eight airline tables and the request feeds the operators take in."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = {
@@ -42,7 +41,10 @@ BOOKING_MONTH = "booking_month"
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """``df`` with exactly the columns of ``table``: cast to the declared types, nulls where it has none."""
-    fields = T.StructType.fromDDL(TABLES[table]).fields
-    return df.select(
-        [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    present = set(df.columns)
+    return df.selectExpr(
+        [
+            f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in T.StructType.fromDDL(TABLES[table]).fields
+        ]
     )
