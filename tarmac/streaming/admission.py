@@ -4,12 +4,15 @@ Order is arrival order: micro-batch by micro-batch, and by (request_ts, request_
 the queue is cut before the requests of a flight meet. That takes two streams linked by a table: the first spreads
 each flight over ``SPREAD`` parts, and a part passes on no more requests of a size than the flight could ever seat;
 the second seats what was passed on.
+
+Only whole numbers go through Python: times as microseconds, and a request's other columns join its decision later.
 """
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,81 +21,93 @@ from tarmac.plans.outcome import is_ok
 from tarmac.sources.work import new_folder
 from tarmac.streaming.run import run_available
 
-SPREAD = 32
-DECISION = (
-    "request_id BIGINT, request_ts TIMESTAMP_NTZ, user_id BIGINT, flight_id BIGINT, class STRING, n_seats BIGINT, "
-    "total_amount DECIMAL(12,2), reason STRING"
-)
-QUEUE = DECISION + ", free BIGINT, arrived TIMESTAMP, queued BOOLEAN"
+SPREAD = 16
+DECISION = "request_id BIGINT, flight_id BIGINT, n_seats BIGINT, reason STRING"
+QUEUE = "arrived BIGINT, asked BIGINT, request_id BIGINT, flight_id BIGINT, n_seats BIGINT, free BIGINT, queued BOOLEAN"
 DECISION_COLUMNS = [c.split(" ")[0] for c in DECISION.split(", ")]
 QUEUE_COLUMNS = [c.split(" ")[0] for c in QUEUE.split(", ")]
-ORDER = ["arrived", "request_ts", "request_id"]
+NO_SEATS = "not_enough_seats"
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.iloc[np.lexsort([rows[c].to_numpy() for c in ("request_id", "asked", "arrived")])]
 
 
 def cut_queue(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Refuse what comes after the first ``free // n`` requests for n seats and queue the others.
+    """Queue the first ``free // n`` requests for n seats and no others.
 
     The state is how many of each size have been queued. Only those that may be are held in memory.
     """
-    passed = dict(zip(*state.get, strict=True)) if state.exists else {}
-    waiting = None
+    before = dict(zip(*state.get, strict=True)) if state.exists else {}
+    passed, waiting = before, None
     for batch in batches:
-        rows = batch if waiting is None else pd.concat([waiting, batch])
-        rows = rows.sort_values(ORDER)
-        room = rows["free"] // rows["n_seats"] - rows["n_seats"].map(passed).fillna(0)
-        fits = rows.groupby("n_seats").cumcount() < room
-        yield rows[~fits].assign(reason="not_enough_seats")[QUEUE_COLUMNS]
+        rows = _in_order(batch if waiting is None else pd.concat([waiting, batch]))
+        free, passed, fits = int(rows["free"].iloc[0]), dict(before), []
+        for n in rows["n_seats"].tolist():
+            count = passed.get(n, 0) + 1
+            fits.append(count * n <= free)
+            if fits[-1]:
+                passed[n] = count
+        fits = np.array(fits)
+        if not fits.all():
+            yield rows.loc[~fits, QUEUE_COLUMNS]
         waiting = rows[fits]
     if waiting is not None and len(waiting):
-        for size, count in waiting["n_seats"].value_counts().items():
-            passed[int(size)] = passed.get(int(size), 0) + int(count)
         state.update((list(passed), list(passed.values())))
-        yield waiting.assign(queued=True)[QUEUE_COLUMNS]
+        yield waiting[QUEUE_COLUMNS].assign(queued=True)
 
 
 def seat_queue(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Seat the queue of a flight in order. The cut bounds the queue by the seats of the flight."""
-    rows = pd.concat(list(batches)).sort_values(ORDER)
-    used = state.get[0] if state.exists else 0
+    rows = _in_order(pd.concat(list(batches)))
+    free, used = int(rows["free"].iloc[0]), state.get[0] if state.exists else 0
     reasons = []
-    for n, free in zip(rows["n_seats"], rows["free"], strict=True):
+    for n in rows["n_seats"].tolist():
         fits = n <= free - used
-        reasons.append("" if fits else "not_enough_seats")
-        used += int(n) if fits else 0
+        reasons.append("" if fits else NO_SEATS)
+        used += n if fits else 0
     state.update((used,))
     yield rows.assign(reason=reasons)[DECISION_COLUMNS]
 
 
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def queue_stream(requests: DataFrame, free: DataFrame) -> DataFrame:
     """First stream: requests with the reason to refuse them, or queued.
 
     ``free`` are the free seats of the open flights when the stream began. It is read again for every micro-batch and
     must not change meanwhile: store it first.
     """
-    asked = priced_requests(requests, free).withColumns(
-        {
-            "reason": F.when(is_ok(), F.lit("")).otherwise(F.get("reasons", F.lit(0))),
-            "free": F.col("free").cast("bigint"),
-            "arrived": F.current_timestamp(),
-            "queued": F.lit(False),
-            "part": F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)),
-        }
+    asked = priced_requests(requests, free).select(
+        _micros(F.current_timestamp()).alias("arrived"),
+        _micros(F.col("request_ts")).alias("asked"),
+        "request_id",
+        "flight_id",
+        "n_seats",
+        F.col("free").cast("bigint").alias("free"),
+        F.lit(False).alias("queued"),
+        F.when(is_ok(), F.lit("")).otherwise(F.get("reasons", F.lit(0))).alias("reason"),
+        F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)).alias("part"),
     )
     cut = (
         asked.where(F.col("reason") == "")
-        .select(*QUEUE_COLUMNS, "part")
+        .drop("reason")
         .groupBy("flight_id", "part")
         .applyInPandasWithState(
             cut_queue, QUEUE, "sizes ARRAY<BIGINT>, counts ARRAY<BIGINT>", "append", GroupStateTimeout.NoTimeout
         )
     )
-    return asked.where(F.col("reason") != "").select(QUEUE_COLUMNS).unionByName(cut)
+    refused = asked.where(F.col("reason") != "").select(*QUEUE_COLUMNS, "reason")
+    return refused.unionByName(cut.withColumn("reason", F.when(~F.col("queued"), F.lit(NO_SEATS))))
 
 
 def seat_stream(queue: DataFrame) -> DataFrame:
     """Second stream: decisions on the queued requests; an empty reason is an acceptance."""
     return (
         queue.where("queued")
+        .select(QUEUE_COLUMNS)
         .groupBy("flight_id")
         .applyInPandasWithState(seat_queue, DECISION, "used BIGINT", "append", GroupStateTimeout.NoTimeout)
     )
@@ -100,9 +115,15 @@ def seat_stream(queue: DataFrame) -> DataFrame:
 
 def admit_available(requests: DataFrame, free: DataFrame, folder: str | None = None) -> DataFrame:
     """Run both streams over what has arrived and return every decision so far; the same folder goes on from there."""
-    spark: SparkSession = requests.sparkSession
+    spark = requests.sparkSession
     folder = folder or new_folder(spark, "admissions")
     queue = run_available(queue_stream(requests, free), "queue", f"{folder}/queue")
     arriving = spark.readStream.schema(queue.schema).parquet(f"{folder}/queue/data")
     seated = run_available(seat_stream(arriving), "seated", f"{folder}/seated")
     return queue.where(~F.col("queued")).select(DECISION_COLUMNS).unionByName(seated)
+
+
+def accepted_requests(decisions: DataFrame, requests: DataFrame, free: DataFrame) -> DataFrame:
+    """Accepted requests with all of their columns and the total amount, as the batch job gives them."""
+    ids = decisions.where(F.col("reason") == "").select("request_id")
+    return priced_requests(requests.join(ids, "request_id", "left_semi"), free)

@@ -7,13 +7,12 @@ source's limit per trigger (``maxFilesPerTrigger`` and its like) bounds.
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarmac.operators.booking_changes import with_booking
+from tarmac.operators.booking_changes import FINAL, with_booking
 from tarmac.plans.outcome import is_ok
 
 DECISION = (
@@ -26,26 +25,17 @@ def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     """Decide the changes of one booking, all of them valid but for cancellations that meet a final status."""
     rows = pd.concat(list(batches)).sort_values(["change_ts", "change_id"], ignore_index=True)
     status, payment = state.get if state.exists else rows.loc[0, ["base_status", "base_payment"]]
-    cancel = rows["op"] == "cancel"
-    written = rows["status"].where(~cancel)
-    set_to = pd.concat([pd.Series([status]), written], ignore_index=True).ffill()
-    after_cancel = cancel.shift(fill_value=False)
-    before = set_to.iloc[:-1]
-    before = before.where(~after_cancel, np.where(before == "completed", "completed", "cancelled"))
-    reason = np.select(
-        [cancel & (before == "cancelled"), cancel & (before == "completed")],
-        ["already_cancelled", "already_completed"],
-        "",
-    )
-    accepted = rows[reason == ""]
-    if len(accepted):
-        last = accepted.iloc[-1]
-        status = "cancelled" if last["op"] == "cancel" else last["status"]
-        paid = accepted["payment_status"].where(accepted["op"] == "admin_status")
-        paid = paid.where(accepted["op"] != "cancel", "refunded").dropna()
-        payment = paid.iloc[-1] if len(paid) else payment
+    reasons = []
+    for op, new_status, new_payment in zip(rows["op"], rows["status"], rows["payment_status"], strict=True):
+        refused = op == "cancel" and status in FINAL
+        reasons.append(f"already_{status}" if refused else "")
+        if op != "cancel":
+            status = new_status
+            payment = new_payment if op == "admin_status" and new_payment else payment
+        elif not refused:
+            status, payment = "cancelled", "refunded"
     state.update((status, payment))
-    yield rows.assign(reason=reason).drop(columns=["base_status", "base_payment"])
+    yield rows.assign(reason=reasons).drop(columns=["base_status", "base_payment"])
 
 
 def booking_changes_stream(changes: DataFrame, bookings: DataFrame) -> DataFrame:

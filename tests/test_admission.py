@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rows import frame, reasons, table, ts
 from tarmac.operators import admission
-from tarmac.streaming.admission import admit_available
+from tarmac.streaming.admission import accepted_requests, admit_available
 
 REQUEST = "request_id BIGINT, request_ts TIMESTAMP_NTZ, user_id BIGINT, flight_id BIGINT, class STRING, n_seats BIGINT"
 COLUMNS = [c.split(" ")[0] for c in REQUEST.split(", ")]
@@ -168,3 +168,5 @@ def test_stream_carries_seats_from_batch_to_batch(spark, tmp_path):
     rows = decided.collect()
     assert len(rows) == len(requests) and {r.request_id for r in rows} == set(range(900))
     assert {r.request_id for r in rows if r.reason == ""} == expected
+    full = accepted_requests(decided, feed(spark, requests), free).collect()
+    assert {r.request_id: r.total_amount for r in full} == {r[0]: r[5] * (10 + r[3]) for r in requests if r[0] in expected}
