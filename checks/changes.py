@@ -30,7 +30,7 @@ CASE WHEN {reason} <> '' THEN {before}.updated_at ELSE q.change_ts END AS update
 WALK = f"""q AS (SELECT c.change_id, c.change_ts, c.booking_id, c.op, c.status AS new_status, c.payment_status AS new_payment, {STATIC} AS static,
 row_number() OVER (PARTITION BY c.booking_id ORDER BY c.change_ts, c.change_id) AS place
 FROM booking_changes c JOIN bookings b ON b.booking_id = c.booking_id),
-base AS (SELECT booking_id, status, payment_status, CAST(NULL AS TIMESTAMP) AS updated_at FROM bookings),
+base AS (SELECT booking_id, status, payment_status, updated_at FROM bookings),
 walk AS (SELECT q.change_id, q.booking_id, q.place, {step('base')} FROM q JOIN base ON base.booking_id = q.booking_id WHERE q.place = 1
 UNION ALL SELECT q.change_id, q.booking_id, q.place, {step('walk')} FROM walk JOIN q ON q.booking_id = walk.booking_id AND q.place = walk.place + 1)"""
 
@@ -44,7 +44,7 @@ def booking_changes(changes, bookings):
     "booking_changes bookings",
     f"""WITH RECURSIVE {WALK}, last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY booking_id ORDER BY place DESC) = 1)
 SELECT b.booking_id, CASE WHEN l.booking_id IS NULL THEN b.status ELSE l.status END AS status,
-CASE WHEN l.booking_id IS NULL THEN b.payment_status ELSE l.payment_status END AS payment_status, l.updated_at
+CASE WHEN l.booking_id IS NULL THEN b.payment_status ELSE l.payment_status END AS payment_status, coalesce(l.updated_at, b.updated_at) AS updated_at
 FROM bookings b LEFT JOIN last l ON l.booking_id = b.booking_id""",
 )
 def booking_changes_applied(changes, bookings):
@@ -69,7 +69,7 @@ def user_status_changes(changes, users):
     "user_status_requests users",
     f"""WITH {USER_STATUS}, last AS (SELECT * FROM d WHERE reasons = ''
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY change_ts DESC, change_id DESC) = 1)
-SELECT u.user_id, coalesce(l.status, u.status) AS status, l.change_ts AS updated_at FROM users u LEFT JOIN last l ON l.user_id = u.user_id""",
+SELECT u.user_id, coalesce(l.status, u.status) AS status, coalesce(l.change_ts, u.updated_at) AS updated_at FROM users u LEFT JOIN last l ON l.user_id = u.user_id""",
 )
 def user_status_applied(changes, users):
     accepted = feeds.user_status_changes(users, changes).stored("user-status").accepted
@@ -102,7 +102,7 @@ ELSE (SELECT arg_max(struct_pack(x := {value}), (change_ts, change_id)) FROM d W
 
 
 def updated(entity: str) -> str:
-    return f"(SELECT max(change_ts) FROM d WHERE reasons = '' AND d.{entity} = b.{entity}) AS updated_at"
+    return f"coalesce((SELECT max(change_ts) FROM d WHERE reasons = '' AND d.{entity} = b.{entity}), b.updated_at) AS updated_at"
 
 
 EMAIL = "^[a-z0-9!#$%&''*+/=?^_`{|}~.-]+@([a-z0-9-]+\\.)+[a-z]{2,}$"
@@ -134,7 +134,7 @@ def profile_updates(feed, users):
     "profile_feed users",
     f"""WITH {PROFILES} SELECT b.user_id, {last_value('user_id', 'b.first_name', 'has_first_name', 'first_name')} AS first_name,
 {last_value('user_id', 'b.email', 'has_email', 'email')} AS email,
-{last_value('user_id', 'CAST(NULL AS VARCHAR)', 'has_address', 'address')} AS address, {updated('user_id')} FROM users b""",
+{last_value('user_id', 'b.address', 'has_address', 'address')} AS address, {updated('user_id')} FROM users b""",
 )
 def profiles_applied(feed, users):
     accepted = feeds.profile_updates(users, _profile_changes(feed), AS_OF).stored("profiles").accepted

@@ -100,7 +100,7 @@ def confirm_checkins(feed, bookings, flights, booking_passengers, check_ins):
 @check(
     "confirm_feed bookings flights booking_passengers check_ins",
     f"""WITH {CONFIRMATIONS} SELECT s.booking_passenger_id, s.booking_id, s.passenger_id,
-CASE WHEN d.request_id IS NOT NULL THEN CAST(s.place AS VARCHAR) || ' A' END AS seat_number
+CASE WHEN d.request_id IS NOT NULL THEN CAST(s.place AS VARCHAR) || ' A' ELSE s.seat_number END AS seat_number
 FROM (SELECT bp.*, row_number() OVER (PARTITION BY booking_id ORDER BY booking_passenger_id) AS place FROM booking_passengers bp) s
 LEFT JOIN d ON d.booking_id = s.booking_id AND d.reasons = ''""",
 )

@@ -15,16 +15,13 @@ arr.airport_name AS to_name, arr.city AS to_city, arr.country AS to_country"""
 JOINS = """JOIN airports dep ON f.from_airport_code = dep.airport_code JOIN airports arr ON f.to_airport_code = arr.airport_code
 JOIN aircraft a ON f.aircraft_id = a.aircraft_id"""
 AVAILABLE = "greatest(0, a.capacity - coalesce(s.n, 0)) AS available_seats"
-STAMPS = "CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at"
-BOOKING = f"""b.booking_id, b.booking_reference, b.user_id, b.flight_id, b.booking_date, CAST(NULL AS INTEGER) AS number_of_passengers,
-b.class, b.total_amount, b.status, b.payment_status, CAST(NULL AS VARCHAR) AS payment_method, {STAMPS}"""
+BOOKING = "b.*"
 ON_FLIGHT = """f.flight_number, f.departure_datetime, f.arrival_datetime, f.status AS flight_status, dep.airport_code AS from_code,
 dep.airport_name AS from_name, dep.city AS from_city, arr.airport_code AS to_code, arr.airport_name AS to_name, arr.city AS to_city"""
 ROUTED = """JOIN flights f ON b.flight_id = f.flight_id JOIN airports dep ON f.from_airport_code = dep.airport_code
 JOIN airports arr ON f.to_airport_code = arr.airport_code"""
 USER = "u.first_name AS user_first_name, u.last_name AS user_last_name, u.email AS user_email"
-PERSON = """p.passenger_id, CAST(NULL AS DATE) AS date_of_birth, CAST(NULL AS VARCHAR) AS passport_number,
-CAST(NULL AS VARCHAR) AS nationality"""
+PERSON = "p.passenger_id, p.date_of_birth, p.passport_number, p.nationality"
 SEARCH = " OR ".join(
     f"contains(lower({c}), 'city_1')" for c in ("f.flight_number", "dep.city", "dep.airport_name", "arr.city", "arr.airport_name")
 )
@@ -65,7 +62,7 @@ def flight_search(flights, airports, aircraft, bookings, booking_passengers):
 
 @check(
     "flights airports aircraft bookings booking_passengers",
-    f"""SELECT f.*, {STAMPS}, a.model AS aircraft_model, CAST(a.capacity AS INTEGER) AS capacity, {PLACES}, {AVAILABLE} FROM flights f {JOINS}
+    f"""SELECT f.*, a.model AS aircraft_model, CAST(a.capacity AS INTEGER) AS capacity, {PLACES}, {AVAILABLE} FROM flights f {JOINS}
 LEFT JOIN {SEATS} s ON s.flight_id = f.flight_id""",
 )
 def flight_detail(flights, airports, aircraft, bookings, booking_passengers):
@@ -74,7 +71,7 @@ def flight_detail(flights, airports, aircraft, bookings, booking_passengers):
 
 @check(
     "flights airports aircraft",
-    f"""SELECT f.*, {STAMPS}, a.model AS aircraft_model, {NAMES} FROM flights f {JOINS}
+    f"""SELECT f.*, a.model AS aircraft_model, {NAMES} FROM flights f {JOINS}
 WHERE f.flight_id IN (SELECT min(flight_id) FROM flights GROUP BY flight_number)""",
 )
 def flight_status(flights, airports, aircraft):
@@ -83,7 +80,7 @@ def flight_status(flights, airports, aircraft):
 
 @check(
     "flights airports aircraft",
-    f"""SELECT f.*, {STAMPS}, a.model AS aircraft_model, CAST(a.capacity AS INTEGER) AS capacity, {NAMES} FROM flights f {JOINS}
+    f"""SELECT f.*, a.model AS aircraft_model, CAST(a.capacity AS INTEGER) AS capacity, {NAMES} FROM flights f {JOINS}
 WHERE {SEARCH} ORDER BY f.departure_datetime DESC, f.flight_id LIMIT 40 OFFSET 80""",
 )
 def admin_flights_page(flights, airports, aircraft):
@@ -116,7 +113,7 @@ def admin_bookings(bookings, users, flights, airports):
 @check(
     "bookings users flights airports booking_passengers passengers",
     f"""SELECT {BOOKING}, {USER}, {ON_FLIGHT}, bp.booking_passenger_id, {PERSON}, p.first_name AS passenger_first_name,
-p.last_name AS passenger_last_name, CAST(NULL AS VARCHAR) AS seat_number FROM bookings b {ROUTED}
+p.last_name AS passenger_last_name, bp.seat_number FROM bookings b {ROUTED}
 JOIN users u ON b.user_id = u.user_id LEFT JOIN (booking_passengers bp JOIN passengers p ON bp.passenger_id = p.passenger_id)
 ON bp.booking_id = b.booking_id""",
 )
@@ -141,8 +138,7 @@ def booking_with_passengers(bookings, flights, airports, booking_passengers, pas
 
 @check(
     "users",
-    f"""SELECT user_id, first_name, last_name, email, CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS DATE) AS date_of_birth,
-CAST(NULL AS VARCHAR) AS address, role, status, {STAMPS} FROM users""",
+    "SELECT user_id, first_name, last_name, email, phone, date_of_birth, address, role, status, created_at, updated_at FROM users",
 )
 def users_public(users):
     return listings.users_public(users)
@@ -150,14 +146,14 @@ def users_public(users):
 
 @check(
     "passengers",
-    f"""SELECT p.user_id, {PERSON}, p.first_name, p.last_name, p.is_saved, CAST(NULL AS TIMESTAMP) AS created_at
+    f"""SELECT p.user_id, {PERSON}, p.first_name, p.last_name, p.is_saved, p.created_at
 FROM passengers p WHERE is_saved = 1""",
 )
 def saved_passengers(passengers):
     return listings.saved_passengers(passengers)
 
 
-@check("aircraft", f"SELECT aircraft_id, model, registration, CAST(capacity AS INTEGER) AS capacity, status, {STAMPS} FROM aircraft")
+@check("aircraft", "SELECT * REPLACE (CAST(capacity AS INTEGER) AS capacity) FROM aircraft")
 def aircraft_list(aircraft):
     return listings.aircraft_list(aircraft)
 

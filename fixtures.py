@@ -41,7 +41,9 @@ FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "aircraft": """
 SELECT p_partkey AS aircraft_id, p_name AS model, p_brand || '-' || CAST(p_partkey AS STRING) AS registration,
   6 + p_size AS capacity,
-  CASE p_partkey % 10 WHEN 0 THEN 'retired' WHEN 1 THEN 'maintenance' ELSE 'active' END AS status
+  CASE p_partkey % 10 WHEN 0 THEN 'retired' WHEN 1 THEN 'maintenance' ELSE 'active' END AS status,
+  TIMESTAMP '2000-01-01 00:00:00' + INTERVAL '1' SECOND * (p_partkey * 977) AS created_at,
+  TIMESTAMP '2001-01-01 00:00:00' + INTERVAL '1' SECOND * (p_partkey * 977) AS updated_at
 FROM part""",
     # aircraft with registrations a request can spell, so that clashes with the base table occur
     "fleet": """
@@ -56,13 +58,19 @@ SELECT p_partkey AS flight_id, 'FL' || CAST(p_partkey AS STRING) AS flight_numbe
   CAST(p_retailprice AS DECIMAL(10,2)) AS base_price,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_retailprice * 1.5 AS DECIMAL(10,2)) END AS business_price,
   CAST(p_retailprice * 2 AS DECIMAL(10,2)) AS first_class_price,
-  CASE p_partkey % 8 WHEN 0 THEN 'delayed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'boarding' WHEN 3 THEN 'completed' ELSE 'scheduled' END AS status
+  CASE p_partkey % 8 WHEN 0 THEN 'delayed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'boarding' WHEN 3 THEN 'completed' ELSE 'scheduled' END AS status,
+  TIMESTAMP '2000-01-01 00:00:00' + INTERVAL '1' SECOND * (p_partkey * 613) AS created_at,
+  TIMESTAMP '2001-01-01 00:00:00' + INTERVAL '1' SECOND * (p_partkey * 613) AS updated_at
 FROM part""",
     "users": """
 SELECT c_custkey AS user_id, 'First' || CAST(c_custkey % 97 AS STRING) AS first_name, c_name AS last_name,
   lower(c_name) || '@example.com' AS email,
   CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'user' END AS role,
-  CASE c_custkey % 20 WHEN 1 THEN 'inactive' WHEN 2 THEN 'suspended' ELSE 'active' END AS status
+  CASE c_custkey % 20 WHEN 1 THEN 'inactive' WHEN 2 THEN 'suspended' ELSE 'active' END AS status,
+  '+1 555 ' || CAST(c_custkey AS STRING) AS phone, DATE '1950-01-01' + CAST(c_custkey % 15000 AS INT) AS date_of_birth,
+  CASE WHEN c_custkey % 3 > 0 THEN 'Street ' || CAST(c_custkey AS STRING) END AS address,
+  TIMESTAMP '2000-01-01 00:00:00' + INTERVAL '1' SECOND * (c_custkey * 431) AS created_at,
+  TIMESTAMP '2001-01-01 00:00:00' + INTERVAL '1' SECOND * (c_custkey * 431) AS updated_at
 FROM customer""",
     "bookings": """
 SELECT o_orderkey AS booking_id, 'BK' || CAST(100000 + o_orderkey AS STRING) AS booking_reference, o_custkey AS user_id,
@@ -71,18 +79,24 @@ SELECT o_orderkey AS booking_id, 'BK' || CAST(100000 + o_orderkey AS STRING) AS
   CAST(o_totalprice AS DECIMAL(12,2)) AS total_amount,
   CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'missed' ELSE 'confirmed' END
        WHEN o_orderstatus = 'O' THEN 'confirmed' WHEN o_orderkey % 2 = 0 THEN 'cancelled' ELSE 'pending' END AS status,
-  CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'refunded' WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE 'paid' END AS payment_status
+  CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'refunded' WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE 'paid' END AS payment_status,
+  CAST(1 + o_orderkey % 4 AS INT) AS number_of_passengers, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'cash' ELSE 'card' END AS payment_method,
+  o_orderdate AS created_at, o_orderdate + INTERVAL '1' SECOND * (o_orderkey % 1000) AS updated_at
 FROM orders""",
     # numbered within each booking, so that no window runs over the whole table
     "booking_passengers": """
 SELECT l_orderkey * 100000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS booking_passenger_id,
-  l_orderkey AS booking_id, l_partkey AS passenger_id
+  l_orderkey AS booking_id, l_partkey AS passenger_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_linenumber AS STRING) || 'C' END AS seat_number
 FROM lineitem""",
     "passengers": """
 SELECT p_partkey AS passenger_id, p_partkey % (SELECT count(*) FROM customer) AS user_id,
   split_part(p_name, ' ', 1) AS first_name,
   CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 2)) ELSE split_part(p_name, ' ', 2) END AS last_name,
-  CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS is_saved, p_partkey AS created_seq
+  CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS is_saved, p_partkey AS created_seq,
+  DATE '1950-01-01' + CAST(p_partkey % 15000 AS INT) AS date_of_birth,
+  CASE WHEN p_partkey % 4 > 0 THEN 'P' || CAST(p_partkey AS STRING) END AS passport_number, p_brand AS nationality,
+  TIMESTAMP '2000-01-01 00:00:00' + INTERVAL '1' SECOND * (p_partkey * 251) AS created_at
 FROM part""",
     "check_ins": """
 SELECT booking_id AS check_in_id, booking_id, CASE WHEN booking_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS status
