@@ -219,7 +219,7 @@ JOIN (SELECT booking_id, count(*) AS n FROM booking_passengers GROUP BY booking_
 }
 
 # Feeds that joins make up; they are stored first, as requests come in a table and are not computed for every use.
-JOINED_FEEDS = ("confirm_feed",)
+JOINED_FEEDS = ("checkin_requests", "confirm_feed")
 
 _COUNT = re.compile(r"\(SELECT (CAST\(ceil\(count\(\*\) / 40\.0\) AS BIGINT\)|2 \* count\(\*\)|count\(\*\)) FROM (\w+)\)")
 _counts: dict[tuple[str, str], int] = {}

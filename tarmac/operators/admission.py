@@ -16,7 +16,9 @@ from tarmac.functions.rules import emptied, first_failure
 from tarmac.operators.listings import MAX_SEATS
 from tarmac.plans.airline import booked_seats
 from tarmac.plans.combine import asked_for
+from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, is_ok
+from tarmac.sources.work import stored
 
 SPREAD = 1024
 BOOKING_COLUMNS = ["request_ts", "user_id", "flight_id", "class", "n_seats", "total_amount"]
@@ -48,9 +50,8 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     return requests.withColumn("class", flight_class).withColumn("n_seats", F.col("n_seats").cast("long"))
 
 
-def priced_requests(requests: DataFrame, free: DataFrame) -> DataFrame:
-    """Requests next to the free seats of their flight, with every reason that does not depend on other requests."""
-    asked = with_defaults(requests).join(free, "flight_id", "left")
+def priced(asked: DataFrame) -> DataFrame:
+    """Requests joined to the free seats of their flight: the amount, and every reason that needs no other request."""
     price = class_price(F.col("class"))
     n = F.coalesce("n_seats", F.lit(0))
     return asked.withColumn(
@@ -108,9 +109,13 @@ def admit_bookings(
     bookings: DataFrame,
     booking_passengers: DataFrame,
 ) -> Outcome:
-    """Decide ``requests`` (request_id, request_ts, user_id, flight_id, class, n_seats or passengers) in time order."""
+    """Decide ``requests`` (request_id, request_ts, user_id, flight_id, class, n_seats or passengers) in time order.
+
+    The priced requests are stored first; the queues and the decisions both read them.
+    """
     wanted = asked_for(flights, requests, "flight_id")
-    asked = priced_requests(requests, free_seats(wanted, aircraft, bookings, booking_passengers))
+    free = free_seats(wanted, aircraft, bookings, booking_passengers)
+    asked = stored(priced(lookup(with_defaults(requests), free, ["flight_id"], "request_id")), "priced-requests")
     admitted = admitted_ids(asked).withColumn("admitted", F.lit(True))
     refused = is_ok() & F.col("admitted").isNull()
     decided = asked.join(admitted, "request_id", "left").withColumn(

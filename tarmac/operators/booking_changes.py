@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.rules import failures, first_failure
-from tarmac.plans.combine import asked_for
+from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, is_ok
+from tarmac.sources.work import stored
 
 # What each side may set.
 USER_SETS = ("completed", "missed", "cancelled")
@@ -41,16 +42,15 @@ def row_reasons() -> Column:
     return F.when(F.size(early) > 0, early).otherwise(late)
 
 
-def with_booking(changes: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Changes next to the owner and the current state of their booking."""
-    current = bookings.select(
+def current_state(bookings: DataFrame) -> DataFrame:
+    """The owner and the state of every booking, for a change to be joined to."""
+    return bookings.select(
         "booking_id",
         F.lit(True).alias("known"),
         F.col("user_id").alias("owner_id"),
         F.col("status").alias("base_status"),
         F.col("payment_status").alias("base_payment"),
     )
-    return changes.join(current, "booking_id", "left").withColumn("reasons", row_reasons())
 
 
 def refusal(status_before: Column) -> Column:
@@ -98,12 +98,15 @@ def _status_before(valid: DataFrame) -> DataFrame:
 def decide_changes(bookings: DataFrame, changes: DataFrame) -> Outcome:
     """Decide ``changes`` (change_id, change_ts, booking_id, requester_id, op, status, payment_status).
 
+    The changes with what can be said row by row are stored first; three steps read them.
+
     op is ``cancel`` (owner; not if cancelled or completed), ``user_status`` (owner) or ``admin_status`` (any booking,
     with an optional payment status).
     """
-    checked = with_booking(changes, asked_for(bookings, changes, "booking_id"))
+    found = lookup(changes, current_state(bookings), ["booking_id"], "change_id")
     columns = ["change_id", "change_ts", "booking_id", "op", "status", "payment_status", "reasons"]
-    valid = checked.where(is_ok()).select(*columns, "base_status")
+    checked = stored(found.withColumn("reasons", row_reasons()).select(*columns, "base_status"), "checked-changes")
+    valid = checked.where(is_ok())
     refused = F.when(F.col("op") == "cancel", refusal(F.col("status_before")))
     met = _status_before(valid).withColumn("reasons", F.array_compact(F.array(refused)))
     decided = checked.where(~is_ok()).select(columns).unionByName(met.select(columns))

@@ -11,7 +11,9 @@ from tarmac.functions.rules import emptied, failures, first_failure, text
 from tarmac.operators.listings import nested_passengers, on_flights, passenger_rows
 from tarmac.plans.airline import passengers_per_booking
 from tarmac.plans.combine import asked_for
+from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome
+from tarmac.sources.work import stored
 
 # The window before departure, boarding time and the gate where none is given.
 WINDOW_HOURS = 24
@@ -39,7 +41,7 @@ def checkin_eligibility(
 ) -> Outcome:
     """Decide ``requests`` (request_id, user_id, booking_reference, last_name); the first failing check is the reason.
 
-    Only a completed check-in counts as checked in. ``opens_in_hours`` is set where the window is not open yet.
+    The bookings asked for are stored first. Only a completed check-in counts as checked in. ``opens_in_hours`` is set where the window is not open yet.
     """
     low, high = rules.BOOKING_REFERENCE_LENGTH
     asked = requests.select(
@@ -61,21 +63,25 @@ def checkin_eligibility(
         .where(F.col("_place") == 1)
         .withColumnsRenamed({"from_airport_code": "from_code", "to_airport_code": "to_code"})
     )
-    theirs = asked_for(booking_passengers, wanted.where(F.col("status") == "confirmed"), "booking_id")
+    first_check_in = (
+        asked_for(check_ins, wanted, "booking_id")
+        .groupBy("booking_id")
+        .agg(F.min_by("status", "check_in_id").alias("check_in_status"))
+    )
+    found = stored(found.drop("_place").join(first_check_in, "booking_id", "left"), "asked-bookings")
+    theirs = asked_for(booking_passengers, found.where(F.col("status") == "confirmed"), "booking_id")
     names = (
         passenger_rows(theirs, passengers)
-        .select("booking_id", F.lower("last_name").alias("lower_name"))
+        .join(found.select("booking_id", "booking_reference"), "booking_id")
+        .select("booking_reference", F.lower("last_name").alias("lower_name"))
         .distinct()
         .withColumn("name_known", F.lit(True))
     )
-    first_check_in = asked_for(check_ins, wanted, "booking_id").groupBy("booking_id").agg(F.min_by("status", "check_in_id").alias("check_in_status"))
     hours = F.timestamp_diff("MILLISECOND", instant(now), F.col("departure_datetime")) / 3600000
+    asked = asked.withColumn("invalid", invalid).withColumn("lower_name", F.lower("last_name"))
+    with_booking = lookup(asked, found, ["booking_reference"], "request_id")
     decided = (
-        asked.withColumn("invalid", invalid)
-        .withColumn("lower_name", F.lower("last_name"))
-        .join(found, "booking_reference", "left")
-        .join(names, ["booking_id", "lower_name"], "left")
-        .join(first_check_in, "booking_id", "left")
+        lookup(with_booking, names, ["booking_reference", "lower_name"], "request_id", counted=asked)
         .withColumn(
             "reasons",
             first_failure(
@@ -154,7 +160,8 @@ def confirm_checkins(
         .join(checked_in, "booking_id", "left")
         .join(passengers_per_booking(asked_for(booking_passengers, requests, "booking_id")), "booking_id", "left")
     )
-    asked = requests.join(booking, "booking_id", "left").withColumns(
+    looked_up = lookup(requests, booking, ["booking_id"], "request_id")
+    asked = looked_up.withColumns(
         {
             "early": failures(
                 (F.coalesce(F.col("booking_id") < 1, F.lit(True)), "booking_id_invalid"),
@@ -178,7 +185,7 @@ def confirm_checkins(
         .agg(F.min("request_id").alias("first_id"))
     )
     done = F.col("checked_in").isNotNull() | F.coalesce(F.col("first_id") < F.col("request_id"), F.lit(False))
-    decided = asked.join(first, "booking_id", "left").select(
+    decided = lookup(asked, first, ["booking_id"], "request_id", counted=requests).select(
         "request_id",
         "booking_id",
         "seat_numbers",

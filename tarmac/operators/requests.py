@@ -13,6 +13,7 @@ from tarmac.functions import rules
 from tarmac.functions.expr import PRICE, blank, lenient_int
 from tarmac.functions.rules import emptied, failures, first_failure, given_rules, text
 from tarmac.plans.combine import asked_for
+from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, reject_taken
 
 
@@ -148,7 +149,7 @@ def create_flights(requests: DataFrame, flights: DataFrame) -> Outcome:
         .agg(F.min("first_id").alias("first_id"), F.bool_or("in_base").alias("in_base"))
     )
     taken = F.coalesce(F.col("in_base") | (F.col("first_id") < F.col("request_id")), F.lit(False))
-    decided = checked.join(holders, "flight_number", "left").withColumn(
+    decided = lookup(checked, holders, ["flight_number"], "request_id").withColumn(
         "reasons",
         F.when(~complete, F.col("missing"))
         .when(taken, F.array(F.lit("flight_number_taken")))

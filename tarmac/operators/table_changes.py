@@ -14,16 +14,18 @@ from tarmac.functions import rules
 from tarmac.functions.expr import PRICE, lenient_int
 from tarmac.functions.rules import emptied, failures, first_failure, given_rules, text
 from tarmac.plans.combine import asked_for
+from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, is_ok
 from tarmac.plans.updates import apply_last, with_conflict
+from tarmac.sources.work import stored
 
 
 def user_status_changes(users: DataFrame, changes: DataFrame) -> Outcome:
     """Decide ``changes`` (change_id, change_ts, admin_id, user_id, status); the first failing check is the reason."""
     status = F.col("status")
     off = status != "active"
-    roles = asked_for(users, changes, "user_id").select("user_id", F.lit(True).alias("known"), "role")
-    decided = changes.join(roles, "user_id", "left").withColumn(
+    roles = users.select("user_id", F.lit(True).alias("known"), "role")
+    decided = lookup(changes, roles, ["user_id"], "change_id").withColumn(
         "reasons",
         first_failure(
             rules.domain_rule("status", status, rules.USER_STATUS),
@@ -42,14 +44,15 @@ def apply_user_status(users: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def _opened(changes: DataFrame, base: DataFrame, entity: str, keys: dict[str, str]) -> DataFrame:
     """Changes with the map opened: ``raw_<field>``, whether it was there, and whether the row to change exists."""
-    known = asked_for(base, changes, entity).select(entity, F.lit(True).alias("known"))
-    return changes.select(
+    known = base.select(entity, F.lit(True).alias("known"))
+    opened = changes.select(
         "change_id",
         "change_ts",
         entity,
         *[F.coalesce(F.map_contains_key("changes", k), F.lit(False)).alias(f"has_{f}") for f, k in keys.items()],
         *[F.col("changes")[k].alias(f"raw_{f}") for f, k in keys.items()],
-    ).join(known, entity, "left")
+    )
+    return lookup(opened, known, [entity], "change_id")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -183,9 +186,13 @@ def apply_flights(flights: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def _decided(checked: DataFrame, base: DataFrame, entity: str, unique: str, reason: str, fields: list[str]) -> Outcome:
-    """Reasons in order: ``early``, a conflict on the ``unique`` field, ``late``."""
+    """Reasons in order: ``early``, a conflict on the ``unique`` field, ``late``.
+
+    The checked changes are stored first; the claims, their holders and the decisions all read them.
+    """
+    checked = stored(checked, "checked-updates")
     valid = (F.size("early") == 0) & (F.size("late") == 0)
-    decided = with_conflict(checked, valid, base, entity, unique, unique).withColumn(
+    decided = with_conflict(checked, valid, base, entity, unique).withColumn(
         "reasons",
         F.when(F.size("early") > 0, F.col("early"))
         .when(F.col("conflict"), F.array(F.lit(reason)))
@@ -199,10 +206,9 @@ def _decided(checked: DataFrame, base: DataFrame, entity: str, unique: str, reas
 
 def _delete(requests: DataFrame, base: DataFrame, uses: DataFrame, entity: str, missing: str, blocked: str) -> Outcome:
     """Delete rows of ``base`` that ``uses`` does not count; only the first request for a row finds it."""
-    known = asked_for(base, requests, entity).select(entity, F.lit(True).alias("known"))
+    known = base.select(entity, F.lit(True).alias("known")).join(uses, entity, "left")
     checked = (
-        requests.join(known, entity, "left")
-        .join(uses, entity, "left")
+        lookup(requests, known, [entity], "request_id")
         .withColumn("uses", F.coalesce("uses", F.lit(0)))
         .withColumn("reasons", first_failure((F.col("known").isNull(), missing), (F.col("uses") > 0, blocked)))
     )

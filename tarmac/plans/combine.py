@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def asked_for(base: DataFrame, requests: DataFrame, key: str, request_key: str | None = None) -> DataFrame:
-    """Rows of ``base`` that a batch of requests refers to.
+def asked_for(base: DataFrame, requests: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of ``base`` whose key a batch of requests has.
 
-    A small batch is broadcast here, and the large table behind a lookup does not move for it.
+    A small batch is broadcast here, and a large table behind it does not move. The keys are made distinct map-side,
+    so one that many requests share arrives once.
     """
-    wanted = requests.select(F.col(request_key or key).alias(key))
-    return base.join(wanted, key, "left_semi")
+    return base.join(requests.select(key).distinct(), key, "left_semi")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

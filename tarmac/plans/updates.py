@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.plans.combine import asked_for
+from tarmac.plans.lookup import lookup
 
 ORDER = ("change_ts", "change_id")
 
@@ -12,30 +13,31 @@ def key() -> Column:
     return F.struct(*ORDER)
 
 
-def with_conflict(checked: DataFrame, valid: Column, base: DataFrame, entity: str, value: str, new_value: str) -> DataFrame:
-    """Add ``conflict``: ``new_value`` belongs to another entity, in ``base`` or through an earlier valid change.
+def with_conflict(checked: DataFrame, valid: Column, base: DataFrame, entity: str, value: str) -> DataFrame:
+    """Add ``conflict``: the new ``value`` belongs to another entity, in ``base`` or through an earlier valid change.
 
-    A value held in ``base`` stays taken for all others even if its holder gives it up in the same batch. Changes
-    without the value get keys of their own, so that nulls do not meet in one partition.
+    A value held in ``base`` stays taken for all others even if its holder gives it up in the same batch.
     """
-    claims = checked.where(valid & F.col(new_value).isNotNull()).groupBy(F.col(new_value).alias("_value"))
+    checked = checked.withColumn("_value", F.col(value))
+    claims = checked.where(valid & F.col("_value").isNotNull()).groupBy("_value")
     first = claims.agg(F.min(F.struct(*ORDER, entity)).alias("_first"))
-    wanted = checked.where(F.col(new_value).isNotNull())
-    held = asked_for(base, wanted, value, new_value).groupBy(F.col(value).alias("_value")).agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
+    held = (
+        asked_for(base.select(entity, F.col(value).alias("_value")), checked, "_value")
+        .groupBy("_value")
+        .agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
+    )
     holders = (
         first.unionByName(held, allowMissingColumns=True)
         .groupBy("_value")
         .agg(F.first("_first", True).alias("_first"), F.max("_low").alias("_low"), F.max("_high").alias("_high"))
     )
-    own = F.coalesce(F.col(new_value), F.concat(F.lit("\0"), F.col("change_id").cast("string")))
     others_claim = (F.col("_first")[entity] != F.col(entity)) & (
         F.struct(*[F.col("_first")[c].alias(c) for c in ORDER]) < key()
     )
     in_base = (F.col("_low") != F.col(entity)) | (F.col("_high") != F.col(entity))
     conflict = F.when(F.col("_low").isNotNull(), in_base).otherwise(F.coalesce(others_claim, F.lit(False)))
     return (
-        checked.withColumn("_value", own)
-        .join(holders, "_value", "left")
+        lookup(checked, holders, ["_value"], "change_id")
         .withColumn("conflict", conflict)
         .drop("_value", "_first", "_low", "_high")
     )

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarmac.operators.admission import priced_requests
+from tarmac.operators.admission import priced, with_defaults
+from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import is_ok
 from tarmac.sources.work import new_folder
 from tarmac.streaming.run import run_available
@@ -80,7 +81,7 @@ def queue_stream(requests: DataFrame, free: DataFrame) -> DataFrame:
     ``free`` are the free seats of the open flights when the stream began. It is read again for every micro-batch and
     must not change meanwhile: store it first.
     """
-    asked = priced_requests(requests, free).select(
+    asked = priced(with_defaults(requests).join(free, "flight_id", "left")).select(
         _micros(F.current_timestamp()).alias("arrived"),
         _micros(F.col("request_ts")).alias("asked"),
         "request_id",
@@ -126,4 +127,5 @@ def admit_available(requests: DataFrame, free: DataFrame, folder: str | None = N
 def accepted_requests(decisions: DataFrame, requests: DataFrame, free: DataFrame) -> DataFrame:
     """Accepted requests with all of their columns and the total amount, as the batch job gives them."""
     ids = decisions.where(F.col("reason") == "").select("request_id")
-    return priced_requests(requests.join(ids, "request_id", "left_semi"), free)
+    accepted = with_defaults(requests.join(ids, "request_id", "left_semi"))
+    return priced(lookup(accepted, free, ["flight_id"], "request_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarmac.operators.booking_changes import FINAL, with_booking
+from tarmac.operators.booking_changes import FINAL, current_state, row_reasons
 from tarmac.plans.outcome import is_ok
 
 DECISION = (
@@ -43,7 +43,8 @@ def booking_changes_stream(changes: DataFrame, bookings: DataFrame) -> DataFrame
 
     A decision is accepted if its reason is empty; the accepted ones go into ``apply_changes`` as in the batch job.
     """
-    checked = with_booking(changes, bookings)
+    found = changes.join(current_state(bookings), "booking_id", "left")
+    checked = found.withColumn("reasons", row_reasons())
     columns = [c.split(" ")[0] for c in DECISION.split(", ")]
     refused = checked.where(~is_ok()).withColumn("reason", F.array_join("reasons", "; ")).select(columns)
     valid = checked.where(is_ok()).select(*columns[:-1], "base_status", "base_payment")

@@ -79,7 +79,7 @@ def test_the_cut_leaves_few_requests(spark):
     """A flight with r free seats keeps at most the sum of r // n requests, however many ask."""
     requests = [(i, ts("2001-07-01 00:00:00"), 1, 0, "economy", 1 + i % 5) for i in range(4000)]
     flights, aircraft, bookings, people = base(spark, {0: 10})
-    asked = admission.priced_requests(feed(spark, requests), admission.free_seats(flights, aircraft, bookings, people))
+    asked = admission.priced(feed(spark, requests).join(admission.free_seats(flights, aircraft, bookings, people), "flight_id", "left"))
     queue = asked.where(F.size("reasons") == 0)
     cut = admission._first_of_each_size(queue)
     assert cut.count() == sum(10 // n for n in range(1, 6))
