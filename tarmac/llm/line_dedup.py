@@ -4,7 +4,7 @@ A line is the set of its words. Two lines match when their Jaccard similarity is
 if an earlier line, by (doc_id, text's hash, line number), matches it, whether or not that one goes too.
 
 1. Lines of equal sets make one class, reduced before the shuffle to its earliest line.
-2. Words are ordered by rarity: their count over all lines in a table of fixed length, then their hash. Words that share
+2. Words are ordered by rarity: their count over all texts in a table of fixed length, then their hash. Words that share
    a place in the table share a count, which changes the order but nothing in the result: prefix filtering is exact for
    any order of all words.
 3. Classes that share their smallest word hash are held against the earliest of them first. In a large group of near
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.tables import fixed_table, look_up
-from tarmac.llm.text import SPACES, words
+from tarmac.llm.text import SPACE, SPACES, words
 from tarmac.sources.work import stored
 
 # Places of the table of word counts, and of the table that marks lines to be read again.
@@ -42,7 +42,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _code(n: Column) -> Column:
-    """Count as a byte: 1 for a word that occurs in one line, else four steps for each doubling."""
+    """Count as a byte: 1 for a word that occurs once, else four steps for each doubling."""
     return F.when(n <= 1, 1).otherwise(F.least(F.lit(127), F.floor(F.log2(n.cast("double")) * 4) - 2))
 
 
@@ -68,9 +68,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     ``prefix`` holds the rarest n - ceil(0.8 n) + 1 words but for the first ``skip``, which no other line has.
     """
     lines = _lines(docs)
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(
-        F.pmod("t", F.lit(2**COUNT_BITS)).alias("bucket")
-    )
+    word = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w != ''").select(F.xxhash64("w").alias("t"))
+    counts = word.groupBy(F.pmod("t", F.lit(2**COUNT_BITS)).alias("bucket"))
     table = fixed_table(counts.agg(_code(F.count("*")).alias("code")), COUNT_BITS)
     # A column of its own first: a subquery may not be written inside a lambda. The optimizer moves it there, so that
     # the table is not copied into any row.
