@@ -1,13 +1,30 @@
 """The registered queries of this subpackage, each over its whole table, and the SQL that some must agree with."""
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarmac.llm import line_dedup, mixing, near_dups, packing, quality
+from tarmac.llm import (
+    lattice,
+    line_dedup,
+    main_text,
+    mixing,
+    near_dups,
+    packing,
+    quality,
+    suffix_dedup,
+    tokens,
+    url_rules,
+)
 from tarmac.llm.text import SPACES, word_count
 from tarmac.plans.session import tune
 
+# The vocabulary of the token counts.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,6 +43,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents")).drop("dk")
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(list(url_rules.RULES), "verdict string, host string, path string")
+    return url_rules.judge_urls(pages, rules).drop("url")
+
+
+ORACLES["op3_url_filters"] = r"""
+with parts as (
+  select page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) as host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages
+), rules(verdict, rule_host, rule_path) as (
+  values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), best as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(verdict, length(rule_host || rule_path)) as verdict
+  from parts, rules
+  where (host = rule_host or suffix(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join best using (page_id)
+"""
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -37,6 +85,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read(spark, sf_dir, "documents")).drop("dk")
 
 
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines, those that go, and the numbers of the word lines that stay."""
@@ -91,6 +144,17 @@ from documents d left join counts c using (doc_id) left join kept k using (doc_i
 """
 
 
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(VOCABULARY).read_text(encoding="utf-8")
+    return tokens.token_counts(read(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
