@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tarmac.functions import rules
 from tarmac.functions.expr import OPEN_FLIGHT, booking_reference, class_price
 from tarmac.functions.rules import emptied, first_failure
-from tarmac.operators.listings import MAX_SEATS
 from tarmac.plans.airline import booked_seats
 from tarmac.plans.combine import asked_for
 from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, is_ok
+from tarmac.plans.running import running
 from tarmac.sources.work import stored
 
 SPREAD = 1024
@@ -145,10 +145,17 @@ def booking_rows(accepted: DataFrame, first_id: int) -> DataFrame:
 
 
 def _travellers(accepted: DataFrame, first_passenger_id: int) -> DataFrame:
-    """One row per passenger of the accepted requests. A request has at most ``MAX_SEATS``, so the numbers are unique."""
-    number = F.col("request_id") * MAX_SEATS + F.col("pos")
+    """One row per passenger of the accepted requests, numbered from 0 by request and place, however many they are.
+
+    ``request_id`` must be unique over the batch.
+    """
+    sizes = accepted.select("request_id", F.coalesce(F.size("passengers"), F.lit(0)).alias("_n"))
+    sizes = sizes.withColumn("_n", F.greatest("_n", F.lit(0)))
+    offsets = running(sizes, [F.col("request_id").asc()], {"_before": "_n"})
+    accepted = accepted.join(offsets, "request_id")
+    number = F.col("_before") + F.col("pos")
     known = F.nullif(F.col("col.passenger_id"), F.lit(0))
-    return accepted.select("request_id", "request_ts", "user_id", F.posexplode("passengers")).select(
+    return accepted.select("request_id", "request_ts", "user_id", "_before", F.posexplode("passengers")).select(
         "request_id",
         "request_ts",
         "user_id",

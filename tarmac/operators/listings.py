@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.expr import OPEN_FLIGHT, class_price, day, lenient_int
 from tarmac.plans import paging
-from tarmac.plans.airline import booked_seats, passengers_per_booking, with_aircraft, with_airports
+from tarmac.plans.airline import booked_seats, with_aircraft, with_airports
 from tarmac.plans.combine import asked_for
+from tarmac.plans.running import running
 
-# Page sizes of the flight administration, and the most seats one aircraft may have.
+# Page sizes of the flight administration.
 DEFAULT_LIMIT, MAX_LIMIT = 50, 100
-MAX_SEATS = 1000
+# Passengers in one row of nested ones.
+ARRAY_WIDTH = 1000
 
 FLIGHT_COLUMNS = [
     "flight_id",
@@ -322,25 +324,21 @@ def booking_passenger_detail(detail: DataFrame, booking_passengers: DataFrame, p
 def nested_passengers(
     booking_passengers: DataFrame,
     passengers: DataFrame,
-    array_rows: int = MAX_SEATS,
+    width: int = ARRAY_WIDTH,
     order: tuple[str, ...] = ("booking_passenger_id",),
 ) -> DataFrame:
-    """Passengers of a booking as arrays of structs in ``order``.
+    """Passengers of a booking as arrays of structs in ``order``, which must be total inside a booking.
 
-    A booking has one row, ``part`` 0, unless it holds more than ``array_rows`` passengers; those are spread over
-    several parts by a hash, so that no task gathers them all.
+    Row ``part`` of a booking holds its passengers ``part * width`` to ``(part + 1) * width - 1`` in that order, so a
+    booking of any size is cut alike and no task gathers more than one part.
     """
-    parts = F.ceil(F.col("passenger_count") / array_rows).cast("int")
-    large = (
-        passengers_per_booking(booking_passengers)
-        .where(F.col("passenger_count") > array_rows)
-        .select("booking_id", parts.alias("parts"))
-    )
-    part = F.pmod(F.xxhash64("booking_passenger_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    item = F.struct(*order, F.struct("booking_passenger_id", *PASSENGER_COLUMNS, "seat_number").alias("passenger"))
+    rows = passenger_rows(booking_passengers, passengers).withColumn("_one", F.lit(1))
+    placed = running(rows, [F.col("booking_id").asc(), *[F.col(c).asc() for c in order]], {"_place": "_one"})
+    first = placed.groupBy("booking_id").agg(F.min("_place").alias("_first"))
+    part = F.floor((F.col("_place") - F.col("_first")) / width).cast("int")
+    item = F.struct("_place", F.struct("booking_passenger_id", *PASSENGER_COLUMNS, "seat_number").alias("passenger"))
     return (
-        passenger_rows(booking_passengers, passengers)
-        .join(large, "booking_id", "left")
+        placed.join(first, "booking_id")
         .withColumn("part", part)
         .repartition("booking_id", "part")
         .groupBy("booking_id", "part")

@@ -99,7 +99,7 @@ def create_aircraft(requests: DataFrame, aircraft: DataFrame) -> Outcome:
 
 
 def create_flights(requests: DataFrame, flights: DataFrame) -> Outcome:
-    """New flights with a unique number; a business or first class price of 0 or null is derived from the base price.
+    """New flights with a unique number; a business or first class price of 0, empty or null is derived from the base price.
 
     The first failing check wins: required fields, number, readable dates and price, order of the dates. A number is
     taken if the base table has it or an earlier request got it, and that is tested before the dates.
@@ -115,7 +115,9 @@ def create_flights(requests: DataFrame, flights: DataFrame) -> Outcome:
     def price(name: str, factor: str):
         given = F.col(name).try_cast(PRICE)
         derived = (base.cast("decimal(20,2)") * F.lit(factor).cast("decimal(2,1)")).try_cast(PRICE)
-        return F.when(F.coalesce(given, F.lit(0)) == 0, derived).otherwise(given).alias(name)
+        return F.when(blank(F.col(name)) | (given == 0), derived).otherwise(given)
+
+    business, first_class = price("business_price", "1.5"), price("first_class_price", "2.0")
 
     checked = requests.select(
         "request_id",
@@ -126,14 +128,16 @@ def create_flights(requests: DataFrame, flights: DataFrame) -> Outcome:
         departure.alias("departure_datetime"),
         arrival.alias("arrival_datetime"),
         base.alias("base_price"),
-        price("business_price", "1.5"),
-        price("first_class_price", "2.0"),
+        business.alias("business_price"),
+        first_class.alias("first_class_price"),
         F.coalesce("status", F.lit("scheduled")).alias("status"),
         F.when(missing, F.array(F.lit("missing_fields"))).otherwise(F.array().cast("array<string>")).alias("missing"),
         first_failure(
             (departure.isNull() | arrival.isNull(), "invalid_date"),
             (arrival <= departure, "arrival_not_after_departure"),
             (base.isNull() | lenient_int(F.col("aircraft_id")).isNull(), "invalid_number"),
+            # Given but unreadable, or too large, be it given or derived.
+            (business.isNull() | first_class.isNull(), "invalid_number"),
         ).alias("late"),
     )
     complete = F.size("missing") == 0

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tarmac.plans.combine import asked_for
 
-# A key with more rows than this is spread over parts of this many; at most so many keys are (the largest ones).
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+# A key with more than this share of the rows is spread over parts of that many rows. Fewer keys than its inverse can be
+# so large. Parts of fewer rows than the second number would not be worth their place.
+HOT_SHARE = 1 / 10_000
+LEAST_ROWS = 100_000
 NULL_PARTS = 1024
 
 
@@ -22,15 +23,12 @@ def lookup(
 
     Keys are counted first, map-side, which also tells which rows of ``base`` are needed. Rows of a hot key go to as
     many partitions as its count asks for, and its row of ``base`` is repeated for each of them. The list of hot keys
-    is broadcast; it has no more than ``MAX_HOT_KEYS`` rows. Rows without a key match nothing and are spread as well.
+    is complete and broadcast: fewer than 1 / ``HOT_SHARE`` keys can each have more than that share of all rows. Rows without a key match nothing and are spread as well.
     """
     counts = (counted or feed).groupBy(*on).agg(F.count("*").alias("_rows"))
-    hot = (
-        counts.where(F.col("_rows") > HOT_ROWS)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / HOT_ROWS).cast("int").alias("_parts"))
-    )
+    rows_of_part = F.greatest(F.lit(float(LEAST_ROWS)), counts.agg(F.sum("_rows") * F.lit(HOT_SHARE)).scalar())
+    hot = counts.withColumn("_limit", rows_of_part).where(F.col("_rows") > F.col("_limit"))
+    hot = hot.select(*on, F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("_parts"))
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     spread = F.xxhash64(row_id)
     part = (

@@ -3,15 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows up to which a page is simply the end of a top-k.
-SHALLOW = 100_000
 ID_BLOCK = 100_000
 
 
 def page(df: DataFrame, order: list[Column], buckets: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of ``df`` in ``order``, which must be total."""
-    if offset + limit <= SHALLOW:
-        return df.orderBy(*order).offset(offset).limit(limit)
+    """Rows ``offset`` to ``offset + limit`` of ``df`` in ``order``, which must be total; found by counting."""
     return deep_page(df, order, buckets, offset, limit).orderBy(*order)
 
 

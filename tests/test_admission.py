@@ -170,3 +170,17 @@ def test_stream_carries_seats_from_batch_to_batch(spark, tmp_path):
     assert {r.request_id for r in rows if r.reason == ""} == expected
     full = accepted_requests(decided, feed(spark, requests), free).collect()
     assert {r.request_id: r.total_amount for r in full} == {r[0]: r[5] * (10 + r[3]) for r in requests if r[0] in expected}
+
+
+def test_passengers_of_large_requests_get_ids_of_their_own(spark):
+    people = "transform(sequence(1, n), x -> named_struct('passenger_id', CAST(null AS BIGINT), 'first_name', 'A', "
+    people += "'last_name', 'B', 'date_of_birth', '2000-01-01', 'passport_number', '', 'nationality', '', "
+    people += "'seat_number', '', 'save', false)) AS passengers"
+    accepted = spark.createDataFrame([(1, 1500), (2, 10)], "request_id long, n int").selectExpr(
+        "request_id", "TIMESTAMP_NTZ'2001-07-01 00:00:00' AS request_ts", "7L AS user_id", people
+    )
+    new = admission.new_passenger_rows(accepted, 10**6)
+    assert new.select("passenger_id").distinct().count() == new.count() == 1510
+    links = admission.link_rows(accepted, 1000, 10**6, 10**7)
+    assert links.select("booking_passenger_id").distinct().count() == 1510
+    assert links.join(new, "passenger_id").count() == 1510

@@ -134,7 +134,7 @@ def test_pages(airline):
     assert listings.page_bounds(2, 1000) == (2, 100)
 
 
-def test_deep_pages_are_the_same(spark, monkeypatch):
+def test_deep_pages_are_the_same(spark):
     """Pages found by counting equal pages read off the sorted list, with ties, microseconds and nulls."""
     rng = random.Random(1)
     times = [None, *(f"2001-07-{d:02d} 10:00:{s:02d}.{u:06d}" for d in (1, 2) for s in (0, 59) for u in (0, 1, 999999))]
@@ -146,7 +146,6 @@ def test_deep_pages_are_the_same(spark, monkeypatch):
     for offset, limit in [(0, 10), (37, 50), (195, 3), (390, 50), (400, 5)]:
         got = paging.deep_page(df, order, buckets, offset, limit).orderBy(*order).collect()
         assert [r.flight_id for r in got] == expected[offset : offset + limit]
-    monkeypatch.setattr(paging, "SHALLOW", 0)
     got = paging.page(df, order, buckets, 100, 20).collect()
     assert [r.flight_id for r in got] == expected[100:120]
 
@@ -186,11 +185,20 @@ def test_booking_with_nested_passengers(airline):
     assert sorted(r.booking_id for r in flat) == [1, 1, 1, 1, 2, 3]
 
 
-def test_large_bookings_are_split_without_loss(airline):
-    rows = listings.nested_passengers(airline["people"], airline["passengers"], array_rows=2).collect()
-    seats = [(r.booking_id, p.seat_number) for r in rows for p in r.passengers]
-    assert sorted(seats) == [(1, "0A"), (1, "1A"), (1, "2A"), (1, "3A"), (2, "4A")]
-    assert {r.part for r in rows} <= {0, 1}
+def test_bookings_are_cut_in_their_order(airline):
+    rows = listings.nested_passengers(airline["people"], airline["passengers"], width=2).collect()
+    parts = {(r.booking_id, r.part): [p.seat_number for p in r.passengers] for r in rows}
+    assert parts == {(1, 0): ["0A", "1A"], (1, 1): ["2A", "3A"], (2, 0): ["4A"]}
+
+
+def test_a_very_large_booking_keeps_its_order(spark):
+    ids = spark.range(2500)
+    links = ids.selectExpr("id AS booking_passenger_id", "1L AS booking_id", "id AS passenger_id", "'' AS seat_number")
+    people = table(spark, "passengers", *[{"passenger_id": i, "last_name": f"{9999 - i:05d}"} for i in range(2500)])
+    rows = listings.nested_passengers(links, people, order=("last_name", "booking_passenger_id")).collect()
+    names = [p.last_name for r in sorted(rows, key=lambda r: r.part) for p in r.passengers]
+    assert [len(r.passengers) for r in sorted(rows, key=lambda r: r.part)] == [1000, 1000, 500]
+    assert names == sorted(names) and len(set(names)) == 2500
 
 
 def test_people(airline):

@@ -7,10 +7,10 @@ from tarmac.plans import lookup as module
 from tarmac.plans.lookup import lookup
 
 
-@pytest.fixture(params=[(1_000_000, 10_000), (50, 10_000), (50, 1)], ids=["none hot", "all hot", "one hot"])
+@pytest.fixture(params=[(1e-4, 100_000), (1e-3, 1), (0.1, 1)], ids=["none hot", "all hot", "some hot"])
 def limits(request, monkeypatch):
-    monkeypatch.setattr(module, "HOT_ROWS", request.param[0])
-    monkeypatch.setattr(module, "MAX_HOT_KEYS", request.param[1])
+    monkeypatch.setattr(module, "HOT_SHARE", request.param[0])
+    monkeypatch.setattr(module, "LEAST_ROWS", request.param[1])
 
 
 def feed(spark):
@@ -38,7 +38,7 @@ def test_two_keys(spark, limits):
 
 
 def test_a_hot_key_takes_several_parts(spark, monkeypatch):
-    monkeypatch.setattr(module, "HOT_ROWS", 50)
+    monkeypatch.setattr(module, "LEAST_ROWS", 50)
     df = lookup(feed(spark), spark.range(30).withColumnRenamed("id", "key"), ["key"], "id")
     joined = df._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in joined and df.count() == 2000

@@ -191,11 +191,16 @@ def test_flights(spark):
         flight(17, business_price="70", first_class_price=None, status="boarding"),
         flight(18, base_price="cheap"),
         flight(19, base_price="0"),
+        flight(20, business_price="abc"),
+        flight(21, first_class_price="99999999999"),
+        flight(22, base_price="60000000", first_class_price=""),
+        flight(23, business_price="-99999999999"),
+        flight(24, business_price=""),
     ]
     outcome = requests.create_flights(frame(spark, FLIGHT, rows), flights)
     got = reasons(outcome.decided)
     assert all(got[i] == ["missing_fields"] for i in range(7))
-    assert {i: got[i] for i in range(10, 20)} == {
+    assert {i: got[i] for i in range(10, 25)} == {
         10: ["flight_number_taken"],
         11: ["invalid_date"],
         12: ["arrival_not_after_departure"],
@@ -206,6 +211,11 @@ def test_flights(spark):
         17: [],
         18: ["invalid_number"],
         19: [],
+        20: ["invalid_number"],
+        21: ["invalid_number"],
+        22: ["invalid_number"],
+        23: ["invalid_number"],
+        24: [],
     }
     accepted = {r.request_id: r for r in outcome.accepted.collect()}
     assert accepted[14].business_price == Decimal("50.00") and accepted[14].first_class_price == Decimal("66.66")
@@ -213,3 +223,4 @@ def test_flights(spark):
     assert accepted[14].aircraft_id == 12 and accepted[14].status == "scheduled"
     assert accepted[14].arrival_datetime == ts("2001-08-01 12:00:00")
     assert accepted[19].business_price == 0
+    assert accepted[24].business_price == Decimal("50.00")
