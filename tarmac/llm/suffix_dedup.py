@@ -2,9 +2,8 @@
 
 1. Rows of equal texts are one class; a class of several rows and at least 400 bytes is removed whole and still matches
    others. The rest goes on with one text for each class.
-2. Of each text's 32-byte grams those that are least, by hash, among the grams of some 400-byte window are its anchors:
-   equal windows have equal anchors. Only windows whose anchors all occur twice can occur twice; the bytes of these
-   windows are the regions to be sorted, laid end to end.
+2. The least, by hash, of the 32-byte grams of a 400-byte window is its anchor: equal windows have equal anchors. Only
+   windows whose anchor occurs twice can occur twice; their bytes are the regions to be sorted, laid end to end.
 3. Suffixes at places 1 and 2 modulo 3 are sorted by their first three symbols and named by their order. While names are
    shared and say less than 400 bytes, the string of names is sorted by the same steps. The other suffixes are ordered by
    a symbol and the rank of the sampled suffix behind it; counts of smaller suffixes in the lists of two classes each
@@ -12,7 +11,7 @@
 4. In the order of ranks, equal 400-byte windows are neighbours. A window that equals the one before or behind it marks
    its bytes.
 
-Sums over the order come from ranges (``order.running``), symbols behind a place from blocks with a margin, so no step
+Sums over the order come from ranges (``running``), symbols behind a place from blocks with a margin, so no step
 needs all rows in one task. Windows are compared by 64-bit hashes.
 """
 
@@ -24,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.grams import U, Texts, mix, span_hashes, texts
-from tarmac.llm.order import running
+from tarmac.llm.grams import U, span_hashes, texts
+from tarmac.plans.running import running
 from tarmac.sources.work import stored
 
 LENGTH = 400
@@ -43,10 +42,8 @@ def _all_spans(data: np.ndarray, length: int) -> np.ndarray:
     return span_hashes(data, starts, starts + length)
 
 
-def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places and hashes of a text's anchors; none for a text without a window."""
-    if len(data) < LENGTH:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's grams, and for each window the least of its grams."""
     grams = _all_spans(data, GRAM)
     width = LENGTH - GRAM + 1
     n = len(grams)
@@ -55,11 +52,7 @@ def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-    # A gram is an anchor if it equals the least of some window that holds it: of ties all are.
-    least = np.unique(least)
-    places = np.flatnonzero(least[np.minimum(np.searchsorted(least, grams), len(least) - 1)] == grams)
-    return places, grams[places]
+    return grams, np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,14 +62,17 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of a task's texts, of equal texts once: twice the hash where it occurs again in the text."""
+    """The anchors of a task's texts, of equal texts once, and whether the gram occurs again in the text."""
     seen: set[int] = set()
     for batch in batches:
         keys = batch.column("tk").to_pylist()
         for i, data in _documents(batch):
             if keys[i] not in seen and len(data) >= LENGTH:
                 seen.add(keys[i])
-                hashes, counts = np.unique(_anchors(data)[1], return_counts=True)
+                grams, least = _grams(data)
+                hashes = np.unique(least)
+                at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+                counts = np.bincount(at[hashes[at] == grams], minlength=len(hashes))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(hashes), keys[i])), pa.array(hashes.view(np.int64)), pa.array(counts > 1)],
                     names=["tk", "hash", "again"],
@@ -94,13 +90,7 @@ def _regions(twice):
                 if keys[i] in seen or len(data) < LENGTH:
                     continue
                 seen.add(keys[i])
-                places, hashes = _anchors(data)
-                once = ~twice.value[(hashes >> U(64 - ANCHOR_BITS)).astype(np.int64)]
-                # A window is out if it holds an anchor that occurs once.
-                out = np.zeros(len(data) + 1, dtype=np.int64)
-                np.add.at(out, np.maximum(places[once] + GRAM - LENGTH, 0), 1)
-                np.add.at(out, np.minimum(places[once] + 1, len(data)), -1)
-                maybe = np.cumsum(out)[: len(data) - LENGTH + 1] == 0
+                maybe = twice.value[(_grams(data)[1] >> U(64 - ANCHOR_BITS)).astype(np.int64)]
                 cover = np.zeros(len(data) + 1, dtype=np.int64)
                 starts = np.flatnonzero(maybe)
                 np.add.at(cover, starts, 1)

@@ -12,7 +12,7 @@ these hosts. The longest rule that fits decides.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.order import PART
+from tarmac.plans.running import PART
 from tarmac.sources.work import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
