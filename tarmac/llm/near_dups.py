@@ -8,8 +8,8 @@ their sets is at least 0.8. Documents of equal sets are one class and links are
 2. A global order of shingles is: count in the table, then a hash that differs from order to order. In each order, two
    sets of n and m shingles that link share one of the first n - a + 1 and m - a + 1, with a = ceil(0.8/1.8 * (n + m)).
    This holds for any order, so a table place that several shingles share costs nothing but speed.
-3. Classes with the same least shingle are held against the earliest of them. What is verified joins most members of a
-   group of near copies into one component, whatever the group's size.
+3. Classes with the same least shingle are held against the earliest of them, first those that agree in most orders.
+   What is verified joins most members of a group of near copies into one component, whatever the group's size.
 4. The prefixes in the first order are dealt out by shingle. Shingles of a single component are dropped: more links
    inside it change nothing. On the others, members outside the largest component present are held against all of other
    components. A pair must share as many prefix shingles as its lengths require, and one in each further order.
@@ -225,7 +225,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, codes) -> DataFrame:
 
 
 def _first_pairs(classes: DataFrame) -> DataFrame:
-    """Classes with a common least shingle, each with the earliest of them, where the sizes allow a link."""
+    """Classes (x) with the earliest class (y) of each least shingle, where the sizes allow a link, and how often."""
     lows = classes.select(
         "sig", "n", F.posexplode(F.array(*[f"low{j}" for j in range(LOWS)])).alias("turn", "low")
     )
@@ -237,9 +237,14 @@ def _first_pairs(classes: DataFrame) -> DataFrame:
         (F.col("sig") != F.col("y"))
         & (WHOLE * F.least("n", "m") >= PART * F.greatest("n", "m"))
     )
-    # The lead met most often is the likeliest link; others follow by way of the shared shingles.
-    met = pairs.groupBy(F.col("sig").alias("x"), "y").agg(F.count("*").alias("times"))
-    return met.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y"))
+    return stored(pairs.groupBy(F.col("sig").alias("x"), "y").agg(F.count("*").alias("times")), "first")
+
+
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    for c in ("x", "y"):
+        pairs = pairs.join(part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left")
+    return pairs.where(F.coalesce("x_part", "x") != F.coalesce("y_part", "y")).select("x", "y")
 
 
 def _other_pairs(rows: DataFrame, part: DataFrame) -> DataFrame:
@@ -270,7 +275,9 @@ def _other_pairs(rows: DataFrame, part: DataFrame) -> DataFrame:
 
     least = F.ceil(PART * (F.col("n") + F.col("m")) / F.lit(SIZES))
     enough = F.col("shared") + F.greatest(behind("n"), behind("m")) >= least
-    return shared.where(enough).select(F.col("x_sig").alias("x"), F.col("y_sig").alias("y"))
+    likeness = F.col("shared") / (F.col("n") + F.col("m"))
+    found = shared.where(enough).select(F.col("x_sig").alias("x"), F.col("y_sig").alias("y"), likeness.alias("likeness"))
+    return stored(found, "candidates")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,14 +306,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *[f"low{j}" for j in range(LOWS)])]
     )
     classes = stored(classes, "classes")
-    links = _verified(_first_pairs(classes), docs, codes)
+    # The lead that a class meets most often is its likeliest link; the others come next, where they would be news.
+    first = _first_pairs(classes)
+    likeliest = first.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y"))
+    links = _verified(likeliest, docs, codes)
+    part = stored(components(links), "part")
+    links = links.unionByName(_verified(_apart(first.select("x", "y"), part), docs, codes))
     part = stored(components(links), "part")
 
     rows = docs.select("text").mapInArrow(_prefix_rows(codes), "key long, sig long, n int")
     one = Window.partitionBy("key")
     rows = rows.withColumns({"low": F.min("sig").over(one), "high": F.max("sig").over(one)}).where("low < high")
     rows = stored(rows.select("key", "sig", "n").distinct(), "shared")
-    links = links.unionByName(_verified(_other_pairs(rows, part), docs, codes))
+    # Each class's likeliest pair first; of the others, those that this has not put into one component.
+    others = _other_pairs(rows, part)
+    likeliest = others.groupBy("x").agg(F.max_by("y", F.struct("likeness", "y")).alias("y"))
+    links = links.unionByName(_verified(likeliest, docs, codes))
+    part = stored(components(links), "part")
+    links = links.unionByName(_verified(_apart(others.select("x", "y"), part), docs, codes))
     part = stored(components(links), "part")
 
     part = part.join(classes.select(F.col("sig").alias("node"), "doc_id"), "node")
