@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+import checks
 from tarmac.operators import reports
 from tarmac.schemas import TABLES
 from tarmac.sources.tables import load_tables
@@ -12,7 +13,7 @@ from rows import table
 
 SMALL = "/root/testdata/sf0.001"
 # These run jobs of their own before they return a plan.
-LAZY = [n for n in contract.queries() if not n.endswith(("_stream", "_tables", "_snapshot"))]
+LAZY = [n for n in checks.QUERIES if not n.endswith(("_stream", "_tables", "_snapshot"))]
 
 
 def plan(df) -> str:
