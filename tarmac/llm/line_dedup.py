@@ -7,8 +7,9 @@ if an earlier line, by (doc_id, text's hash, line number), matches it, whether o
 2. Words are ordered by rarity: their count over all texts in a table of fixed length, then their hash. Words that share
    a place in the table share a count, which changes the order but nothing in the result: prefix filtering is exact for
    any order of all words.
-3. Classes that share their smallest word hash are held against the earliest of them first. In a large group of near
-   copies nearly every line is settled so, and only pairs with an unsettled line are looked for afterwards.
+3. Classes that share the least word in one of a few random orders are held against the earliest of them first. In a
+   large group of near copies nearly every line is settled so, and only pairs with an unsettled line are looked for
+   afterwards.
 4. Two sets of n and m words that match share at least a = ceil(0.8 / 1.8 * (n + m)) words, and so have a first common
    word at place n - a or before in the one and m - a or before in the other. Pairs that meet on a word are kept if
    their lengths and both places allow that, and if at most n + m - 2a bits differ between parity bitmaps of the sets.
@@ -29,6 +30,8 @@ COUNT_BITS = 20
 MARK_BITS = 21
 # Jaccard similarity as a fraction.
 PART, WHOLE = 4, 5
+# Turns the order of word hashes: with it and without, the first and the last word make four random orders.
+TURN = 0x2AAAAAAA
 SHARE, SIZES = PART, PART + WHOLE
 
 
@@ -63,9 +66,9 @@ def _could_match(a: str, b: str) -> Column:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row for each set of words: id, pos of the earliest line, n, bits, low (smallest hash), skip and prefix.
+    """One row for each set of words: id, pos of the earliest line, n, bits, lows, skip and prefix.
 
-    ``prefix`` holds the rarest n - ceil(0.8 n) + 1 words but for the first ``skip``, which no other line has.
+    ``lows`` holds the least word of a few random orders. ``prefix`` holds the rarest n - ceil(0.8 n) + 1 words but for the first ``skip``, which no other line has.
     """
     lines = _lines(docs)
     word = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w != ''").select(F.xxhash64("w").alias("t"))
@@ -97,12 +100,14 @@ def _classes(docs: DataFrame) -> DataFrame:
         length.alias("length"),
         F.transform("keys", lambda k: F.hash(k)).alias("short"),
     )
-    rows = rows.select(
-        "pos", "n", "sig", "bits", "skip", F.array_min("short").alias("low"),
+    turned = F.transform("short", lambda k: k.bitwiseXOR(F.lit(TURN)))
+    rows = rows.withColumn("turned", turned).select(
+        "pos", "n", "sig", "bits", "skip",
+        F.array(*[f(c) for c in ("short", "turned") for f in (F.array_min, F.array_max)]).alias("lows"),
         F.slice("short", F.col("skip") + 1, F.greatest(F.col("length") - F.col("skip"), F.lit(0))).alias("prefix"),
     )
     classes = rows.groupBy("sig").agg(
-        F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "low", "bits", "skip", "prefix")]
+        F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "lows", "bits", "skip", "prefix")]
     )
     return stored(classes.drop("sig").withColumn("id", F.monotonically_increasing_id()), "classes")
 
@@ -144,17 +149,18 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """
     docs = _keyed(docs)
     classes = _classes(docs)
-    leads = classes.groupBy("low").agg(
+    members = classes.select("pos", "id", "n", "bits", F.posexplode("lows").alias("turn", "low"))
+    leads = members.groupBy("turn", "low").agg(
         F.min_by(F.struct("id", "n", "bits"), "pos").alias("lead"), F.count("*").alias("members")
     )
     leads = leads.where("members > 1").select(
-        "low", F.col("lead.id").alias("y_id"), F.col("lead.n").alias("y_n"), F.col("lead.bits").alias("y_bits")
+        "turn", "low", F.col("lead.id").alias("y_id"), F.col("lead.n").alias("y_n"), F.col("lead.bits").alias("y_bits")
     )
-    members = classes.select(
-        "low", F.col("id").alias("x_id"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits")
+    members = members.select(
+        "turn", "low", F.col("id").alias("x_id"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits")
     )
-    first = members.join(leads, "low").where(_could_match("x_", "y_"))
-    first = stored(first.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")), "first")
+    first = members.join(leads, ["turn", "low"]).where(_could_match("x_", "y_"))
+    first = stored(first.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), "first")
     settled = stored(_verified(first, classes, docs), "settled")
 
     flagged = classes.join(settled.withColumn("settled", F.lit(True)), "id", "left")
