@@ -8,8 +8,8 @@ if an earlier line, by (doc_id, text's hash, line number), matches it, whether o
    a place in the table share a count, which changes the order but nothing in the result: prefix filtering is exact for
    any order of all words.
 3. Classes that share the least word in one of a few random orders are held against the earliest of them first. In a
-   large group of near copies nearly every line is settled so, and only pairs with an unsettled line are looked for
-   afterwards.
+   large group of near copies nearly every line is settled so, and only pairs with an unsettled line, which a settled one of a later document
+   cannot change, are looked for afterwards.
 4. Two sets of n and m words that match share at least a = ceil(0.8 / 1.8 * (n + m)) words, and so have a first common
    word at place n - a or before in the one and m - a or before in the other. Pairs that meet on a word are kept if
    their lengths and both places allow that, and if at most n + m - 2a bits differ between parity bitmaps of the sets.
@@ -112,6 +112,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     return stored(classes.drop("sig").withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
+def _n() -> Column:
+    return F.shiftright("packed", 32)
+
+
+def _i() -> Column:
+    return F.shiftright(F.col("packed").bitwiseAND(F.lit(2**32 - 1)), 1)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (x, y) of class ids that match, as the id of the later one.
 
@@ -164,20 +172,29 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     settled = stored(_verified(first, classes, docs), "settled")
 
     flagged = classes.join(settled.withColumn("settled", F.lit(True)), "id", "left")
-    words_of = flagged.select(
-        "id", "n", "bits", F.col("settled").isNull().alias("open"), "skip", F.posexplode("prefix").alias("i", "word")
+    # Words in the set, place and whether the line is open share a column: this is the widest exchange.
+    open_, place = F.col("settled").isNull().cast("long"), (F.col("i") + F.col("skip")).cast("long")
+    words_of = flagged.select("id", "bits", "n", "skip", "settled", "pos.doc_id", F.posexplode("prefix").alias("i", "word"))
+    words_of = words_of.select(
+        "word", "id", "bits", "doc_id", (F.col("n").cast("long") * 2**32 + place * 2 + open_).alias("packed")
     )
-    words_of = words_of.select("word", "id", "n", "bits", "open", (F.col("i") + F.col("skip")).alias("i"))
     dealt = words_of.repartition("word")
+    is_open = F.col("packed").bitwiseAND(F.lit(1)) == 1
     # Not pushed below the exchange, which both sides share: a filter that is not deterministic stays where it is.
-    left = dealt.where(F.col("open") | (F.rand(1) < 0))
-    left = left.select("word", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "bits", "i")])
-    right = dealt.select("word", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "bits", "i", "open")])
+    left = dealt.where(is_open | (F.rand(1) < 0))
+    side = ("id", "bits", "doc_id")
+    left = left.select("word", *[F.col(c).alias(f"x_{c}") for c in side], _n().alias("x_n"), _i().alias("x_i"))
+    right = dealt.select(
+        "word", *[F.col(c).alias(f"y_{c}") for c in side], _n().alias("y_n"), _i().alias("y_i"), is_open.alias("y_open")
+    )
     least = _at_least(F.col("x_n"), F.col("y_n"))
     met = left.hint("merge").join(
         right,
         (left["word"] == right["word"])
-        & (~F.col("y_open") | (F.col("x_id") < F.col("y_id")))
+        # Two open lines meet once; a settled one matters to an open one only if it is earlier.
+        & F.when(F.col("y_open"), F.col("x_id") < F.col("y_id")).otherwise(
+            F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True))
+        )
         & _could_match("x_", "y_")
         & (F.col("x_i") <= F.col("x_n") - least)
         & (F.col("y_i") <= F.col("y_n") - least),
