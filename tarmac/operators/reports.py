@@ -55,6 +55,10 @@ def _this_month(bookings: DataFrame, as_of: date | str) -> DataFrame:
     return _until(_since(bookings, as_of, 0), as_of).where(in_month(F.col("booking_date"), as_of))
 
 
+def _month(as_of: date | str, back: int = 0) -> Column:
+    return F.date_format(F.add_months(day(as_of), -back), "yyyy-MM")
+
+
 def _by_month(bookings: DataFrame, as_of: date | str, **totals: Column) -> DataFrame:
     recent = _since(bookings, as_of, TREND_MONTHS).where(since_months(F.col("booking_date"), as_of, TREND_MONTHS))
     return (
@@ -64,6 +68,13 @@ def _by_month(bookings: DataFrame, as_of: date | str, **totals: Column) -> DataF
     )
 
 
+def _cells(bookings: DataFrame, as_of: date | str, key: str, total: Column, name: str) -> DataFrame:
+    """``total`` by ``key``, month and whether the trend counts it: what a report's parts share of one scan."""
+    recent = F.coalesce(since_months(F.col("booking_date"), as_of, TREND_MONTHS), F.lit(False))
+    month = F.date_format("booking_date", "yyyy-MM")
+    return bookings.groupBy(key, month.alias("month"), recent.alias("recent")).agg(total.alias(name))
+
+
 # Revenue
 
 
@@ -75,9 +86,9 @@ def monthly_revenue(bookings: DataFrame, as_of: date | str) -> DataFrame:
     return total_revenue(_this_month(bookings, as_of))
 
 
-def revenue_by_route(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 5) -> DataFrame:
+def _top_revenue(paid: DataFrame, flights: DataFrame, airports: DataFrame, k: int) -> DataFrame:
     totals = route_totals(
-        bookings.where(is_paid()),
+        paid,
         flights,
         airports,
         partial={"revenue": F.sum("total_amount")},
@@ -87,6 +98,10 @@ def revenue_by_route(bookings: DataFrame, flights: DataFrame, airports: DataFram
     return totals.select("route", revenue).orderBy(F.desc("revenue"), "route").limit(k)
 
 
+def revenue_by_route(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 5) -> DataFrame:
+    return _top_revenue(bookings.where(is_paid()), flights, airports, k)
+
+
 def route_revenue(bookings: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
     return revenue_by_route(bookings, flights, airports, k=10)
 
@@ -110,22 +125,24 @@ def revenue_growth(bookings: DataFrame, as_of: date | str) -> DataFrame:
 
 
 def revenue_report(bookings: DataFrame, flights: DataFrame, airports: DataFrame, as_of: date | str) -> DataFrame:
-    ts, amount = F.col("booking_date"), F.col("total_amount")
+    """All parts come from one scan of the bookings, reduced by flight and month and stored."""
+    amount, month = F.col("total_amount"), F.col("month")
+    paid = stored(_cells(bookings.where(is_paid()), as_of, "flight_id", F.sum(amount), "total_amount"), "paid")
     sums = (
-        bookings.where(is_paid())
-        .agg(
+        paid.agg(
             money(amount).alias("total_revenue"),
-            money(F.when(in_month(ts, as_of), amount)).alias("monthly_revenue"),
-            money(F.when(in_month(ts, as_of, back=1), amount)).alias("previous"),
+            money(F.when(month == _month(as_of), amount)).alias("monthly_revenue"),
+            money(F.when(month == _month(as_of, 1), amount)).alias("previous"),
         )
         .withColumn("growth", growth_pct(F.col("monthly_revenue"), F.col("previous")))
         .drop("previous")
     )
-    by_route = revenue_by_route(bookings, flights, airports)
+    by_route = _top_revenue(paid, flights, airports, 5)
+    trend = paid.where("recent").groupBy("month").agg(money(amount).alias("revenue"))
     return one_row(
         sums,
         as_array(by_route, [-F.col("revenue"), F.col("route")], ["route", "revenue"], "revenue_by_route"),
-        as_array(revenue_trend(bookings, as_of), [F.col("month")], ["month", "revenue"], "revenue_trend"),
+        as_array(trend, [month], ["month", "revenue"], "revenue_trend"),
     )
 
 
@@ -163,68 +180,80 @@ def booking_growth(bookings: DataFrame, as_of: date | str) -> DataFrame:
 
 
 def bookings_report(bookings: DataFrame, as_of: date | str) -> DataFrame:
-    ts = F.col("booking_date")
-    counts = (
-        bookings.agg(
-            F.count("*").alias("total_bookings"),
-            F.count_if(in_month(ts, as_of)).alias("monthly_bookings"),
-            F.count_if(in_month(ts, as_of, back=1)).alias("previous"),
-        )
-        .withColumn("growth", growth_pct(F.col("monthly_bookings"), F.col("previous")))
-        .drop("previous")
+    """One scan: counts by status and month, then all, by status and by month from these few."""
+    cells = _cells(bookings, as_of, "status", F.count("*"), "n").withColumns(
+        {f"n{back}": F.when(F.col("month") == _month(as_of, back), F.col("n")) for back in (0, 1)}
     )
-    return one_row(
-        counts,
-        as_array(booking_status_breakdown(bookings), [F.col("status")], ["status", "count"], "booking_status"),
-        as_array(booking_trend(bookings, as_of), [F.col("month")], ["month", "count"], "booking_trend"),
+    parts = cells.groupingSets([[], ["status"], ["month", "recent"]], "status", "month", "recent").agg(
+        F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1")]
     )
+    # Bits of the level stand for the columns that a row sums over: status, month, recent.
+    whole, by_status, by_month = (F.col("level") == level for level in (0b111, 0b011, 0b100))
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.max(F.when(whole, F.col(c))), F.lit(0))
+
+    def listed(of: Column, key: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(of, F.struct(key, F.col("n").alias("count")))))
+
+    counts = parts.agg(
+        total("n").alias("total_bookings"),
+        total("n0").alias("monthly_bookings"),
+        total("n1").alias("previous"),
+        listed(by_status, "status").alias("booking_status"),
+        listed(by_month & F.col("recent"), "month").alias("booking_trend"),
+    )
+    growth = growth_pct(F.col("monthly_bookings"), F.col("previous")).alias("growth")
+    return counts.select("total_bookings", "monthly_bookings", growth, "booking_status", "booking_trend")
 
 
 # Routes
 
 
-def popular_routes_city(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 3) -> DataFrame:
-    """Most booked city pairs; airports of one city count together."""
-    totals = route_totals(
-        bookings.where(_confirmed()),
+def _popular(cells: DataFrame, flights: DataFrame, airports: DataFrame, *keys: str) -> DataFrame:
+    """Bookings by route, from counts ``n`` of confirmed ones that have a flight_id."""
+    return route_totals(
+        cells,
         flights,
         airports,
-        partial={"booking_count": F.count("*")},
+        partial={"booking_count": F.sum("n")},
         combine={"booking_count": F.col("booking_count")},
+        keys=("from_city", "to_city", *keys),
     )
-    return totals.select("route", "booking_count").orderBy(F.desc("booking_count"), "route").limit(k)
 
 
-def popular_routes_airport(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 10) -> DataFrame:
-    """Most booked airport pairs."""
-    totals = route_totals(
-        bookings.where(_confirmed()),
-        flights,
-        airports,
-        partial={"booking_count": F.count("*")},
-        combine={"booking_count": F.col("booking_count")},
-        keys=("from_city", "to_city", "from_airport_code", "to_airport_code"),
-    )
+def _popular_cities(cells: DataFrame, flights: DataFrame, airports: DataFrame, k: int) -> DataFrame:
+    totals = _popular(cells, flights, airports).select("route", "booking_count")
+    return totals.orderBy(F.desc("booking_count"), "route").limit(k)
+
+
+def popular_routes_city(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 3) -> DataFrame:
+    """Most booked city pairs; airports of one city count together."""
+    return _popular_cities(_confirmed_cells(bookings, "flight_id"), flights, airports, k)
+
+
+def _popular_airports(cells: DataFrame, flights: DataFrame, airports: DataFrame, k: int) -> DataFrame:
+    from_code, to_code = F.col("from_airport_code").alias("from_code"), F.col("to_airport_code").alias("to_code")
+    totals = _popular(cells, flights, airports, "from_airport_code", "to_airport_code")
     return (
-        totals.select(
-            "route",
-            F.col("from_airport_code").alias("from_code"),
-            F.col("to_airport_code").alias("to_code"),
-            "booking_count",
-        )
+        totals.select("route", from_code, to_code, "booking_count")
         .orderBy(F.desc("booking_count"), "route", "from_code", "to_code")
         .limit(k)
     )
 
 
-def route_avg_price(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 10) -> DataFrame:
-    """City pairs by the mean list price of the booked class; bookings without a list price do not count."""
+def popular_routes_airport(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 10) -> DataFrame:
+    """Most booked airport pairs."""
+    return _popular_airports(_confirmed_cells(bookings, "flight_id"), flights, airports, k)
+
+
+def _avg_prices(cells: DataFrame, flights: DataFrame, airports: DataFrame, k: int) -> DataFrame:
     price = class_price(F.col("class"))
     totals = route_totals(
-        bookings.where(_confirmed()),
+        cells,
         flights,
         airports,
-        partial={"n": F.count("*")},
+        partial={"n": F.sum("n")},
         combine={
             "price_sum": (price.cast("decimal(18,2)") * F.col("n")).cast("decimal(38,2)"),
             "priced": F.when(price.isNotNull(), F.col("n")),
@@ -235,10 +264,23 @@ def route_avg_price(bookings: DataFrame, flights: DataFrame, airports: DataFrame
     return totals.select("route", mean.alias("avg_price")).orderBy(F.desc("avg_price"), "route").limit(k)
 
 
+def route_avg_price(bookings: DataFrame, flights: DataFrame, airports: DataFrame, k: int = 10) -> DataFrame:
+    """City pairs by the mean list price of the booked class; bookings without a list price do not count."""
+    return _avg_prices(_confirmed_cells(bookings, "flight_id", "class"), flights, airports, k)
+
+
+def _confirmed_cells(bookings: DataFrame, *keys: str, **totals: Column) -> DataFrame:
+    confirmed = bookings.where(_confirmed()).groupBy(*keys)
+    return confirmed.agg(F.count("*").alias("n"), *[c.alias(n) for n, c in totals.items()])
+
+
 def routes_report(bookings: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
-    popular = popular_routes_airport(bookings, flights, airports)
-    prices = route_avg_price(bookings, flights, airports)
-    revenue = route_revenue(bookings, flights, airports)
+    """The three lists come from one scan of the bookings, reduced by flight and class and stored."""
+    paid = {"paid": F.count_if(is_paid()), "total_amount": F.sum(F.when(is_paid(), F.col("total_amount")))}
+    cells = stored(_confirmed_cells(bookings, "flight_id", "class", **paid), "confirmed")
+    popular = _popular_airports(cells, flights, airports, 10)
+    prices = _avg_prices(cells, flights, airports, 10)
+    revenue = _top_revenue(cells.where("paid > 0"), flights, airports, 10)
     route = F.col("route")
     return one_row(
         as_array(
@@ -255,12 +297,30 @@ def routes_report(bookings: DataFrame, flights: DataFrame, airports: DataFrame)
 # Performance
 
 
-def _on_time_counts(flights: DataFrame) -> DataFrame:
-    return flights.agg(
+def _status_counts() -> list[Column]:
+    return [
         F.count_if(F.col("status").isin(*ON_TIME_FLIGHT)).alias("on_time"),
         F.count_if(F.col("status") == "delayed").alias("delayed"),
         F.count_if(F.col("status") == "cancelled").alias("cancelled"),
+    ]
+
+
+def _on_time_counts(flights: DataFrame) -> DataFrame:
+    return flights.agg(*_status_counts())
+
+
+def _fleet_figures(flights: DataFrame, aircraft: DataFrame) -> DataFrame:
+    """One row from one scan of the flights: counts by status, minutes of on-time flights, seats of all and on-time ones."""
+    minutes = F.when(F.col("status").isin(*ON_TIME_FLIGHT), _minutes())
+    per_aircraft = flights.groupBy("aircraft_id").agg(
+        *_status_counts(), F.count("*").alias("flights"), F.sum(minutes).alias("minutes"), F.count(minutes).alias("timed")
     )
+    seats = F.col("capacity").cast("long")
+    figures = {c: F.col(c) for c in ("on_time", "delayed", "cancelled", "minutes", "timed")}
+    figures |= {"seats_all": seats * F.col("flights"), "seats_on_time": seats * F.col("on_time")}
+    # Flights of an unknown aircraft offer no seats, but count otherwise.
+    known = per_aircraft.join(aircraft.select("aircraft_id", "capacity"), "aircraft_id", "left")
+    return known.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in figures.items()])
 
 
 def on_time_rate(flights: DataFrame) -> DataFrame:
@@ -311,8 +371,12 @@ def occupancy_active_flights(
     return _occupancy(_seats_booked(bookings, booking_passengers), _seats_offered(flights, aircraft, "active_count"))
 
 
+def _minutes() -> Column:
+    return F.timestamp_diff("MINUTE", F.col("departure_datetime"), F.col("arrival_datetime"))
+
+
 def avg_flight_time(flights: DataFrame) -> DataFrame:
-    minutes = F.timestamp_diff("MINUTE", F.col("departure_datetime"), F.col("arrival_datetime"))
+    minutes = _minutes()
     mean = F.try_divide(F.sum(minutes).cast("double"), F.count(minutes).cast("double"))
     return (
         flights.where(F.col("status").isin(*ON_TIME_FLIGHT))
@@ -324,13 +388,20 @@ def avg_flight_time(flights: DataFrame) -> DataFrame:
 def performance_report(
     bookings: DataFrame, booking_passengers: DataFrame, flights: DataFrame, aircraft: DataFrame
 ) -> DataFrame:
-    punctual = on_time_performance(flights).select(
-        F.col("rate").alias("on_time_rate"), "on_time", "delayed", "cancelled", F.col("total").alias("flights_counted")
+    figures = one_row(_seats_booked(bookings, booking_passengers), _fleet_figures(flights, aircraft))
+    counted = F.col("on_time") + F.col("delayed") + F.col("cancelled")
+    mean = F.try_divide(F.col("minutes").cast("double"), F.col("timed").cast("double"))
+    return figures.select(
+        pct_round(F.col("on_time"), counted).alias("on_time_rate"),
+        "on_time",
+        "delayed",
+        "cancelled",
+        counted.alias("flights_counted"),
+        pct_round(F.col("booked"), F.col("seats_on_time")).alias("occupancy_rate"),
+        F.col("booked").alias("seats_booked"),
+        F.col("seats_on_time").alias("seats_total"),
+        hours_and_minutes(mean).alias("avg_flight_time"),
     )
-    occupancy = occupancy_active_flights(bookings, booking_passengers, flights, aircraft).select(
-        F.col("rate").alias("occupancy_rate"), F.col("booked").alias("seats_booked"), F.col("total").alias("seats_total")
-    )
-    return one_row(punctual, occupancy, avg_flight_time(flights).select("avg_flight_time"))
 
 
 # Dashboards
@@ -344,21 +415,33 @@ def overview(
     airports: DataFrame,
     as_of: date | str,
 ) -> DataFrame:
+    """Revenue, bookings and routes come from one scan of the bookings, reduced by flight and stored."""
     this_month = in_month(F.col("booking_date"), as_of)
-    amount = F.when(is_paid(), F.col("total_amount"))
-    totals = bookings.where(_confirmed()).agg(
-        money(amount).alias("revenue_total"),
-        money(F.when(this_month, amount)).alias("revenue_monthly"),
-        F.count("*").alias("bookings_total"),
-        F.count_if(this_month).alias("bookings_monthly"),
+    paid = F.when(is_paid(), F.col("total_amount"))
+    cells = _confirmed_cells(
+        bookings,
+        "flight_id",
+        amount=F.sum(paid),
+        amount_month=F.sum(F.when(this_month, paid)),
+        n_month=F.count_if(this_month),
+    )
+    cells = stored(cells, "confirmed")
+    totals = cells.agg(
+        money(F.col("amount")).alias("revenue_total"),
+        money(F.col("amount_month")).alias("revenue_monthly"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("bookings_total"),
+        F.coalesce(F.sum("n_month"), F.lit(0)).alias("bookings_monthly"),
     )
-    routes = popular_routes_city(bookings, flights, airports)
-    occupancy = occupancy_all_flights(bookings, booking_passengers, flights, aircraft)
+    routes = _popular_cities(cells, flights, airports, 3)
+    fleet = one_row(_seats_booked(bookings, booking_passengers), _fleet_figures(flights, aircraft))
+    on_time = F.col("on_time")
     return one_row(
         totals,
         as_array(routes, [-F.col("booking_count"), F.col("route")], ["route", "booking_count"], "popular_routes"),
-        on_time_rate(flights),
-        occupancy.select(F.col("rate").alias("occupancy_rate")),
+        fleet.select(
+            pct_round(on_time, on_time + F.col("delayed")).alias("on_time_rate"),
+            pct_round(F.col("booked"), F.col("seats_all")).alias("occupancy_rate"),
+        ),
     )
 
 

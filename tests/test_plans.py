@@ -60,3 +60,25 @@ def test_facts_are_reduced_before_they_move(stored):
     text = plan(reports.popular_routes_city(stored["bookings"], stored["flights"], stored["airports"]))
     moved = re.findall(r"Exchange hashpartitioning\(flight_id[^\n]*\n([^\n]*)", text)
     assert moved and all("HashAggregate" in line and "partial_count" in line for line in moved)
+
+
+def scans(df, name: str) -> int:
+    return len(re.findall(rf"FileScan[^\n]*Location: [^\n\]]*/{name}\]", plan(df)))
+
+
+def test_reports_read_a_fact_once(spark, stored):
+    """Reports that store reduced bookings read that table alone afterwards; the others scan the fact once."""
+    spark.conf.set("spark.sql.maxMetadataValueLength", "2000")
+    s, as_of = stored, "2001-07-15"
+    b, bp, f, ac, ap = (s[t] for t in ("bookings", "booking_passengers", "flights", "aircraft", "airports"))
+    try:
+        assert scans(reports.bookings_report(b, as_of), "bookings") == 1
+        assert scans(reports.revenue_report(b, f, ap, as_of), "bookings") == 0
+        assert scans(reports.routes_report(b, f, ap), "bookings") == 0
+        performance = reports.performance_report(b, bp, f, ac)
+        assert scans(performance, "bookings") == scans(performance, "flights") == scans(performance, "booking_passengers") == 1
+        # the bookings that hold seats; the flights of the routes and of the fleet
+        overview = reports.overview(b, bp, f, ac, ap, as_of)
+        assert scans(overview, "bookings") == 1 and scans(overview, "flights") == 2
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataValueLength")
