@@ -19,15 +19,17 @@ def load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the tables, loaded from their folders."""
     root = new_folder(tune(spark), "tables")
     publish(spark, dict(zip(TABLES, tables(spark, sf_dir, *TABLES), strict=True)), root)
-    loaded = load(spark, f"{root}/{current(spark, root)[1]}")
+    loaded = load(spark, f"{root}/{current(spark, root).folders['users']}")
     counts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("row_count")) for n, df in loaded.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
 def write_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookings and their amounts by month partition of a snapshot."""
+    """Bookings and their amounts by month partition of a snapshot whose other tables an earlier job wrote."""
     root = new_folder(tune(spark), "snapshot")
-    publish(spark, {"bookings": tables(spark, sf_dir, "bookings")[0]}, root)
+    bookings, airports = tables(spark, sf_dir, "bookings", "airports")
+    publish(spark, {"airports": airports}, root)
+    publish(spark, {"bookings": bookings}, root, base=1)
     bookings = read_snapshot(spark, root, "bookings")["bookings"]
     amount = F.sum("total_amount").cast("decimal(38,2)")
     return bookings.groupBy("booking_month").agg(F.count("*").alias("row_count"), amount.alias("amount"))

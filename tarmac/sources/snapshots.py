@@ -1,43 +1,82 @@
 """Snapshots: the tables a job leaves, published together.
 
-A snapshot is written to a folder of its own and becomes visible with one appended manifest row, so readers see either
-all of its tables or none, and a job that dies half-way changes nothing.
+A job writes its tables to a folder of its own and publishes them with one manifest folder that names, for every table
+of the version, the folder it lies in. Tables that a job does not write stay where the version before had them. The
+manifest is made aside and renamed to ``manifest/version=n``, which fails if that version exists: readers see a version
+whole or not at all, a job that dies half-way changes nothing, and of two jobs that start from the same version one is
+refused. This needs a file system that renames folders in one step, as HDFS does.
 """
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.schemas import BOOKING_MONTH, TABLES, conform
 
-MANIFEST = "version BIGINT, folder STRING"
+MANIFEST = "name STRING, folder STRING, version BIGINT"
 
 
-def _manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+class Snapshot(NamedTuple):
+    """A published version, and the folder under the root in which each of its tables lies."""
 
+    version: int
+    folders: dict[str, str]
 
-def current(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    """Version and folder of the newest published snapshot."""
+
+class StaleSnapshot(Exception):
+    """The version that a job started from is no longer the newest."""
+
+
+def current(spark: SparkSession, root: str) -> Snapshot | None:
+    """The newest published version."""
     try:
-        row = _manifest(spark, root).orderBy(F.desc("version"), "folder").first()
+        manifest = spark.read.schema(MANIFEST).parquet(f"{root.rstrip('/')}/manifest")
+        newest = manifest.agg(F.max("version")).first()[0]
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    return (row["version"], row["folder"]) if row else None
+    if newest is None:
+        return None
+    rows = manifest.where(F.col("version") == newest).collect()  # one row for each table
+    return Snapshot(newest, {r["name"]: r["folder"] for r in rows})
 
 
-def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> int:
-    """Write ``tables`` as the next version under ``root`` and return its number.
+def _publish(spark: SparkSession, folders: dict[str, str], root: str, version: int) -> None:
+    """Make ``folders`` the tables of ``version``, unless that exists."""
+    aside = f"{root}/unpublished-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame(list(folders.items()), "name STRING, folder STRING")
+    rows.coalesce(1).write.parquet(aside)
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    manifest = fs.Path(f"{root}/manifest")
+    manifest.getFileSystem(conf).mkdirs(manifest)
+    no_options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+    files = fs.FileContext.getFileContext(manifest.getFileSystem(conf).makeQualified(manifest).toUri(), conf)
+    try:
+        files.rename(fs.Path(aside), fs.Path(f"{root}/manifest/version={version}"), no_options)
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(e):
+            raise StaleSnapshot(f"version {version} of {root} has been published by another job") from e
+        raise
+
+
+def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, base: int | None = None) -> int:
+    """Write ``tables`` as the next version under ``root`` and return its number; other tables are those of the last.
+
+    ``base`` is the version that ``tables`` were computed from (0 for none), by default the newest one now. If another
+    version follows it before this one is published, ``StaleSnapshot`` is raised and nothing is published.
 
     Bookings are laid out by booking month. Rows are rebalanced rather than hashed by month, so a month with a large
     share of all bookings is written by several tasks.
     """
     root = root.rstrip("/")
-    newest = current(spark, root)
-    version = newest[0] + 1 if newest else 1
+    newest = current(spark, root) or Snapshot(0, {})
+    base = newest.version if base is None else base
+    if base != newest.version:
+        raise StaleSnapshot(f"{root} is at version {newest.version}, not {base}")
+    version = base + 1
     folder = f"v{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         path = f"{root}/{folder}/{name}"
@@ -47,19 +86,18 @@ def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str)
             df.hint("rebalance", F.col(BOOKING_MONTH)).write.partitionBy(BOOKING_MONTH).parquet(path)
         else:
             df.write.parquet(path)
-    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(folder).alias("folder"))
-    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    _publish(spark, newest.folders | dict.fromkeys(tables, folder), root, version)
     return version
 
 
 def read_snapshot(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
-    """Tables of the newest snapshot; bookings carry ``booking_month`` as well, for pruning."""
+    """Tables of the newest version, by default all it has; bookings carry ``booking_month`` as well, for pruning."""
     root = root.rstrip("/")
     newest = current(spark, root)
     if newest is None:
         raise FileNotFoundError(f"no snapshot published under {root}")
     found = {}
-    for name in names or TABLES:
+    for name in names or newest.folders:
         schema = f"{TABLES[name]}, {BOOKING_MONTH} STRING" if name == "bookings" else TABLES[name]
-        found[name] = spark.read.schema(schema).parquet(f"{root}/{newest[1]}/{name}")
+        found[name] = spark.read.schema(schema).parquet(f"{root}/{newest.folders[name]}/{name}")
     return found

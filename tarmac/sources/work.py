@@ -1,5 +1,6 @@
 """The shared folder for intermediate tables and stream progress."""
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a local run without one gets a temporary folder."""
+    """The folder the session names in ``spark.checkpoint.dir``; a run in one process without one gets a temporary
+    folder."""
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = tempfile.mkdtemp(prefix="tarmac-")
         spark.conf.set(SETTING, folder)
         return folder

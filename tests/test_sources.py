@@ -1,5 +1,7 @@
 """Loading, snapshots and the shared folder."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from rows import table
@@ -43,6 +45,30 @@ def test_snapshots_are_published_whole(spark, tmp_path):
     assert snapshots.current(spark, root)[0] == 2
 
 
+def test_tables_that_a_job_does_not_write_stay(spark, tmp_path):
+    root = str(tmp_path / "air")
+    users, some = table(spark, "users", {"user_id": 1}), table(spark, "bookings", {"booking_id": 1})
+    snapshots.write_snapshot(spark, {"users": users, "bookings": some}, root)
+    snapshots.write_snapshot(spark, {"bookings": table(spark, "bookings", {"booking_id": 2})}, root, base=1)
+    found = snapshots.read_snapshot(spark, root)
+    assert sorted(found) == ["bookings", "users"]
+    assert [r.user_id for r in found["users"].collect()] == [1]
+    assert [r.booking_id for r in found["bookings"].collect()] == [2]
+
+
+def test_of_two_jobs_from_one_version_one_is_refused(spark, tmp_path):
+    root = str(tmp_path / "air")
+    users = table(spark, "users", {"user_id": 1})
+    assert snapshots.write_snapshot(spark, {"users": users}, root, base=0) == 1
+    with pytest.raises(snapshots.StaleSnapshot):
+        snapshots.write_snapshot(spark, {"users": users}, root, base=0)
+    # both have looked before either publishes
+    snapshots._publish(spark, {"users": "first"}, root, 2)
+    with pytest.raises(snapshots.StaleSnapshot):
+        snapshots._publish(spark, {"users": "second"}, root, 2)
+    assert snapshots.current(spark, root) == (2, {"users": "first"})
+
+
 def test_month_partitions_are_pruned(spark, tmp_path):
     root = str(tmp_path / "air")
     rows = [{"booking_id": i, "booking_date": f"2001-{1 + i % 12:02d}-15 10:00"} for i in range(48)]
@@ -89,6 +115,15 @@ def test_work_folder_comes_from_the_session(spark):
     assert df.count() == 3 and work.work_dir(spark) in df.inputFiles()[0]
 
 
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "yarn", "spark://host:7077"])
+def test_several_processes_need_a_shared_folder(master):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master)
+    )
+    with pytest.raises(ValueError, match=work.SETTING):
+        work.work_dir(session)
+
+
 class Reader:
     """Records what a JDBC read is asked for; there is no database here."""
 
