@@ -266,8 +266,9 @@ def _other_pairs(rows: DataFrame, part: DataFrame) -> DataFrame:
         & (~F.col("y_outside") | (F.col("x_sig") < F.col("y_sig")))
         & (WHOLE * F.least("x_n", "y_n") >= PART * F.greatest("x_n", "y_n"))
     )
-    shared = met.groupBy("x_sig", "y_sig").agg(
-        F.count("*").alias("shared"), F.first("x_n").alias("n"), F.first("y_n").alias("m")
+    # Which of a pair is outside differs from shingle to shingle, so the pair is counted without regard to that.
+    shared = met.groupBy(F.least("x_sig", "y_sig").alias("x_sig"), F.greatest("x_sig", "y_sig").alias("y_sig")).agg(
+        F.count("*").alias("shared"), F.max(F.least("x_n", "y_n")).alias("n"), F.max(F.greatest("x_n", "y_n")).alias("m")
     )
 
     def behind(n: str):  # shingles that are not in the prefix
