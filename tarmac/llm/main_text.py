@@ -1,6 +1,9 @@
 """Operator 6: the main text of web pages by composite text density of their DOM nodes.
 
-A page is parsed into a tree of elements; elements that by their name, role or class are no article text are left out.
+A page is parsed into a tree of elements; elements that by their name or role are no article text are left out. A form,
+or a class or id with a listed word, only makes an element suspect: it is left out after the densities of the whole page
+are known, and not if it holds the greatest density sum or all that the page has in article and main elements. A suspect by an
+ambiguous word, or by a part of a longer name, is left out only if it is a small part of the page or has many links.
 Each node has its characters C, tags T, and of both those inside links, LC and LT. Its density is C / T, adjusted by
 links: log(C * T / (LC * LT)) to a base that grows with the share of links in the node and in the body. A node's density
 sum is the sum of its children's densities. The node with the greatest sum holds the article. The least density on its
@@ -33,11 +36,11 @@ CLOSED_BY = {
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
 }
 SKIPPED = RAW | frozenset(
-    "head nav footer aside form button select option input svg math canvas audio video object template dialog menu "
+    "head nav footer aside button select option input svg math canvas audio video object template dialog menu "
     "fieldset datalist map applet".split()
 )
 SKIPPED_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar tablist toolbar".split()
+    "navigation banner contentinfo complementary search alert alertdialog dialog menu menubar tablist toolbar".split()
 )
 # Words in a class or id that mark what is no article text.
 SKIPPED_WORDS = frozenset(
@@ -47,6 +50,16 @@ SKIPPED_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar toc "
     "copyright legal disclaimer skip hidden".split()
 )
+# Those that articles' own parts have as well.
+AMBIGUOUS = frozenset(
+    "aside alert banner copyright consent disclaimer header hidden legal notice notices promotion recommended related "
+    "share sharing skip social subscription".split()
+)
+# Those of readers' comments, which may be longer than the article.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+# A suspect's least share of the page's text, and the largest share of links in its own text, to count as article text.
+LEAST_SHARE = 0.1
+MOST_LINKS = 0.3
 # The logarithm's base on pages without links, where it would be 1.
 LEAST_BASE = 1.5
 CONTENT = frozenset(("article", "main"))
@@ -68,6 +81,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.skipped = ["body"], [-1], [False]
+        self.suspect = [0]  # 1: by an ambiguous name, 2: by a plain one, 3: by readers' comments
         self.texts: list[tuple[int, str]] = []  # (element, text); a block's start or end is (element, "\n")
         self._stack, at = [0], 0
         while at < len(source):
@@ -109,26 +123,37 @@ class Page:
         parent = self._stack[-1]
         self.tags.append(name)
         self.parents.append(parent)
-        self.skipped.append(self.skipped[parent] or self._no_content(name, rest))
+        skipped, suspect = self._no_content(name, rest)
+        self.skipped.append(self.skipped[parent] or skipped)
+        self.suspect.append(suspect)
         if name not in VOID:
             self._stack.append(len(self.tags) - 1)
 
-    def _no_content(self, name: str, rest: str) -> bool:
+    def _no_content(self, name: str, rest: str) -> tuple[bool, int]:
+        """Whether an element is no article text, and how suspect it is."""
         if name in SKIPPED:
-            return True
+            return True, 0
         inside = any(self.tags[i] in CONTENT for i in self._stack)
         if name == "header" and not inside:
-            return True
+            return True, 0
+        form = 2 if name == "form" else 0
         if name in CONTENT or not rest:
-            return False
+            return False, form
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
         style = given.get("style", "").replace(" ", "").lower()
         if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style:
-            return True
-        if given.get("role", "").lower() in SKIPPED_ROLES:
-            return True
-        names = _CAMEL.sub(" ", f"{given.get('class', '')} {given.get('id', '')}").lower()
-        return not SKIPPED_WORDS.isdisjoint(_PARTS.findall(names))
+            return True, 0
+        role = given.get("role", "").lower()
+        if role in SKIPPED_ROLES:
+            return True, 0
+        suspect = 2 if role == "form" else form
+        for names in f"{given.get('class', '')} {given.get('id', '')}".split():
+            parts = _PARTS.findall(_CAMEL.sub(" ", names).lower())
+            listed = [x for x in parts if x in SKIPPED_WORDS]
+            if listed:
+                plain = len(listed) == len(parts) and not AMBIGUOUS.issuperset(listed)
+                suspect = max(suspect, (2 if READERS.isdisjoint(listed) else 3) if plain else 1)
+        return False, suspect
 
     def _close(self, name: str, within: set[str] | frozenset[str]) -> None:
         """End the innermost open element of this name, unless one of ``within`` stands between."""
@@ -165,16 +190,16 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_share:
     return chars / tags * math.log(max(ratio, 1.0)) / math.log(max(base, LEAST_BASE))
 
 
-def main_text(source: str) -> str:
-    """The article's text of one page: blocks in page order, joined by one space, white space runs as one space."""
-    page = Page(source)
+def _measured(page: Page, skipped: list[bool]) -> tuple[list[int], list[int], list[float], list[float]]:
+    """Characters, characters in links, density and density sum of each element."""
     n = len(page.tags)
     chars, tags, link_chars, link_tags = ([0] * n for _ in range(4))
     for i, text in page.texts:
-        chars[i] += len(" ".join(text.split()))
+        if not skipped[i]:
+            chars[i] += len(" ".join(text.split()))
     for i in range(n - 1, 0, -1):
         parent = page.parents[i]
-        if page.skipped[i]:
+        if skipped[i]:
             continue
         if page.tags[i] == "a":
             link_chars[i], link_tags[i] = chars[i], tags[i] + 1
@@ -182,14 +207,54 @@ def main_text(source: str) -> str:
         tags[parent] += tags[i] + 1
         link_chars[parent] += link_chars[i]
         link_tags[parent] += link_tags[i]
-    if not chars[0]:
-        return ""
-    share = link_chars[0] / chars[0]
+    share = link_chars[0] / max(chars[0], 1)
     density = [_density(*x, share) for x in zip(chars, tags, link_chars, link_tags, strict=True)]
     sums = [0.0] * n
     for i in range(1, n):
-        if not page.skipped[i]:
+        if not skipped[i]:
             sums[page.parents[i]] += density[i]
+    return chars, link_chars, density, sums
+
+
+def _left_out(page: Page) -> list[bool]:
+    """Which elements are no article text, with the suspects that are none and all that is in them."""
+    if not any(page.suspect):
+        return page.skipped
+    n, suspect = len(page.tags), list(page.suspect)
+    chars, link_chars, _, sums = _measured(page, page.skipped)
+    for i in range(1, n):
+        large = chars[i] >= LEAST_SHARE * chars[0] and link_chars[i] <= MOST_LINKS * chars[i]
+        if suspect[i] == 1 and large:
+            suspect[i] = 0
+
+    def out() -> list[bool]:
+        flags = list(page.skipped)
+        for i in range(1, n):
+            flags[i] = flags[i] or suspect[i] > 0 or flags[page.parents[i]]
+        return flags
+
+    left_out = out()
+    content = [i for i in range(n) if page.tags[i] in CONTENT and chars[i] and not page.skipped[i]]
+    if all(left_out[i] for i in content):
+        readers = [False] * n
+        for i in range(1, n):
+            readers[i] = suspect[i] == 3 or readers[page.parents[i]]
+        held = [max(range(n), key=lambda i: (not readers[i], sums[i], -i))]
+        held += [i for i in content if not readers[i] and chars[i] >= LEAST_SHARE * chars[0] and not link_chars[i] > MOST_LINKS * chars[i]]
+        for i in held:
+            while i > 0:
+                suspect[i], i = 0, page.parents[i]
+        left_out = out()
+    return left_out
+
+
+def main_text(source: str) -> str:
+    """The article's text of one page: blocks in page order, joined by one space, white space runs as one space."""
+    page = Page(source)
+    n, skipped = len(page.tags), _left_out(page)
+    chars, _, density, sums = _measured(page, skipped)
+    if not chars[0]:
+        return ""
     best = max(range(n), key=lambda i: (sums[i], -i))
     if not sums[best]:
         best = 0  # no element holds text: the body does
@@ -206,11 +271,11 @@ def main_text(source: str) -> str:
         for i in range(1, n):
             # Subtrees beside the path, and headings on the way to the article.
             beside = page.parents[i] in path and i not in path and page.parents[i] != best
-            if beside and not page.skipped[i] and (density[i] >= threshold or page.tags[i] in HEADINGS):
+            if beside and not skipped[i] and (density[i] >= threshold or page.tags[i] in HEADINGS):
                 chosen[i] = True
     for i in range(1, n):
         chosen[i] = chosen[i] or chosen[page.parents[i]]
-    return " ".join("".join(t for i, t in page.texts if chosen[i] and not page.skipped[i]).split())
+    return " ".join("".join(t for i, t in page.texts if chosen[i] and not skipped[i]).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:
