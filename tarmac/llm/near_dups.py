@@ -289,6 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that repeat are copies like any others. Null ids are passed on and never chosen, unless a component has no other.
     An empty table gives no rows. Other columns are not read.
     """
+    return _grouped(docs).drop("component")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The columns of ``near_duplicates`` and the component's own key, which rows of null ids have too; null where a
+    document has no shingles."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
     lows = ", ".join(f"low{j} long" for j in range(LOWS))
@@ -329,15 +335,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     part = part.join(classes.select(F.col("sig").alias("node"), "doc_id"), "node")
     ids = part.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = part.join(ids, "component").select(F.col("node").alias("sig"), "component_id")
+    ids = part.join(ids, "component").select(F.col("node").alias("sig"), "component", "component_id")
     ids = classes.select("sig", "doc_id").join(ids, "sig", "left")
-    ids = ids.select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = ids.select(
+        "sig",
+        F.coalesce("component", "sig").alias("component"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
     found = base.join(ids, "sig", "left")
     return found.select(
         "doc_id",
         "dk",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component")).alias("component"),
     )
 
 
@@ -347,13 +358,11 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Of rows that repeat in both columns one stays. Rows without words are linked with nothing and stay, all of them.
     Other columns are passed on, whatever their names.
     """
-    groups = near_duplicates(docs)
+    groups = _grouped(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk")
     some = groups.where("n_shingles > 0")
-    # Components without an id keep apart by their hash: they are of null ids only.
-    least = some.groupBy("component_id").agg(F.min(rank).alias("first")).where("component_id is not null")
-    alone = some.where("component_id is null").select("dk").distinct()
-    stay = least.select(F.col("first.dk").alias("dk")).unionByName(alone).withColumn("words", F.lit(True))
+    least = some.groupBy("component").agg(F.min(rank).alias("first"))
+    stay = least.select(F.col("first.dk").alias("dk")).withColumn("words", F.lit(True))
     empty = groups.where("n_shingles = 0").select("dk").distinct().withColumn("words", F.lit(False))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("dk", F.xxhash64("row.doc_id", "row.text")).join(stay.unionByName(empty), "dk")
