@@ -8,7 +8,7 @@ Each node has its characters C, tags T, and of both those inside links, LC and L
 links: log(C * T / (LC * LT)) to a base that grows with the share of links in the node and in the body. A node's density
 sum is the sum of its children's densities. The node with the greatest sum holds the article. The least density on its
 path to the body is the threshold: other subtrees that reach it, outside this path, count as content too. Where an
-article or main element encloses the node, that element is the content.
+article or main element encloses the node, that element is content as a whole, and the threshold holds beside it.
 """
 
 import html
@@ -263,16 +263,14 @@ def main_text(source: str) -> str:
         path.append(page.parents[path[-1]])
     chosen = [False] * n
     enclosing = [i for i in path if page.tags[i] in CONTENT]
-    if enclosing:
-        chosen[enclosing[-1]] = True
-    else:
-        threshold = min(density[i] for i in path)
-        chosen[best] = True
-        for i in range(1, n):
-            # Subtrees beside the path, and headings on the way to the article.
-            beside = page.parents[i] in path and i not in path and page.parents[i] != best
-            if beside and not skipped[i] and (density[i] >= threshold or page.tags[i] in HEADINGS):
-                chosen[i] = True
+    content = enclosing[-1] if enclosing else best
+    threshold, above = min(density[i] for i in path), set(path[path.index(content) :])
+    chosen[content] = True
+    for i in range(1, n):
+        # Subtrees beside the path, and headings on the way to the article.
+        beside = page.parents[i] in above and i not in above and page.parents[i] != content
+        if beside and not skipped[i] and (density[i] >= threshold or page.tags[i] in HEADINGS):
+            chosen[i] = True
     for i in range(1, n):
         chosen[i] = chosen[i] or chosen[page.parents[i]]
     return " ".join("".join(t for i, t in page.texts if chosen[i] and not skipped[i]).split())

@@ -41,3 +41,10 @@ def test_other_suspects_go(block):
 def test_comments_longer_than_a_story_without_article():
     comments = "<article><p>A reader says a great deal about all this, again and again.</p></article>" * 20
     assert main_text(f"<body><div>{STORY}</div><div class=comments>{comments}</div></body>") == TEXT
+
+
+def test_headline_and_further_articles_beside_the_best_one():
+    second = "A second part of the story, of some length as well, follows here, and it goes on for a while with what else there is to tell."
+    more = f"<article><p>{second}</p></article>"
+    page = f"<body><div><h1>Headline</h1><article>{STORY}</article>{more}</div></body>"
+    assert main_text(page) == f"Headline {TEXT} {second}"
