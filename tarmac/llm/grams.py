@@ -106,7 +106,7 @@ def word_grams(t: Texts, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(size):
         part = np.zeros(len(hashes), dtype=np.uint64)
-        part[: len(hashes) - k] = hashes[k:] * _TURNS[k]
+        part[: max(len(hashes) - k, 0)] = hashes[k:] * _TURNS[k]
         total += np.where(left > k, part, U(0))
     valid = (left >= size) | ((place == 0) if whole else False)
     at = np.flatnonzero(valid)

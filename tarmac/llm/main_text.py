@@ -67,8 +67,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*+(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+    r"(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -81,6 +81,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.skipped = ["body"], [-1], [False]
+        self._inside = [False]  # an article or main element, or inside one
         self.suspect = [0]  # 1: by an ambiguous name, 2: by a plain one, 3: by readers' comments
         self.texts: list[tuple[int, str]] = []  # (element, text); a block's start or end is (element, "\n")
         self._stack, at = [0], 0
@@ -126,6 +127,7 @@ class Page:
         skipped, suspect = self._no_content(name, rest)
         self.skipped.append(self.skipped[parent] or skipped)
         self.suspect.append(suspect)
+        self._inside.append(self._inside[parent] or name in CONTENT)
         if name not in VOID:
             self._stack.append(len(self.tags) - 1)
 
@@ -133,8 +135,7 @@ class Page:
         """Whether an element is no article text, and how suspect it is."""
         if name in SKIPPED:
             return True, 0
-        inside = any(self.tags[i] in CONTENT for i in self._stack)
-        if name == "header" and not inside:
+        if name == "header" and not self._inside[self._stack[-1]]:
             return True, 0
         form = 2 if name == "form" else 0
         if name in CONTENT or not rest:

@@ -92,7 +92,7 @@ def _events(t: Texts, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keys = codes[text] << U(64 - LANG_BITS)
     for k in range(ORDER):
         before = np.zeros(len(points), dtype=np.uint64)
-        before[k:] = symbol[: len(points) - k]
+        before[k:] = symbol[: max(len(points) - k, 0)]
         keys |= np.where(place >= k, before, U(0)) << U(CHAR_BITS * k)
     return keys, text
 
@@ -115,6 +115,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang").to_pylist()
         for row, t in texts(batch.column("text")):
             keys, counts = np.unique(_events(t, langs[row : row + t.n])[0], return_counts=True)
+            if not len(keys):
+                continue
             held.append((keys, counts.astype(np.int64)))
             if sum(len(k) for k, _ in held) > HELD:
                 held[:] = [add()]
