@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarmac.llm import (
+    decontamination,
     lattice,
     line_dedup,
     main_text,
+    merkle,
     mixing,
     near_dups,
     packing,
@@ -202,6 +204,124 @@ from placed
 """
 
 
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    hit = decontamination.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op11_benchmark_decontamination"] = r"""
+with docs as (
+  select row_number() over () as k, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+  from documents
+), items as (
+  select coalesce(cast(item_id as varchar), '') as item, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+  from benchmark
+), windows as (
+  select distinct item, size, array_to_string(w[i:i + size - 1], ' ') as gram
+  from (select item, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i
+        from items where len(w) > 0)
+), grams as (
+  select k, i, size, array_to_string(w[i:i + size - 1], ' ') as gram
+  from (select k, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, (select distinct size from windows))
+), found as (
+  select k, i, size, item from grams join windows using (size, gram)
+), hits as (
+  select k, count(distinct place) as n_hit from (select k, unnest(range(i, i + size)) as place from found) group by k
+), named as (
+  select k, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct k, item from found) group by k
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (k) left join named using (k)
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose decimal id has an even CRC-32 are tampered with: their line feeds go."""
+    docs = read(spark, sf_dir, "documents")
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, text)
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [f"cast({c} as varchar)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields) + ")"
+
+
+# Node lists by level, the siblings of every node, and a fold over each document's chain of siblings.
+ORACLES["op12_merkle_manifest"] = rf"""
+with recursive docs as (
+  select row_number() over () as k, *, coalesce('=' || source, '') as tree,
+    {_sql_leaf("text")} as leaf,
+    {_sql_leaf("case when even then replace(text, chr(10), '') else text end")} as changed
+  from (
+    select *, coalesce(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+      lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) % 2 = 1, false) as even
+    from documents)
+), places as (
+  select k, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place,
+    count(*) over (partition by tree) as n, leaf from docs
+), nodes as (
+  select tree, 0 as level, place, n, leaf as node from places
+  union all
+  select tree, level + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' order by place))
+  from nodes where n > 1 group by tree, level, place // 3
+), sources as (
+  select tree, node as subroot, level as height, row_number() over (order by tree) - 1 as place, count(*) over () as n
+  from nodes where n = 1
+), tops as (
+  select 0 as level, place, n, subroot as node from sources
+  union all
+  select level + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' order by place))
+  from tops where n > 1 group by level, place // 3
+), sides as (
+  select a.tree, a.level, a.place, coalesce(string_agg(b.node, '' order by b.place) filter (b.place < a.place), '') as l,
+    coalesce(string_agg(b.node, '' order by b.place) filter (b.place > a.place), '') as r
+  from nodes a join nodes b on a.tree = b.tree and a.level = b.level and a.place // 3 = b.place // 3
+  where a.n > 1 group by a.tree, a.level, a.place
+), top_sides as (
+  select a.level, a.place, coalesce(string_agg(b.node, '' order by b.place) filter (b.place < a.place), '') as l,
+    coalesce(string_agg(b.node, '' order by b.place) filter (b.place > a.place), '') as r
+  from tops a join tops b on a.level = b.level and a.place // 3 = b.place // 3 where a.n > 1 group by a.level, a.place
+), chain as (
+  select k, s.level as step, l, r from places p join sides s
+    on s.tree = p.tree and s.place = p.place // cast(pow(3, s.level) as bigint)
+  union all
+  select k, t.height + s.level, l, r from places p join sources t on t.tree = p.tree
+    join top_sides s on s.place = t.place // cast(pow(3, s.level) as bigint)
+), proofs as (
+  select k, sha256(string_agg(l || r, '' order by step)) as proof_sha256 from chain group by k
+), folds as (
+  select k, 0 as step, changed as node from docs
+  union all
+  select k, step + 1, sha256(l || node || r) from folds join chain using (k, step)
+), folded as (
+  select k, arg_max(node, step) as folded_root from folds group by k
+)
+select doc_id, leaf, subroot, (select node from tops where n = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256,
+  folded_root, folded_root = (select node from tops where n = 1) as verified
+from docs join sources using (tree) left join proofs using (k) join folded using (k)
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(tune(spark), sf_dir)
