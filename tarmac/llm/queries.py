@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarmac.llm import (
+    alignment,
     decontamination,
     lattice,
     line_dedup,
@@ -24,8 +25,9 @@ from tarmac.llm import (
 from tarmac.llm.text import SPACES, word_count
 from tarmac.plans.session import tune
 
-# The vocabulary of the token counts.
+# The vocabulary of the token counts, and the one that it is aligned with.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -322,6 +324,12 @@ from docs join sources using (tree) left join proofs using (k) join folded using
 """
 
 
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = Path(VOCABULARY).read_text(encoding="utf-8"), Path(PIECES).read_bytes()
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), *vocabularies)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(tune(spark), sf_dir)
