@@ -267,8 +267,11 @@ class Aligner:
         return out
 
 
-# A worker that serves several tasks keeps its vocabularies and the pre-tokens it remembers.
-_aligner = lru_cache(maxsize=1)(Aligner)
+@lru_cache(maxsize=1)
+def _aligner(vocabulary_a: str, vocabulary_b: bytes) -> Aligner:
+    """A worker that serves several tasks keeps its vocabularies and the pre-tokens it remembers."""
+    return Aligner(vocabulary_a, vocabulary_b)
+
 
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 _NAMES = [c.split(" ")[0] for c in ALIGNED.split(", ")]
@@ -337,7 +340,7 @@ def _least_common(counts: DataFrame, limit: int) -> int:
     """The least power of two that at most ``limit`` pairs' counts reach."""
     size = F.floor(F.log2("count")).cast("int")
     sizes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()  # 63 rows at most
-    total, least = 0, 1 << 63
+    total, least = 0, (1 << 63) - 1
     for row in sorted(sizes, key=lambda r: -r.size):
         total += row.n
         if total > limit:
