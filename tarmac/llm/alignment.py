@@ -49,7 +49,7 @@ class ByteTokens:
         self.tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(PATTERN)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int] | None] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -62,38 +62,48 @@ class ByteTokens:
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joins_to(self, ids: list[int], data: bytes) -> bool:
+        return b"".join([self.bytes[i] for i in ids]) == data
+
     def _learn(self, words: set[str]) -> None:
-        """Encode pre-tokens, a line each of one text; where a line feed may join them, each by itself."""
+        """Encode pre-tokens, a line each of one text; where a line feed may join them, each by itself.
+
+        One whose tokens do not join to its bytes is known by None.
+        """
         apart = [w for w in words if w.isspace()]
-        self.known.update(zip(apart, self._encoded(apart), strict=True))
         lines = list(words.difference(apart))
-        if not lines:
-            return
-        ids = self._encoded(["\n".join(lines)])[0]
+        encoded = self._encoded([*apart, "\n".join(lines)])
+        ids = encoded.pop()
         ends = np.cumsum(self.lengths[ids])
-        line_ends = np.cumsum([len(w.encode()) + 1 for w in lines]) - 1
-        last = np.searchsorted(ends, line_ends)
-        first = [0, *(last[:-1] + 2).tolist()]
-        self.known.update((w, ids[i : j + 1]) for w, i, j in zip(lines, first, last.tolist(), strict=True))
+        last = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in lines]) - 1).tolist()
+        encoded += [tuple(ids[i : j + 1]) for i, j in zip([0, *(j + 2 for j in last)], last, strict=False)]
+        for word, own in zip(chain(apart, lines), encoded, strict=True):
+            self.known[word] = own if self.joins_to(own, word.encode()) else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; an empty list if they do not join to its bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        out, missing, unsettled = [], [], []
+        out: list[list[int]] = [[]] * len(texts)
+        pieces, unsettled = {}, []
+        known = self.known.__getitem__
         for i, text in enumerate(texts):
-            found = list(map(self.known.get, self.words.findall(text))) if _SETTLED.fullmatch(text) else None
-            if found is None:
+            if not _SETTLED.fullmatch(text):
                 unsettled.append(i)
-            elif None in found:
-                missing.append(i)
-                found = None
-            out.append(None if found is None else list(chain.from_iterable(found)))
-        words = [self.words.findall(texts[i]) for i in missing]
-        self._learn(set(chain.from_iterable(words)).difference(self.known))
-        for i, own in zip(missing, words, strict=True):
-            out[i] = list(chain.from_iterable(map(self.known.__getitem__, own)))
+                continue
+            words = self.words.findall(text)
+            try:
+                out[i] = list(chain.from_iterable(map(known, words)))
+            except (KeyError, TypeError):  # a new pre-token, or one known by None
+                pieces[i] = words
+        if pieces:
+            self._learn(set(chain.from_iterable(pieces.values())).difference(self.known))
+        for i, words in pieces.items():
+            found = list(map(known, words))
+            if all(found):
+                out[i] = list(chain.from_iterable(found))
         for i, ids in zip(unsettled, self._encoded([texts[i] for i in unsettled]), strict=True):
-            out[i] = ids
+            out[i] = ids if self.joins_to(ids, texts[i].encode()) else []
         return out
 
 
@@ -140,6 +150,11 @@ def _meet(x: np.ndarray, low: np.ndarray, high: np.ndarray, ends: list[np.ndarra
     return out
 
 
+def _halves(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The intervals' two halves next to each other, so that they stay in order and bisections find their way near."""
+    return np.stack([left, right], axis=1).ravel()
+
+
 def group_ends(a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Ends of the groups, in order: ``a`` and ``b`` are the two sides' token ends in bytes, over texts that reach from
     ``starts`` to ``ends``, which are cuts."""
@@ -163,8 +178,8 @@ def group_ends(a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarra
         low, high, first, last, cut = low[found], high[found], first[found], last[found], cut[found]
         cuts.append(cut)
         at = np.searchsorted(a, cut)
-        low, high = np.concatenate([low, cut]), np.concatenate([cut, high])
-        first, last = np.concatenate([first, at + 1]), np.concatenate([at, last])
+        low, high = _halves(low, cut), _halves(cut, high)
+        first, last = _halves(first, at + 1), _halves(at, last)
     return np.sort(np.concatenate(cuts))
 
 
@@ -201,11 +216,10 @@ class Aligner:
         given = [i for i, t in enumerate(texts) if t]
         spaced = [" " + texts[i] for i in given]
         lists = [self.a.encode(spaced), self.b.encode([texts[i] for i in given])]
-        bytes_a, bytes_b = self.a.bytes, self.b.bytes
-        kept, sizes = [], []
+        bytes_b, kept, sizes = self.b.bytes, [], []
         for k, text in enumerate(spaced):
             data = text.encode()
-            if b"".join([bytes_a[i] for i in lists[0][k]]) == data == b"".join([bytes_b[i] for i in lists[1][k]]):
+            if lists[0][k] and b"".join([bytes_b[i] for i in lists[1][k]]) == data:
                 kept.append(k)
                 sizes.append(len(data))
         none = (0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
