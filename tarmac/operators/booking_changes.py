@@ -1,14 +1,16 @@
 """Cancellations and status changes of bookings, applied in order of (change_ts, change_id).
 
 Whether a cancellation is accepted depends on what the earlier changes of its booking left behind; everything else is
-decided row by row. The state a change meets is carried in two steps, first within a booking and minute, then over the
-minutes of the booking, so a booking with a large share of all changes is spread over its minutes.
+decided row by row. A change sets the status or, as a cancellation, sets it to cancelled unless it is completed. Any run
+of changes composes to the last status set and whether a cancellation came after it, so the state that a change meets is
+carried over ranges of (booking, time, id): all changes of one booking, even at one instant, are spread over tasks.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.rules import failures, first_failure
+from tarmac.plans.carried import carried
 from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, is_ok
 from tarmac.sources.work import stored
@@ -17,7 +19,7 @@ from tarmac.sources.work import stored
 USER_SETS = ("completed", "missed", "cancelled")
 ADMIN_SETS = ("pending", "confirmed", "cancelled", "completed")
 PAYMENT_SETS = ("pending", "paid", "refunded")
-FINAL = ("cancelled", "completed")
+CHANGE_COLUMNS = ["change_id", "change_ts", "booking_id", "op", "status", "payment_status"]
 
 
 def _key() -> Column:
@@ -61,75 +63,57 @@ def refusal(status_before: Column) -> Column:
 def _status_before(valid: DataFrame) -> DataFrame:
     """The booking status every valid change meets."""
     is_cancel = F.col("op") == "cancel"
-    valid = valid.withColumns(
-        {
-            "minute": F.unix_date(F.to_date("change_ts")) * 1440 + F.hour("change_ts") * 60 + F.minute("change_ts"),
-            "is_cancel": is_cancel,
-            "written": F.when(~is_cancel, F.col("status")),
-        }
+    valid = valid.withColumns({"is_cancel": is_cancel, "written": F.when(~is_cancel, F.col("status"))})
+    met = carried(
+        valid, "booking_id", ["change_ts", "change_id"], {"set_before": "written", "cancel_before": "is_cancel"}
     )
-    before = Window.partitionBy("booking_id", "minute").orderBy("change_ts", "change_id")
-    so_far = before.rowsBetween(Window.unboundedPreceding, -1)
-    minutes = valid.groupBy("booking_id", "minute").agg(
-        F.max_by("written", F.when(~F.col("is_cancel"), _key())).alias("last_written"),
-        F.max_by("is_cancel", _key()).alias("last_is_cancel"),
-    )
-    of_booking = Window.partitionBy("booking_id").orderBy("minute")
-    carried = minutes.select(
-        "booking_id",
-        "minute",
-        F.last("last_written", ignorenulls=True)
-        .over(of_booking.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("carried_status"),
-        F.lag("last_is_cancel").over(of_booking).alias("carried_cancel"),
-    )
-    set_to = F.coalesce("set_before", "carried_status", "base_status")
-    after_cancel = F.coalesce("cancel_before", "carried_cancel", F.lit(False))
+    set_to = F.coalesce("set_before", "base_status")
     cancelled = F.when(set_to == "completed", set_to).otherwise(F.lit("cancelled"))
-    return (
-        valid.repartition("booking_id", "minute")
-        .withColumn("set_before", F.last("written", ignorenulls=True).over(so_far))
-        .withColumn("cancel_before", F.lag("is_cancel").over(before))
-        .join(carried, ["booking_id", "minute"], "left")
-        .withColumn("status_before", F.when(after_cancel, cancelled).otherwise(set_to))
-    )
+    after_cancel = F.coalesce("cancel_before", F.lit(False))
+    return met.withColumn("status_before", F.when(after_cancel, cancelled).otherwise(set_to))
+
+
+def decided_on(found: DataFrame) -> DataFrame:
+    """Changes next to ``current_state`` of their bookings, with the reasons to refuse them.
+
+    The changes with what can be said row by row are stored first; two steps read them.
+    """
+    columns = [*CHANGE_COLUMNS, "reasons"]
+    checked = stored(found.withColumn("reasons", row_reasons()).select(*columns, "base_status"), "checked-changes")
+    refused = F.when(F.col("op") == "cancel", refusal(F.col("status_before")))
+    met = _status_before(checked.where(is_ok())).withColumn("reasons", F.array_compact(F.array(refused)))
+    return checked.where(~is_ok()).select(columns).unionByName(met.select(columns))
 
 
 def decide_changes(bookings: DataFrame, changes: DataFrame) -> Outcome:
     """Decide ``changes`` (change_id, change_ts, booking_id, requester_id, op, status, payment_status).
 
-    The changes with what can be said row by row are stored first; three steps read them.
-
     op is ``cancel`` (owner; not if cancelled or completed), ``user_status`` (owner) or ``admin_status`` (any booking,
     with an optional payment status).
     """
-    found = lookup(changes, current_state(bookings), ["booking_id"], "change_id")
-    columns = ["change_id", "change_ts", "booking_id", "op", "status", "payment_status", "reasons"]
-    checked = stored(found.withColumn("reasons", row_reasons()).select(*columns, "base_status"), "checked-changes")
-    valid = checked.where(is_ok())
-    refused = F.when(F.col("op") == "cancel", refusal(F.col("status_before")))
-    met = _status_before(valid).withColumn("reasons", F.array_compact(F.array(refused)))
-    decided = checked.where(~is_ok()).select(columns).unionByName(met.select(columns))
-    return Outcome(decided, "change_id", ["change_ts", "booking_id", "op", "status", "payment_status"])
+    decided = decided_on(lookup(changes, current_state(bookings), ["booking_id"], "change_id"))
+    return Outcome(decided, "change_id", CHANGE_COLUMNS[1:])
 
 
-def apply_changes(bookings: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The bookings table after the accepted changes."""
+def left_behind(accepted: DataFrame) -> DataFrame:
+    """(booking_id, new_status, new_payment, changed_at): what the accepted changes of each booking compose to.
+
+    ``new_payment`` is null where they leave the payment as it was.
+    """
     is_cancel = F.col("op") == "cancel"
     payment = F.when(is_cancel, F.lit("refunded")).when(F.col("op") == "admin_status", F.col("payment_status"))
-    last = accepted.groupBy("booking_id").agg(
-        F.max_by(F.when(is_cancel, F.lit("cancelled")).otherwise(F.col("status")), _key()).alias("_status"),
-        F.max_by(payment, F.when(payment.isNotNull(), _key())).alias("_payment"),
-        F.max("change_ts").alias("_updated"),
-    )
-    return (
-        bookings.join(last, "booking_id", "left")
-        .withColumns(
-            {
-                "status": F.coalesce("_status", "status"),
-                "payment_status": F.coalesce("_payment", "payment_status"),
-                "updated_at": F.coalesce("_updated", "updated_at"),
-            }
-        )
-        .select(bookings.columns)
+    return accepted.groupBy("booking_id").agg(
+        F.max_by(F.when(is_cancel, F.lit("cancelled")).otherwise(F.col("status")), _key()).alias("new_status"),
+        F.max_by(payment, F.when(payment.isNotNull(), _key())).alias("new_payment"),
+        F.max("change_ts").alias("changed_at"),
     )
+
+
+def apply_changes(bookings: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The bookings table after the accepted changes."""
+    values = {
+        "status": F.coalesce("new_status", "status"),
+        "payment_status": F.coalesce("new_payment", "payment_status"),
+        "updated_at": F.coalesce("changed_at", "updated_at"),
+    }
+    return bookings.join(left_behind(accepted), "booking_id", "left").withColumns(values).select(bookings.columns)

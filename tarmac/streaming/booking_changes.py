@@ -1,54 +1,74 @@
-"""Booking changes as a stream; status and payment of each changed booking are the state.
+"""Booking changes as a stream; what the accepted changes of each booking have left so far is the state.
 
-Order is arrival order: micro-batch by micro-batch, and by (change_ts, change_id) within one. What needs no state is
-decided before the changes of a booking meet. A group holds the changes of one booking in one micro-batch, which the
-source's limit per trigger (``maxFilesPerTrigger`` and its like) bounds.
+Order is arrival order: micro-batch by micro-batch, and by (change_ts, change_id) within one. A micro-batch is decided as
+the batch job decides a feed, against the bookings as the earlier micro-batches left them, so the changes of one booking
+in a micro-batch are spread over tasks however many they are, and what they do is composed map-side to one row.
+
+A micro-batch writes its decisions and the new state, one row for each booking changed so far, to folders of its own
+number. One that is run again after a failure writes the same folders again and reads the state of the one before.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarmac.operators.booking_changes import FINAL, current_state, row_reasons
-from tarmac.plans.outcome import is_ok
+from tarmac.operators.booking_changes import current_state, decided_on, left_behind
+from tarmac.plans.lookup import lookup
+from tarmac.sources.work import new_folder
 
 DECISION = (
     "change_id BIGINT, change_ts TIMESTAMP_NTZ, booking_id BIGINT, op STRING, status STRING, payment_status STRING, "
     "reason STRING"
 )
+STATE = "booking_id BIGINT, new_status STRING, new_payment STRING"
+
+
+def _state(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """The state that the micro-batch meets."""
+    if batch_id == 0:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(f"{folder}/state/batch={batch_id - 1}")
+
+
+def decide_batch(bookings: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` does with the changes of a micro-batch."""
 
+    def run(changes: DataFrame, batch_id: int) -> None:
+        spark = changes.sparkSession
+        state = _state(spark, folder, batch_id)
+        found = lookup(changes, current_state(bookings), ["booking_id"], "change_id")
+        found = lookup(found, state, ["booking_id"], "change_id", counted=changes)
+        found = found.withColumn("base_status", F.coalesce("new_status", "base_status"))
+        path = f"{folder}/data/batch={batch_id}"
+        decided_on(found).withColumn("reason", F.array_join("reasons", "; ")).drop("reasons").write.mode(
+            "overwrite"
+        ).parquet(path)
+        accepted = spark.read.schema(DECISION).parquet(path).where(F.col("reason") == "")
+        new = left_behind(accepted).withColumnsRenamed({"new_status": "status", "new_payment": "payment"})
+        merged = state.join(new.drop("changed_at"), "booking_id", "full").select(
+            "booking_id",
+            F.coalesce("status", "new_status").alias("new_status"),
+            F.coalesce("payment", "new_payment").alias("new_payment"),
+        )
+        merged.write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
 
-def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Decide the changes of one booking, all of them valid but for cancellations that meet a final status."""
-    rows = pd.concat(list(batches)).sort_values(["change_ts", "change_id"], ignore_index=True)
-    status, payment = state.get if state.exists else rows.loc[0, ["base_status", "base_payment"]]
-    reasons = []
-    for op, new_status, new_payment in zip(rows["op"], rows["status"], rows["payment_status"], strict=True):
-        refused = op == "cancel" and status in FINAL
-        reasons.append(f"already_{status}" if refused else "")
-        if op != "cancel":
-            status = new_status
-            payment = new_payment if op == "admin_status" and new_payment else payment
-        elif not refused:
-            status, payment = "cancelled", "refunded"
-    state.update((status, payment))
-    yield rows.assign(reason=reasons).drop(columns=["base_status", "base_payment"])
+    return run
 
 
-def booking_changes_stream(changes: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Decide a stream of changes against ``bookings``, the table when the stream began.
+def change_available(changes: DataFrame, bookings: DataFrame, folder: str | None = None) -> DataFrame:
+    """Decide what has arrived in ``changes`` against ``bookings``, the table when the stream began; all decisions so far.
 
-    A decision is accepted if its reason is empty; the accepted ones go into ``apply_changes`` as in the batch job.
+    A later call with the same folder goes on from there. A decision is accepted if its reason is empty; the accepted ones
+    go into ``apply_changes`` as in the batch job.
     """
-    found = changes.join(current_state(bookings), "booking_id", "left")
-    checked = found.withColumn("reasons", row_reasons())
-    columns = [c.split(" ")[0] for c in DECISION.split(", ")]
-    refused = checked.where(~is_ok()).withColumn("reason", F.array_join("reasons", "; ")).select(columns)
-    valid = checked.where(is_ok()).select(*columns[:-1], "base_status", "base_payment")
-    decided = valid.groupBy("booking_id").applyInPandasWithState(
-        decide, DECISION, "status STRING, payment_status STRING", "append", GroupStateTimeout.NoTimeout
+    spark = changes.sparkSession
+    folder = folder or new_folder(spark, "booking-changes")
+    query = (
+        changes.writeStream.foreachBatch(decide_batch(bookings, folder))
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
     )
-    return refused.unionByName(decided)
+    query.awaitTermination()
+    return spark.read.schema(DECISION).parquet(f"{folder}/data/*")

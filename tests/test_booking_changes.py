@@ -7,8 +7,8 @@ import pytest
 
 from rows import frame, reasons, table, ts
 from tarmac.operators.booking_changes import apply_changes, decide_changes
-from tarmac.streaming.booking_changes import booking_changes_stream
-from tarmac.streaming.run import run_available
+from tarmac.plans.carried import carried
+from tarmac.streaming.booking_changes import change_available
 
 CHANGE = (
     "change_id BIGINT, change_ts TIMESTAMP_NTZ, booking_id BIGINT, requester_id BIGINT, op STRING, status STRING, "
@@ -82,6 +82,34 @@ def test_same_as_one_after_the_other(spark, seed):
     assert {r.booking_id: r.updated_at for r in after if r.updated_at} == last
 
 
+def test_one_booking_at_one_instant(spark):
+    """All changes of one booking at one instant, over many ranges."""
+    at = ts("2001-07-01 10:00:00")
+    state, changes = make(7, bookings=1, count=3000, hot=1.0)
+    changes = [(c[0], at, *c[2:]) for c in changes]
+    outcome = decide_changes(base(spark, state), feed(spark, changes))
+    assert reasons(outcome.decided, "change_id") == in_order(state, changes)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_carried_values(spark, share):
+    rng = random.Random(6)
+    rows = []
+    for i in range(2000):
+        key = None if rng.random() < 0.1 else 1 if rng.random() < share else rng.randrange(60)
+        rows.append((key, i, rng.choice([None, None, None, rng.randrange(9)]), rng.choice([None, "a", "b"])))
+    last, expected = {}, {}
+    for key, i, a, b in rows:
+        old = last.get(key, (None, None))
+        expected[i] = old
+        last[key] = (old[0] if a is None else a, old[1] if b is None else b)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key long, at long, a int, b string")
+    got = carried(df, "key", ["at"], {"last_a": "a", "last_b": "b"})
+    assert got.columns == ["key", "at", "a", "b", "last_a", "last_b"]
+    assert {r["at"]: (r.last_a, r.last_b) for r in got.collect()} == expected
+
+
 def test_order_within_one_instant_is_the_id(spark):
     at = ts("2001-07-01 10:00:00")
     changes = [
@@ -114,6 +142,6 @@ def test_stream_carries_the_state(spark, tmp_path):
         part = changes[arrival::3]
         feed(spark, part).repartition(3).write.mode("append").parquet(str(source))
         expected |= in_order(state, part)
-        stream = booking_changes_stream(spark.readStream.schema(schema).parquet(str(source)), bookings)
-        decided = run_available(stream, "changes", str(tmp_path / "out"))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        decided = change_available(stream, bookings, str(tmp_path / "out"))
     assert {r.change_id: r.reason for r in decided.collect()} == {i: "; ".join(w) for i, w in expected.items()}
