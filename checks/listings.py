@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import check
 from checks.reports import HELD
 from tarmac.operators import listings
+from tarmac.operators.searches import search_flights
 from tarmac.plans import airline
 
 SEATS = f"(SELECT b.flight_id, count(*) AS n FROM {HELD} GROUP BY b.flight_id)"
@@ -60,6 +61,29 @@ def flight_search(flights, airports, aircraft, bookings, booking_passengers):
     )
 
 
+@check(
+    "search_requests flights airports aircraft bookings booking_passengers",
+    f"""WITH priced AS (SELECT flight_id, 'economy' AS class, base_price AS price FROM flights
+UNION ALL SELECT flight_id, 'cargo', base_price FROM flights UNION ALL SELECT flight_id, 'business', business_price FROM flights
+UNION ALL SELECT flight_id, 'first', first_class_price FROM flights),
+taken AS (SELECT * FROM {SEATS}),
+ends AS (SELECT airport_code AS code, airport_name AS name, city, country FROM airports)
+SELECT r.search_id, f.flight_id, f.flight_number, f.departure_datetime, f.arrival_datetime, f.status, a.model AS aircraft_model,
+x.code AS from_code, x.name AS from_name, x.city AS from_city, x.country AS from_country,
+y.code AS to_code, y.name AS to_name, y.city AS to_city, y.country AS to_country, p.price,
+greatest(0, a.capacity - coalesce(t.n, 0)) AS available_seats,
+CAST(p.price * TRY_CAST(nullif(regexp_extract(coalesce(r.passengers, '1'), '^[0-9]+'), '') AS BIGINT) AS DECIMAL(38,2)) AS total_price
+FROM search_requests r JOIN flights f ON f.status IN ('scheduled', 'boarding')
+AND (coalesce(r.from_code, '') = '' OR r.from_code = f.from_airport_code) AND (coalesce(r.to_code, '') = '' OR r.to_code = f.to_airport_code)
+AND (r.departure IS NULL OR r.departure = CAST(f.departure_datetime AS DATE))
+JOIN priced p ON p.flight_id = f.flight_id AND p.class = coalesce(r.class, 'economy')
+JOIN aircraft a ON a.aircraft_id = f.aircraft_id JOIN ends x ON x.code = f.from_airport_code JOIN ends y ON y.code = f.to_airport_code
+LEFT JOIN taken t ON t.flight_id = f.flight_id""",
+)
+def flight_searches(search_requests, flights, airports, aircraft, bookings, booking_passengers):
+    return search_flights(search_requests, flights, airports, aircraft, bookings, booking_passengers)
+
+
 @check(
     "flights airports aircraft bookings booking_passengers",
     f"""SELECT f.*, a.model AS aircraft_model, CAST(a.capacity AS INTEGER) AS capacity, {PLACES}, {AVAILABLE} FROM flights f {JOINS}

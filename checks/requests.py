@@ -1,10 +1,15 @@
 """Request tables: all requests with their reasons, and the new rows of the accepted ones."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from checks import check
 from checks.reports import HELD
 from fixtures import AS_OF
-from tarmac.operators import requests
+from tarmac.functions.expr import HALF_BITS, ROUND_KEYS
+from tarmac.operators import admission, requests
 from tarmac.operators.admission import admit_bookings as admit
+from tarmac.plans.outcome import Outcome
 
 YEAR = AS_OF[:4]
 
@@ -152,3 +157,94 @@ FROM booking_requests r LEFT JOIN walk w ON w.request_id = r.request_id LEFT JOI
 )
 def admit_bookings(booking_requests, flights, aircraft, bookings, booking_passengers):
     return admit(booking_requests, flights, aircraft, bookings, booking_passengers).summary
+
+
+# Requests with their passengers, in all classes; the rows that the accepted ones leave in three tables.
+FIRST_BOOKING, FIRST_PASSENGER, FIRST_LINK = 3_000_000_000, 4_000_000_000, 5_000_000_000
+PERSON = (
+    "transform(sequence(1, CAST(n_seats AS INT)), i -> named_struct("
+    "'passenger_id', CASE WHEN (request_id + i) % 3 = 0 THEN user_id * 10 + i WHEN i = 2 THEN 0L END, "
+    "'first_name', 'Ann', 'last_name', concat('Lee ', i), "
+    "'date_of_birth', concat(1950 + (request_id + i) % 50, '-0', i, '-15'), "
+    "'passport_number', CASE WHEN i % 2 = 0 THEN concat('X', request_id) ELSE '' END, "
+    "'nationality', CASE WHEN i % 3 = 1 THEN 'Utopia' END, "
+    "'seat_number', CASE WHEN i = 1 THEN '' ELSE concat(i, 'A') END, "
+    "'save', CASE WHEN i < 5 THEN (request_id + i) % 2 = 0 END))"
+)
+NESTED = f"""r AS (SELECT *, CASE request_id % 4 WHEN 2 THEN 'business' WHEN 3 THEN 'first' ELSE 'economy' END AS class FROM booking_requests),
+seats AS (SELECT b.flight_id, count(*) AS n FROM {HELD} GROUP BY b.flight_id),
+sale AS (SELECT f.flight_id AS on_sale, a.capacity - coalesce(s.n, 0) AS free, unnest(['economy', 'business', 'first']) AS class,
+unnest([base_price, business_price, first_class_price]) AS price
+FROM flights f JOIN aircraft a ON f.aircraft_id = a.aircraft_id LEFT JOIN seats s ON s.flight_id = f.flight_id WHERE f.status IN ('scheduled', 'boarding')),
+asked AS (SELECT r.*, on_sale, free, CAST(price * n_seats AS DECIMAL(12,2)) AS amount FROM r LEFT JOIN sale ON on_sale = r.flight_id AND sale.class = r.class),
+q AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY request_ts, request_id) AS place FROM asked WHERE amount IS NOT NULL),
+walk AS (SELECT request_id, flight_id, place, n_seats <= free AS ok, CASE WHEN n_seats <= free THEN free - n_seats ELSE free END AS rest
+FROM q WHERE place = 1 UNION ALL SELECT q.request_id, q.flight_id, q.place, q.n_seats <= w.rest, CASE WHEN q.n_seats <= w.rest THEN w.rest - q.n_seats ELSE w.rest END
+FROM walk w JOIN q ON q.flight_id = w.flight_id AND q.place = w.place + 1),
+won AS (SELECT asked.* FROM asked JOIN walk ON walk.request_id = asked.request_id AND walk.ok),
+people AS (SELECT *, row_number() OVER (ORDER BY request_id, i) - 1 AS number,
+CASE WHEN (request_id + i) % 3 = 0 THEN user_id * 10 + i END AS known FROM (SELECT *, unnest(range(1, n_seats + 1)) AS i FROM won))"""
+NESTED_TABLES = "booking_requests flights aircraft bookings booking_passengers"
+
+
+def _nested(feed: DataFrame, *base: DataFrame) -> Outcome:
+    flight_class = F.when(F.col("request_id") % 4 == 2, "business").when(F.col("request_id") % 4 == 3, "first")
+    flight_class = flight_class.when(F.col("request_id") % 4 == 1, "economy")
+    feed = feed.select("*", flight_class.alias("class"), F.expr(PERSON).alias("passengers")).drop("n_seats")
+    return admit(feed, *base).stored("admitted")
+
+
+def _scrambled(number: str) -> str:
+    """Feistel rounds as SQL, and the digits of the result."""
+    mask = (1 << HALF_BITS) - 1
+    left, right = f"(({number} >> {HALF_BITS}) & {mask})", f"({number} & {mask})"
+    for key in ROUND_KEYS:
+        left, right = right, f"xor({left}, (({right} * {key} + {key}) >> {HALF_BITS // 2}) & {mask})"
+    return f"(({left} << {HALF_BITS}) + {right})"
+
+
+def _base36(number: str, digits: int) -> str:
+    places = ", ".join(str(36**k) for k in reversed(range(digits)))
+    digit = f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({number} // p % 36 + 1 AS BIGINT), 1)"
+    return f"array_to_string(list_transform([{places}], lambda p: {digit}), '')"
+
+
+@check(
+    NESTED_TABLES,
+    f"""WITH RECURSIVE {NESTED} SELECT asked.request_id, CASE WHEN walk.ok THEN amount END AS total_amount,
+CASE WHEN on_sale IS NULL THEN 'flight_not_available' WHEN amount IS NULL THEN 'no_price' WHEN walk.ok THEN '' ELSE 'not_enough_seats' END AS reasons
+FROM asked LEFT JOIN walk ON walk.request_id = asked.request_id""",
+)
+def admit_nested_bookings(*given):
+    return _nested(*given).summary.select("request_id", "total_amount", "reasons")
+
+
+@check(
+    NESTED_TABLES,
+    f"""WITH RECURSIVE {NESTED} SELECT {FIRST_BOOKING} + request_id AS booking_id,
+'BK' || {_base36("(epoch_us(request_ts) // 1000)", 8)} || {_base36(_scrambled("request_id"), 9)} AS booking_reference,
+user_id, flight_id, request_ts AS booking_date, CAST(n_seats AS INTEGER) AS number_of_passengers, class, amount AS total_amount,
+'confirmed' AS status, 'paid' AS payment_status, CAST(NULL AS VARCHAR) AS payment_method, request_ts AS created_at, request_ts AS updated_at FROM won""",
+)
+def admitted_bookings(*given):
+    return admission.booking_rows(_nested(*given).accepted, FIRST_BOOKING)
+
+
+@check(
+    NESTED_TABLES,
+    f"""WITH RECURSIVE {NESTED} SELECT {FIRST_PASSENGER} + number AS passenger_id, user_id, 'Ann' AS first_name, 'Lee ' || i AS last_name,
+CAST((1950 + (request_id + i) % 50) || '-0' || i || '-15' AS DATE) AS date_of_birth, CASE WHEN i % 2 = 0 THEN 'X' || request_id END AS passport_number,
+CASE WHEN i % 3 = 1 THEN 'Utopia' END AS nationality, CASE WHEN i < 5 AND (request_id + i) % 2 = 0 THEN 1 ELSE 0 END AS is_saved, request_ts AS created_at
+FROM people WHERE known IS NULL""",
+)
+def admitted_passengers(*given):
+    return admission.new_passenger_rows(_nested(*given).accepted, FIRST_PASSENGER)
+
+
+@check(
+    NESTED_TABLES,
+    f"""WITH RECURSIVE {NESTED} SELECT {FIRST_LINK} + number AS booking_passenger_id, {FIRST_BOOKING} + request_id AS booking_id,
+coalesce(known, {FIRST_PASSENGER} + number) AS passenger_id, CASE WHEN i > 1 THEN i || 'A' END AS seat_number FROM people""",
+)
+def admitted_links(*given):
+    return admission.link_rows(_nested(*given).accepted, FIRST_BOOKING, FIRST_PASSENGER, FIRST_LINK)

@@ -106,6 +106,16 @@ SELECT event_id AS request_id, ts AS request_ts, user_id,
   event_id % (SELECT CAST(ceil(count(*) / 40.0) AS BIGINT) FROM part) AS flight_id,
   1 + (event_id * 7 + user_id) % 5 AS n_seats
 FROM events WHERE event_type = 'purchase'""",
+    # searches that give any of the three fields, empty texts and unknown codes among them
+    "search_requests": """
+SELECT e.event_id AS search_id,
+  CASE WHEN e.event_id % 10 < 9 THEN f.from_airport_code WHEN e.event_id % 20 = 9 THEN '' END AS from_code,
+  CASE WHEN e.event_id % 70 = 3 THEN 'A99' WHEN e.user_id % 10 < 8 THEN f.to_airport_code WHEN e.user_id % 20 = 8 THEN '' END AS to_code,
+  CASE WHEN (e.event_id + e.user_id) % 7 < 6 THEN CAST(f.departure_datetime AS DATE) END AS departure,
+  CASE e.event_id % 6 WHEN 0 THEN '2 adults' WHEN 1 THEN '3' WHEN 2 THEN 'many' WHEN 3 THEN NULL ELSE '1' END AS passengers,
+  CASE e.event_id % 5 WHEN 0 THEN 'business' WHEN 1 THEN 'first' WHEN 2 THEN 'cargo' WHEN 3 THEN NULL ELSE 'economy' END AS class
+FROM events e JOIN flights f ON f.flight_id = (e.event_id * 13 + e.user_id) % (SELECT count(*) FROM part)
+WHERE e.event_type = 'signup'""",
     "booking_changes": """
 SELECT e.event_id AS change_id, e.ts AS change_ts, b.booking_id,
   CASE WHEN e.event_id % 4 = 0 THEN -1 ELSE b.user_id END AS requester_id,
@@ -219,7 +229,7 @@ JOIN (SELECT booking_id, count(*) AS n FROM booking_passengers GROUP BY booking_
 }
 
 # Feeds that joins make up; they are stored first, as requests come in a table and are not computed for every use.
-JOINED_FEEDS = ("checkin_requests", "confirm_feed")
+JOINED_FEEDS = ("checkin_requests", "confirm_feed", "search_requests")
 
 _COUNT = re.compile(r"\(SELECT (CAST\(ceil\(count\(\*\) / 40\.0\) AS BIGINT\)|2 \* count\(\*\)|count\(\*\)) FROM (\w+)\)")
 _counts: dict[tuple[str, str], int] = {}

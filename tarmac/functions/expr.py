@@ -87,8 +87,25 @@ def hours_and_minutes(minutes: Column) -> Column:
     return F.concat(hours.cast("string"), F.lit("h "), rest.cast("string"), F.lit("m"))
 
 
+# A request id has at most twice as many bits; nine base-36 digits hold them, and the whole 20 characters.
+HALF_BITS = 23
+ROUND_KEYS = (1_640_531_527, 1_013_904_223, 1_274_126_177, 974_711_941)
+
+
+def scrambled(number: Column) -> Column:
+    """A bijection of the numbers below 2^(2 * ``HALF_BITS``): Feistel rounds of a keyed product's middle bits."""
+    mask = (1 << HALF_BITS) - 1
+    left, right = F.shiftright(number, HALF_BITS).bitwiseAND(F.lit(mask)), number.bitwiseAND(F.lit(mask))
+    for key in ROUND_KEYS:
+        left, right = right, left.bitwiseXOR(F.shiftright(right * key + key, HALF_BITS // 2).bitwiseAND(F.lit(mask)))
+    return F.shiftleft(left, HALF_BITS) + right
+
+
 def booking_reference(ts: Column, request_id: Column) -> Column:
-    """``BK``, the request time in base 36, and four base-36 digits derived from the request id."""
+    """``BK``, the request time in base 36, and nine base-36 digits that tell every request id below 2^46 from all others.
+
+    The digits do not repeat for different ids, so references are unique as long as request ids are.
+    """
     stamp = F.conv(F.unix_millis(ts.cast("timestamp")).cast("string"), 10, 36)
-    suffix = F.conv(F.pmod(F.xxhash64(request_id), F.lit(36**4)).cast("string"), 10, 36)
-    return F.concat(F.lit("BK"), stamp, F.lpad(suffix, 4, "0"))
+    digits = F.conv(scrambled(request_id.cast("bigint")).cast("string"), 10, 36)
+    return F.concat(F.lit("BK"), stamp, F.lpad(digits, 9, "0"))

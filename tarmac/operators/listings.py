@@ -53,7 +53,7 @@ BOOKING_COLUMNS = [
 PASSENGER_COLUMNS = ["passenger_id", "first_name", "last_name", "date_of_birth", "passport_number", "nationality"]
 
 
-def _codes(*names: str) -> list[Column | str]:
+def codes(*names: str) -> list[Column | str]:
     """Both ends of a flight: the airport codes under their listing names, then the ``names`` of either end."""
     return [
         c
@@ -65,7 +65,7 @@ def _codes(*names: str) -> list[Column | str]:
 # Flights
 
 
-def _available(df: DataFrame, bookings: DataFrame, booking_passengers: DataFrame, few: bool) -> DataFrame:
+def available(df: DataFrame, bookings: DataFrame, booking_passengers: DataFrame, few: bool) -> DataFrame:
     """Free seats of the flights in ``df``; ``few`` restricts the seat count to their bookings first."""
     if few:
         bookings = asked_for(bookings, df, "flight_id")
@@ -99,7 +99,7 @@ def flight_search(
     if departure:
         found = found.where(F.to_date("departure_datetime") == day(departure))
     found = with_aircraft(with_airports(found, airports), aircraft)
-    found = _available(found, bookings, booking_passengers, few=bool(from_code or to_code or departure))
+    found = available(found, bookings, booking_passengers, few=bool(from_code or to_code or departure))
     price = class_price(F.lit(flight_class))
     return found.select(
         "flight_id",
@@ -113,7 +113,7 @@ def flight_search(
         "aircraft_id",
         "aircraft_model",
         "capacity",
-        *_codes("name", "city", "country"),
+        *codes("name", "city", "country"),
         price.alias("price"),
         "available_seats",
         (price.cast("decimal(18,2)") * lenient_int(F.lit(str(passengers)))).cast("decimal(38,2)").alias("total_price"),
@@ -131,9 +131,9 @@ def flight_detail(
     """Every column of a flight of any status, its aircraft, airports and free seats."""
     found = flights if flight_id is None else flights.where(F.col("flight_id") == flight_id)
     found = with_aircraft(with_airports(found, airports), aircraft)
-    found = _available(found, bookings, booking_passengers, few=flight_id is not None)
+    found = available(found, bookings, booking_passengers, few=flight_id is not None)
     return found.select(
-        *FLIGHT_COLUMNS, "aircraft_model", "capacity", *_codes("name", "city", "country"), "available_seats"
+        *FLIGHT_COLUMNS, "aircraft_model", "capacity", *codes("name", "city", "country"), "available_seats"
     )
 
 
@@ -242,7 +242,7 @@ def on_flights(bookings: DataFrame, flights: DataFrame, airports: DataFrame) ->
 
 
 def _flight_part() -> list[Column | str]:
-    return ["flight_number", "departure_datetime", "arrival_datetime", "flight_status", *_codes("name", "city")]
+    return ["flight_number", "departure_datetime", "arrival_datetime", "flight_status", *codes("name", "city")]
 
 
 def _with_user(df: DataFrame, users: DataFrame) -> DataFrame:
