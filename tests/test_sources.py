@@ -1,4 +1,4 @@
-"""Loading, snapshots and the shared folder."""
+"""Loading, layouts and the shared folder."""
 
 from types import SimpleNamespace
 
@@ -6,8 +6,9 @@ import pytest
 
 from rows import table
 from tarmac.operators import reports
+from tarmac.plans.airline import booked_seats, passengers_per_booking
 from tarmac.schemas import TABLES, conform
-from tarmac.sources import snapshots, tables, work
+from tarmac.sources import layout, tables, work
 
 
 def test_conform_adds_and_casts(spark):
@@ -17,63 +18,50 @@ def test_conform_adds_and_casts(spark):
     assert (row.booking_id, str(row.total_amount), row.status) == (1, "12.35", None)
 
 
-def test_snapshots_are_published_whole(spark, tmp_path):
+def test_a_job_rewrites_the_months_it_has(spark, tmp_path):
     root = str(tmp_path / "air")
-    with pytest.raises(FileNotFoundError):
-        snapshots.read_snapshot(spark, root, "bookings")
     days = ["2001-06-30 23:59", "2001-07-01 00:00", "2001-07-31 10:00", None]
     first = table(spark, "bookings", *[{"booking_id": i, "booking_date": d} for i, d in enumerate(days)])
-    users = table(spark, "users", {"user_id": 1})
-    assert snapshots.write_snapshot(spark, {"bookings": first, "users": users}, root) == 1
-    one = snapshots.read_snapshot(spark, root, "bookings", "users")
-    assert {r.booking_id: r.booking_month for r in one["bookings"].collect()} == {0: "2001-06", 1: "2001-07", 2: "2001-07", 3: None}
-    assert one["users"].count() == 1
-    # the next version is computed from the one it replaces
-    assert snapshots.write_snapshot(spark, {"bookings": one["bookings"].where("booking_id > 1")}, root) == 2
-    assert snapshots.read_snapshot(spark, root, "bookings")["bookings"].count() == 2
-    assert one["bookings"].count() == 4
-
-    class Broken(Exception):
-        pass
-
-    def fail(_):
-        raise Broken
-
-    broken = first.mapInPandas(fail, first.schema)
-    with pytest.raises(Exception, match="Broken"):
-        snapshots.write_snapshot(spark, {"bookings": broken}, root)
-    assert snapshots.current(spark, root)[0] == 2
-
-
-def test_tables_that_a_job_does_not_write_stay(spark, tmp_path):
-    root = str(tmp_path / "air")
-    users, some = table(spark, "users", {"user_id": 1}), table(spark, "bookings", {"booking_id": 1})
-    snapshots.write_snapshot(spark, {"users": users, "bookings": some}, root)
-    snapshots.write_snapshot(spark, {"bookings": table(spark, "bookings", {"booking_id": 2})}, root, base=1)
-    found = snapshots.read_snapshot(spark, root)
-    assert sorted(found) == ["bookings", "users"]
-    assert [r.user_id for r in found["users"].collect()] == [1]
-    assert [r.booking_id for r in found["bookings"].collect()] == [2]
-
-
-def test_of_two_jobs_from_one_version_one_is_refused(spark, tmp_path):
-    root = str(tmp_path / "air")
-    users = table(spark, "users", {"user_id": 1})
-    assert snapshots.write_snapshot(spark, {"users": users}, root, base=0) == 1
-    with pytest.raises(snapshots.StaleSnapshot):
-        snapshots.write_snapshot(spark, {"users": users}, root, base=0)
-    # both have looked before either publishes
-    snapshots._publish(spark, {"users": "first"}, root, 2)
-    with pytest.raises(snapshots.StaleSnapshot):
-        snapshots._publish(spark, {"users": "second"}, root, 2)
-    assert snapshots.current(spark, root) == (2, {"users": "first"})
+    layout.write_tables({"bookings": first, "users": table(spark, "users", {"user_id": 1})}, root)
+    months = {r.booking_id: r.booking_month for r in layout.read_bookings(spark, root).collect()}
+    assert months == {0: "2001-06", 1: "2001-07", 2: "2001-07", 3: None}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "air/bookings").rglob("*.parquet")}
+    layout.write_months(table(spark, "bookings", {"booking_id": 9, "booking_date": "2001-07-02 00:00"}), root)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "air/bookings").rglob("*.parquet")}
+    assert {r.booking_id for r in layout.read_bookings(spark, root).collect()} == {0, 3, 9}
+    assert {p for p in before if "2001-07" not in str(p)} == {p for p in after if before.get(p) == after[p]}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        layout.write_tables({"users": table(spark, "users", {"user_id": 1})}, root)
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, tmp_path):
+    bookings = table(spark, "bookings", *[{"booking_id": i, "flight_id": i % 3, "status": "pending"} for i in range(20)])
+    people = table(spark, "booking_passengers", *[{"booking_passenger_id": i, "booking_id": i % 20} for i in range(50)])
+    saved = [
+        layout.save_bucketed(df, name, f"{name}_in_buckets", str(tmp_path / name), 4)
+        for name, df in (("bookings", bookings), ("booking_passengers", people))
+    ]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = passengers_per_booking(saved[1]).join(saved[0], "booking_id")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        # seats per flight: the only exchange is of partial sums by flight
+        seats = booked_seats(*saved)
+        assert seats._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        assert sorted(map(tuple, seats.collect())) == sorted(map(tuple, booked_seats(bookings, people).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("bookings", "booking_passengers"):
+            spark.sql(f"DROP TABLE {name}_in_buckets")
 
 
 def test_month_partitions_are_pruned(spark, tmp_path):
     root = str(tmp_path / "air")
     rows = [{"booking_id": i, "booking_date": f"2001-{1 + i % 12:02d}-15 10:00"} for i in range(48)]
-    snapshots.write_snapshot(spark, {"bookings": table(spark, "bookings", *rows)}, root)
-    july = snapshots.read_snapshot(spark, root, "bookings")["bookings"].where("booking_month = '2001-07'")
+    layout.write_tables({"bookings": table(spark, "bookings", *rows)}, root)
+    july = layout.read_bookings(spark, root).where("booking_month = '2001-07'")
     assert len(july.inputFiles()) >= 1 and july.count() == 4
     assert "PartitionFilters: [isnotnull(booking_month" in july._jdf.queryExecution().executedPlan().toString()
 
@@ -85,8 +73,8 @@ def test_reports_prune_months(spark, tmp_path):
         for i in range(96)
     ]
     plain = table(spark, "bookings", *rows)
-    snapshots.write_snapshot(spark, {"bookings": plain}, str(tmp_path))
-    stored = snapshots.read_snapshot(spark, str(tmp_path), "bookings")["bookings"]
+    layout.write_tables({"bookings": plain}, str(tmp_path))
+    stored = layout.read_bookings(spark, str(tmp_path))
     for report, months in [
         (reports.monthly_revenue, 1),
         (reports.monthly_confirmed_bookings, 1),
