@@ -6,6 +6,7 @@ from checks import check
 from checks.reports import HELD
 from tarmac.operators import listings
 from tarmac.operators.searches import search_flights
+from tarmac.operators.text_searches import search_texts
 from tarmac.plans import airline
 
 SEATS = f"(SELECT b.flight_id, count(*) AS n FROM {HELD} GROUP BY b.flight_id)"
@@ -121,6 +122,16 @@ def admin_flights_total(flights, airports):
     return listings.admin_flights_total(flights, airports, page=3, limit=40, search="city_1")
 
 
+@check(
+    "text_searches flights airports",
+    """WITH said AS (SELECT f.flight_id, f.flight_number, lower(concat_ws(chr(10), f.flight_number, x.city, x.airport_name, y.city, y.airport_name)) AS words
+FROM flights f JOIN airports x ON x.airport_code = f.from_airport_code JOIN airports y ON y.airport_code = f.to_airport_code)
+SELECT r.search_id, s.flight_id, s.flight_number FROM text_searches r JOIN said s ON contains(s.words, lower(trim(coalesce(r.search, ''))))""",
+)
+def flight_text_searches(text_searches, flights, airports):
+    return search_texts(text_searches, flights, airports)
+
+
 @check("bookings flights airports", f"SELECT {BOOKING}, {ON_FLIGHT} FROM bookings b {ROUTED}")
 def user_bookings(bookings, flights, airports):
     return listings.user_bookings(bookings, flights, airports, status="all")

@@ -116,6 +116,15 @@ SELECT e.event_id AS search_id,
   CASE e.event_id % 5 WHEN 0 THEN 'business' WHEN 1 THEN 'first' WHEN 2 THEN 'cargo' WHEN 3 THEN NULL ELSE 'economy' END AS class
 FROM events e JOIN flights f ON f.flight_id = (e.event_id * 13 + e.user_id) % (SELECT count(*) FROM part)
 WHERE e.event_type = 'signup'""",
+    # parts of flight numbers, cities and airport names, in any case, with wildcards that are none, and blanks
+    "text_searches": """
+SELECT e.event_id AS search_id,
+  CASE WHEN e.event_id % 50 = 0 THEN substr(a.airport_name, 2, 5) WHEN e.event_id % 50 = 1 THEN ' ' || lower(a.airport_name) || ' '
+    WHEN e.event_id % 50 = 2 THEN a.city WHEN e.event_id % 50 = 3 THEN substr(f.flight_number, 3, 2) WHEN e.event_id % 50 = 4 THEN 'f%1'
+    WHEN e.event_id % 50 = 5 THEN 'zzz' WHEN e.event_id % 1000 = 6 THEN ' ' WHEN e.event_id % 1000 = 56 THEN NULL WHEN e.event_id % 1000 = 106 THEN '7'
+    ELSE lower(f.flight_number) END AS search
+FROM events e JOIN flights f ON f.flight_id = (e.event_id * 17 + e.user_id) % (SELECT count(*) FROM part)
+JOIN airports a ON a.airport_code = f.to_airport_code WHERE e.event_type = 'error'""",
     "booking_changes": """
 SELECT e.event_id AS change_id, e.ts AS change_ts, b.booking_id,
   CASE WHEN e.event_id % 4 = 0 THEN -1 ELSE b.user_id END AS requester_id,
@@ -229,7 +238,7 @@ JOIN (SELECT booking_id, count(*) AS n FROM booking_passengers GROUP BY booking_
 }
 
 # Feeds that joins make up; they are stored first, as requests come in a table and are not computed for every use.
-JOINED_FEEDS = ("checkin_requests", "confirm_feed", "search_requests")
+JOINED_FEEDS = ("checkin_requests", "confirm_feed", "search_requests", "text_searches")
 
 _COUNT = re.compile(r"\(SELECT (CAST\(ceil\(count\(\*\) / 40\.0\) AS BIGINT\)|2 \* count\(\*\)|count\(\*\)) FROM (\w+)\)")
 _counts: dict[tuple[str, str], int] = {}
