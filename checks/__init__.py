@@ -11,6 +11,7 @@ from tarmac.plans.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WRITTEN: dict[str, str] = {}
 
 
 def check(reads: str, sql: str | None = None):
@@ -23,7 +24,7 @@ def check(reads: str, sql: str | None = None):
 
         QUERIES[run.__name__] = query
         if sql is not None:
-            ORACLES[run.__name__] = oracle(sql)
+            ORACLES[run.__name__], WRITTEN[run.__name__] = oracle(sql), sql
         return run
 
     return register

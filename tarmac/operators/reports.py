@@ -126,10 +126,18 @@ def revenue_growth(bookings: DataFrame, as_of: date | str) -> DataFrame:
 
 def revenue_report(bookings: DataFrame, flights: DataFrame, airports: DataFrame, as_of: date | str) -> DataFrame:
     """All parts come from one scan of the bookings, reduced by flight and month and stored."""
+    amount = F.sum("total_amount")
+    paid = stored(_cells(bookings.where(is_paid()), as_of, "flight_id", amount, "total_amount"), "paid")
+    return revenue_from_cells(paid, paid, flights, airports, as_of)
+
+
+def revenue_from_cells(
+    by_month: DataFrame, by_flight: DataFrame, flights: DataFrame, airports: DataFrame, as_of: date | str
+) -> DataFrame:
+    """The revenue report from sums ``total_amount`` of paid bookings: by month and ``recent``, and by flight."""
     amount, month = F.col("total_amount"), F.col("month")
-    paid = stored(_cells(bookings.where(is_paid()), as_of, "flight_id", F.sum(amount), "total_amount"), "paid")
     sums = (
-        paid.agg(
+        by_month.agg(
             money(amount).alias("total_revenue"),
             money(F.when(month == _month(as_of), amount)).alias("monthly_revenue"),
             money(F.when(month == _month(as_of, 1), amount)).alias("previous"),
@@ -137,8 +145,8 @@ def revenue_report(bookings: DataFrame, flights: DataFrame, airports: DataFrame,
         .withColumn("growth", growth_pct(F.col("monthly_revenue"), F.col("previous")))
         .drop("previous")
     )
-    by_route = _top_revenue(paid, flights, airports, 5)
-    trend = paid.where("recent").groupBy("month").agg(money(amount).alias("revenue"))
+    by_route = _top_revenue(by_flight, flights, airports, 5)
+    trend = by_month.where("recent").groupBy("month").agg(money(amount).alias("revenue"))
     return one_row(
         sums,
         as_array(by_route, [-F.col("revenue"), F.col("route")], ["route", "revenue"], "revenue_by_route"),
@@ -181,7 +189,12 @@ def booking_growth(bookings: DataFrame, as_of: date | str) -> DataFrame:
 
 def bookings_report(bookings: DataFrame, as_of: date | str) -> DataFrame:
     """One scan: counts by status and month, then all, by status and by month from these few."""
-    cells = _cells(bookings, as_of, "status", F.count("*"), "n").withColumns(
+    return bookings_from_cells(_cells(bookings, as_of, "status", F.count("*"), "n"), as_of)
+
+
+def bookings_from_cells(cells: DataFrame, as_of: date | str) -> DataFrame:
+    """The bookings report from counts ``n`` by status, month and ``recent``."""
+    cells = cells.withColumns(
         {f"n{back}": F.when(F.col("month") == _month(as_of, back), F.col("n")) for back in (0, 1)}
     )
     parts = cells.groupingSets([[], ["status"], ["month", "recent"]], "status", "month", "recent").agg(
@@ -278,6 +291,11 @@ def routes_report(bookings: DataFrame, flights: DataFrame, airports: DataFrame)
     """The three lists come from one scan of the bookings, reduced by flight and class and stored."""
     paid = {"paid": F.count_if(is_paid()), "total_amount": F.sum(F.when(is_paid(), F.col("total_amount")))}
     cells = stored(_confirmed_cells(bookings, "flight_id", "class", **paid), "confirmed")
+    return routes_from_cells(cells, flights, airports)
+
+
+def routes_from_cells(cells: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
+    """The routes report from confirmed bookings by flight and class: ``n``, the ``paid`` among them, their sum."""
     popular = _popular_airports(cells, flights, airports, 10)
     prices = _avg_prices(cells, flights, airports, 10)
     revenue = _top_revenue(cells.where("paid > 0"), flights, airports, 10)
@@ -432,8 +450,22 @@ def overview(
         F.coalesce(F.sum("n"), F.lit(0)).alias("bookings_total"),
         F.coalesce(F.sum("n_month"), F.lit(0)).alias("bookings_monthly"),
     )
-    routes = _popular_cities(cells, flights, airports, 3)
-    fleet = one_row(_seats_booked(bookings, booking_passengers), _fleet_figures(flights, aircraft))
+    return overview_from_cells(
+        totals, _seats_booked(bookings, booking_passengers), cells, flights, aircraft, airports
+    )
+
+
+def overview_from_cells(
+    totals: DataFrame,
+    seats: DataFrame,
+    confirmed: DataFrame,
+    flights: DataFrame,
+    aircraft: DataFrame,
+    airports: DataFrame,
+) -> DataFrame:
+    """The overview from its one row of ``totals``, the seats ``booked`` and confirmed bookings ``n`` by flight."""
+    routes = _popular_cities(confirmed, flights, airports, 3)
+    fleet = one_row(seats, _fleet_figures(flights, aircraft))
     on_time = F.col("on_time")
     return one_row(
         totals,
