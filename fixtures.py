@@ -223,6 +223,44 @@ SELECT event_id AS change_id, ts AS change_ts, CASE WHEN event_id % 97 = 0 THEN
   CASE WHEN event_id % 12 = 0 THEN '2001-10-01 08:00:00' ELSE '2001-10-01 11:15:00' END AS arrival_datetime,
   CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS has_base_price,
   CASE WHEN event_id % 10 = 0 THEN '0' ELSE '777.25' END AS base_price
+FROM events""",
+    # JSON bodies in which every field is absent, null, empty or given, as text, number, truth value, object or list
+    "profile_bodies": """
+SELECT event_id AS change_id, ts AS change_ts, CASE WHEN event_id % 103 = 0 THEN -5 ELSE user_id END AS user_id,
+  CASE event_id % 101 WHEN 7 THEN '{"firstName":' WHEN 8 THEN '[1]' WHEN 9 THEN NULL ELSE
+    '{' || concat_ws(',', CASE event_id % 11 WHEN 0 THEN '"firstName":null' WHEN 1 THEN '"firstName":""' WHEN 2 THEN '"firstName":" Ann "' WHEN 3 THEN '"firstName":"Zoe"' WHEN 4 THEN '"firstName":"B0b"' WHEN 5 THEN '"firstName":"Eve"' WHEN 6 THEN '"firstName":"Kim"' END,
+    CASE event_id % 13 WHEN 0 THEN '"lastName":null' WHEN 1 THEN '"lastName":""' WHEN 2 THEN '"lastName":"Lee"' WHEN 3 THEN '"lastName":"O-Neil "' WHEN 4 THEN '"lastName":7' WHEN 5 THEN '"lastName":"Ray"' END,
+    CASE event_id % 17 WHEN 0 THEN '"email":null' WHEN 1 THEN '"email":""' WHEN 2 THEN '"email":"nope"' WHEN 3 THEN '"email":"Shared' || CAST(event_id % 40 AS STRING) || '@example.com"'
+      WHEN 4 THEN '"email":" customer#' || lpad(CAST(event_id % 300 AS STRING), 9, '0') || '@example.com"' WHEN 5 THEN '"email":"own' || CAST(event_id AS STRING) || '@example.com"' END,
+    CASE event_id % 19 WHEN 0 THEN '"phone":null' WHEN 1 THEN '"phone":""' WHEN 2 THEN '"phone":"+1 555"' WHEN 3 THEN '"phone":5550100' WHEN 4 THEN '"phone":"call me"' WHEN 5 THEN '"phone":"+44 (20) 7"' END,
+    CASE event_id % 23 WHEN 0 THEN '"dateOfBirth":null' WHEN 1 THEN '"dateOfBirth":""' WHEN 2 THEN '"dateOfBirth":"1980-02-29"' WHEN 3 THEN '"dateOfBirth":"2001-13-45"' WHEN 4 THEN '"dateOfBirth":"1850-01-01"' WHEN 5 THEN '"dateOfBirth":19800229' WHEN 6 THEN '"dateOfBirth":"1999-12-31"' END,
+    CASE event_id % 5 WHEN 0 THEN '"address":null' WHEN 1 THEN '"address":""' WHEN 2 THEN '"address":"Street 5"' WHEN 3 THEN '"address":12' END,
+    CASE WHEN event_id % 19 > 5 AND event_id % 29 = 3 THEN '"phone":{"home":1}' WHEN event_id % 29 = 4 THEN '"spare":[1]' END) || '}' END AS body
+FROM events""",
+    "aircraft_bodies": """
+SELECT event_id AS change_id, ts AS change_ts, CASE WHEN event_id % 97 = 0 THEN -5 ELSE event_id % (SELECT count(*) FROM part) END AS aircraft_id,
+  CASE event_id % 101 WHEN 7 THEN '{' WHEN 8 THEN '[1]' WHEN 9 THEN NULL ELSE
+    '{' || concat_ws(',', CASE event_id % 7 WHEN 0 THEN '"model":null' WHEN 1 THEN '"model":""' WHEN 2 THEN '"model":"Model Q "' WHEN 3 THEN '"model":320' END,
+    CASE event_id % 11 WHEN 0 THEN '"registration":null' WHEN 1 THEN '"registration":""' WHEN 2 THEN '"registration":"bad reg"' WHEN 3 THEN '"registration":" NR-' || CAST(event_id % 50 AS STRING) || '"'
+      WHEN 4 THEN '"registration":["X"]' WHEN 5 THEN '"registration":"QX-' || CAST(event_id AS STRING) || '"' END,
+    CASE event_id % 13 WHEN 0 THEN '"capacity":null' WHEN 1 THEN '"capacity":""' WHEN 2 THEN '"capacity":150' WHEN 3 THEN '"capacity":"99"' WHEN 4 THEN '"capacity":"1001"' WHEN 5 THEN '"capacity":12.5' WHEN 6 THEN '"capacity":true' WHEN 7 THEN '"capacity":0' END,
+    CASE event_id % 17 WHEN 0 THEN '"status":null' WHEN 1 THEN '"status":""' WHEN 2 THEN '"status":"active"' WHEN 3 THEN '"status":"retired"' WHEN 4 THEN '"status":"maintenance"' WHEN 5 THEN '"status":"lost"' END) || '}' END AS body
+FROM events""",
+    "flight_bodies": """
+SELECT event_id AS change_id, ts AS change_ts, CASE WHEN event_id % 97 = 0 THEN -5 ELSE event_id % (SELECT count(*) FROM part) END AS flight_id,
+  CASE event_id % 101 WHEN 7 THEN 'nul' WHEN 8 THEN '[1]' WHEN 9 THEN NULL ELSE
+    '{' || concat_ws(',', CASE event_id % 7 WHEN 0 THEN '"flight_number":null' WHEN 1 THEN '"flight_number":""' WHEN 2 THEN '"flight_number":"0"' WHEN 3 THEN '"flight_number":0'
+      WHEN 4 THEN '"flight_number":"NX' || CAST(event_id % 900 AS STRING) || '"' END,
+    CASE event_id % 11 WHEN 0 THEN '"aircraft_id":null' WHEN 1 THEN '"aircraft_id":""' WHEN 2 THEN '"aircraft_id":12' WHEN 3 THEN '"aircraft_id":"7abc"' WHEN 4 THEN '"aircraft_id":0' WHEN 5 THEN '"aircraft_id":"none"' WHEN 6 THEN '"aircraft_id":false' END,
+    CASE event_id % 13 WHEN 0 THEN '"from_airport_code":null' WHEN 1 THEN '"from_airport_code":""' WHEN 2 THEN '"from_airport_code":"A3"' WHEN 3 THEN '"from_airport_code":0' WHEN 4 THEN '"from_airport_code":"A4"' END,
+    CASE event_id % 17 WHEN 0 THEN '"to_airport_code":null' WHEN 1 THEN '"to_airport_code":""' WHEN 2 THEN '"to_airport_code":"A5"' WHEN 3 THEN '"to_airport_code":false' WHEN 4 THEN '"to_airport_code":"A6"' END,
+    CASE event_id % 5 WHEN 0 THEN '"departure_datetime":null' WHEN 1 THEN '"departure_datetime":""' WHEN 2 THEN '"departure_datetime":"2001-10-01 08:00:00"' END,
+    CASE event_id % 10 WHEN 0 THEN '"arrival_datetime":null' WHEN 1 THEN '"arrival_datetime":""' WHEN 2 THEN '"arrival_datetime":"2001-10-01 08:00:00"' WHEN 7 THEN '"arrival_datetime":"2001-10-01 11:15:00"' WHEN 9 THEN '"arrival_datetime":"2001-10-02 00:00:00"' END,
+    CASE event_id % 19 WHEN 0 THEN '"status":null' WHEN 1 THEN '"status":""' WHEN 2 THEN '"status":"boarding"' WHEN 3 THEN '"status":0' WHEN 4 THEN '"status":"delayed"' END,
+    CASE event_id % 23 WHEN 0 THEN '"base_price":null' WHEN 1 THEN '"base_price":""' WHEN 2 THEN '"base_price":0' WHEN 3 THEN '"base_price":12.5' WHEN 4 THEN '"base_price":"777.25"' WHEN 5 THEN '"base_price":"12.345"' WHEN 6 THEN '"base_price":"abc"' WHEN 7 THEN '"base_price":true' END,
+    CASE event_id % 29 WHEN 0 THEN '"business_price":null' WHEN 1 THEN '"business_price":""' WHEN 2 THEN '"business_price":0' WHEN 3 THEN '"business_price":1500' WHEN 4 THEN '"business_price":"88.8"' END,
+    CASE event_id % 31 WHEN 0 THEN '"first_class_price":null' WHEN 1 THEN '"first_class_price":""' WHEN 2 THEN '"first_class_price":"0"' WHEN 3 THEN '"first_class_price":2500.75' END,
+    CASE WHEN event_id % 37 = 5 THEN '"seats":{"a":1}' END) || '}' END AS body
 FROM events""",
     "flight_deletes": """
 SELECT event_id AS request_id, event_id % (SELECT 2 * count(*) FROM part) AS flight_id FROM events""",

@@ -1,7 +1,9 @@
 """Change feeds on users, aircraft and flights, and guarded deletes.
 
-Partial updates come as ``changes map<string, string>``: an absent key keeps the field, and where the rules let an
-empty text or null through it clears it.
+Partial updates come as ``changes``, a map of texts or a VARIANT (a JSON body, by ``try_parse_json``): an absent key
+keeps the field, and where the rules let an empty text or null through it clears it. A VARIANT tells the number 0 and
+``false`` from texts that read alike. A body that is no object is refused as ``invalid_body``, one that gives an object or
+a list for a field as ``nested_value``.
 """
 
 from datetime import date
@@ -9,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.functions import rules
 from tarmac.functions.expr import PRICE, lenient_int
@@ -43,16 +46,41 @@ def apply_user_status(users: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def _opened(changes: DataFrame, base: DataFrame, entity: str, keys: dict[str, str]) -> DataFrame:
-    """Changes with the map opened: ``raw_<field>``, whether it was there, and whether the row to change exists."""
+    """Changes with their values opened, and whether the row to change exists.
+
+    Of each field: ``has_``, whether it was there; ``raw_``, its text; ``no_``, whether it is empty or 0. ``broken`` says
+    why a body cannot be read.
+    """
     known = base.select(entity, F.lit(True).alias("known"))
-    opened = changes.select(
-        "change_id",
-        "change_ts",
-        entity,
+    is_variant = isinstance(changes.schema["changes"].dataType, T.VariantType)
+    opened = (_of_variant if is_variant else _of_map)(keys)
+    return lookup(changes.select("change_id", "change_ts", entity, *opened), known, [entity], "change_id")
+
+
+def _of_map(keys: dict[str, str]) -> list[Column]:
+    raw = {f: F.col("changes")[k] for f, k in keys.items()}
+    return [
         *[F.coalesce(F.map_contains_key("changes", k), F.lit(False)).alias(f"has_{f}") for f, k in keys.items()],
-        *[F.col("changes")[k].alias(f"raw_{f}") for f, k in keys.items()],
-    )
-    return lookup(opened, known, [entity], "change_id")
+        *[raw[f].alias(f"raw_{f}") for f in keys],
+        *[raw[f].isin("", "0").alias(f"no_{f}") for f in keys],
+        F.array().cast("array<string>").alias("broken"),
+    ]
+
+
+def _of_variant(keys: dict[str, str]) -> list[Column]:
+    body = F.col("changes")
+    value = {f: F.try_variant_get(body, f"$.{k}", "variant") for f, k in keys.items()}
+    raw = {f: F.try_variant_get(body, f"$.{k}", "string") for f, k in keys.items()}
+    kind = {f: F.schema_of_variant(value[f]) for f in keys}
+    zero = {f: (kind[f] != "STRING") & ((raw[f] == "false") | (raw[f].try_cast("double") == 0)) for f in keys}
+    is_object = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
+    nested = _any([F.coalesce(kind[f].rlike("^(OBJECT|ARRAY)"), F.lit(False)) for f in keys])
+    return [
+        *[value[f].isNotNull().alias(f"has_{f}") for f in keys],
+        *[raw[f].alias(f"raw_{f}") for f in keys],
+        *[((raw[f] == "") | F.coalesce(zero[f], F.lit(False))).alias(f"no_{f}") for f in keys],
+        first_failure((~is_object, "invalid_body"), (nested, "nested_value")).alias("broken"),
+    ]
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -80,6 +108,7 @@ def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) ->
         "change_id",
         "change_ts",
         "user_id",
+        "broken",
         *given.values(),
         text(raw["first_name"]).alias("first_name"),
         text(raw["last_name"]).alias("last_name"),
@@ -117,6 +146,7 @@ def aircraft_updates(aircraft: DataFrame, changes: DataFrame) -> Outcome:
         "change_id",
         "change_ts",
         "aircraft_id",
+        "broken",
         *given.values(),
         text(raw["model"]).alias("model"),
         F.when(given["registration"], F.upper(text(raw["registration"]))).alias("registration"),
@@ -152,11 +182,11 @@ PRICE_FIELDS = FLIGHT_FIELDS[7:]
 def flight_updates(flights: DataFrame, changes: DataFrame) -> Outcome:
     """Decide flight updates (change_id, change_ts, flight_id, changes); flight numbers stay unique.
 
-    An empty text or 0 is no value, except for prices, where 0 is kept. The order of the dates is tested only if both
+    An empty text or 0 (in a VARIANT, the number) is no value, except for prices, where 0 is kept. The order of the dates is tested only if both
     are given.
     """
     raw = {f: F.col(f"raw_{f}") for f in FLIGHT_FIELDS}
-    value = {f: F.when(~raw[f].isin("", "0"), raw[f]) for f in FLIGHT_FIELDS if f not in PRICE_FIELDS}
+    value = {f: F.when(~F.col(f"no_{f}"), raw[f]) for f in FLIGHT_FIELDS if f not in PRICE_FIELDS}
     given = {f: value.get(f, raw[f]).isNotNull().alias(f"has_{f}") for f in FLIGHT_FIELDS}
     value["aircraft_id"] = lenient_int(value["aircraft_id"])
     for name in ("departure_datetime", "arrival_datetime"):
@@ -164,7 +194,9 @@ def flight_updates(flights: DataFrame, changes: DataFrame) -> Outcome:
     for name in PRICE_FIELDS:
         value[name] = raw[name].try_cast(PRICE)
     opened = _opened(changes, flights, "flight_id", {f: f for f in FLIGHT_FIELDS}).select(
-        "change_id", "change_ts", "flight_id", "known", *given.values(), *[value[f].alias(f) for f in FLIGHT_FIELDS]
+        *("change_id", "change_ts", "flight_id", "known", "broken"),
+        *given.values(),
+        *[value[f].alias(f) for f in FLIGHT_FIELDS],
     )
     has = {f: F.col(f"has_{f}") for f in FLIGHT_FIELDS}
     backwards = F.col("arrival_datetime") <= F.col("departure_datetime")
@@ -186,15 +218,16 @@ def apply_flights(flights: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def _decided(checked: DataFrame, base: DataFrame, entity: str, unique: str, reason: str, fields: list[str]) -> Outcome:
-    """Reasons in order: ``early``, a conflict on the ``unique`` field, ``late``.
+    """Reasons in order: ``broken``, ``early``, a conflict on the ``unique`` field, ``late``.
 
     The checked changes are stored first; the claims, their holders and the decisions all read them.
     """
     checked = stored(checked, "checked-updates")
-    valid = (F.size("early") == 0) & (F.size("late") == 0)
+    valid = (F.size("broken") == 0) & (F.size("early") == 0) & (F.size("late") == 0)
     decided = with_conflict(checked, valid, base, entity, unique).withColumn(
         "reasons",
-        F.when(F.size("early") > 0, F.col("early"))
+        F.when(F.size("broken") > 0, F.col("broken"))
+        .when(F.size("early") > 0, F.col("early"))
         .when(F.col("conflict"), F.array(F.lit(reason)))
         .otherwise(F.col("late")),
     )
