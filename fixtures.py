@@ -224,6 +224,16 @@ SELECT event_id AS change_id, ts AS change_ts, CASE WHEN event_id % 97 = 0 THEN
   CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS has_base_price,
   CASE WHEN event_id % 10 = 0 THEN '0' ELSE '777.25' END AS base_price
 FROM events""",
+    # names that differ in case and accents alone
+    "accented_airports": """
+SELECT airport_code, airport_name, country, CASE CAST(substr(airport_code, 2) AS INT) % 3 WHEN 0 THEN 'Córdoba ' WHEN 1 THEN 'CORDOBA ' ELSE 'cordobá ' END
+  || CAST(CAST(substr(airport_code, 2) AS INT) % 8 AS STRING) AS city FROM airports""",
+    "accented_users": """
+SELECT user_id, first_name, last_name, CASE user_id % 3 WHEN 0 THEN upper(email) WHEN 1 THEN replace(email, 'example', 'exámple') ELSE email END AS email,
+  role, status, phone, date_of_birth, address, created_at, updated_at FROM users""",
+    "accented_passengers": """
+SELECT passenger_id, user_id, first_name, CASE passenger_id % 3 WHEN 0 THEN translate(last_name, 'aeiouAEIOU', 'áèîöüÁÈÎÖÜ') ELSE last_name END AS last_name,
+  date_of_birth, passport_number, nationality FROM passengers""",
     # JSON bodies in which every field is absent, null, empty or given, as text, number, truth value, object or list
     "profile_bodies": """
 SELECT event_id AS change_id, ts AS change_ts, CASE WHEN event_id % 103 = 0 THEN -5 ELSE user_id END AS user_id,

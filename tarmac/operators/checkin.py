@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import rules
+from tarmac.functions.collation import lower_or_compared
 from tarmac.functions.expr import instant
 from tarmac.functions.rules import emptied, failures, first_failure, text
 from tarmac.operators.listings import nested_passengers, on_flights, passenger_rows
@@ -38,9 +39,12 @@ def checkin_eligibility(
     passengers: DataFrame,
     check_ins: DataFrame,
     now: datetime | str,
+    collation: str | None = None,
 ) -> Outcome:
     """Decide ``requests`` (request_id, user_id, booking_reference, last_name); the first failing check is the reason.
 
+    Last names are compared by ``collation``, without one in lower case.
+
     The bookings asked for are stored first. Only a completed check-in counts as checked in. ``opens_in_hours`` is set where the window is not open yet.
     """
     low, high = rules.BOOKING_REFERENCE_LENGTH
@@ -73,12 +77,14 @@ def checkin_eligibility(
     names = (
         passenger_rows(theirs, passengers)
         .join(found.select("booking_id", "booking_reference"), "booking_id")
-        .select("booking_reference", F.lower("last_name").alias("lower_name"))
+        .select("booking_reference", lower_or_compared(F.col("last_name"), collation).alias("lower_name"))
         .distinct()
         .withColumn("name_known", F.lit(True))
     )
     hours = F.timestamp_diff("MILLISECOND", instant(now), F.col("departure_datetime")) / 3600000
-    asked = asked.withColumn("invalid", invalid).withColumn("lower_name", F.lower("last_name"))
+    asked = asked.withColumn("invalid", invalid).withColumn(
+        "lower_name", lower_or_compared(F.col("last_name"), collation)
+    )
     with_booking = lookup(asked, found, ["booking_reference"], "request_id")
     decided = (
         lookup(with_booking, names, ["booking_reference", "lower_name"], "request_id", counted=asked)

@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.functions.collation import lower_or_compared
 from tarmac.functions.expr import OPEN_FLIGHT, class_price, day, lenient_int
 from tarmac.plans import paging
 from tarmac.plans.airline import booked_seats, with_aircraft, with_airports
@@ -160,14 +161,16 @@ def flight_status(
     )
 
 
-def _matching_flights(flights: DataFrame, airports: DataFrame, search: str | None) -> DataFrame:
+def _matching_flights(
+    flights: DataFrame, airports: DataFrame, search: str | None, collation: str | None = None
+) -> DataFrame:
     found = with_airports(flights, airports)
     needle = (search or "").strip()
     if needle:
         searched = ("flight_number", "from_city", "from_name", "to_city", "to_name")
         hit = F.lit(False)
         for name in searched:
-            hit = hit | F.lower(name).contains(F.lower(F.lit(needle)))
+            hit = hit | lower_or_compared(F.col(name), collation).contains(lower_or_compared(F.lit(needle), collation))
         found = found.where(hit)
     return found
 
@@ -184,10 +187,14 @@ def admin_flights_page(
     page: int | None = None,
     limit: int | None = None,
     search: str | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
-    """One page of flights, latest departure first; ``search`` is a literal part of a number, city or airport name."""
+    """One page of flights, latest departure first; ``search`` is a literal part of a number, city or airport name.
+
+    It is found by ``collation``, without one in lower case.
+    """
     page, limit = page_bounds(page, limit)
-    found = with_aircraft(_matching_flights(flights, airports, search), aircraft).select(
+    found = with_aircraft(_matching_flights(flights, airports, search, collation), aircraft).select(
         *FLIGHT_COLUMNS,
         "aircraft_model",
         "capacity",
@@ -209,11 +216,12 @@ def admin_flights_total(
     page: int | None = None,
     limit: int | None = None,
     search: str | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Pagination figures of the page; flights with an unknown aircraft count here but are on no page."""
     page, limit = page_bounds(page, limit)
     total = F.count("*")
-    return _matching_flights(flights, airports, search).agg(
+    return _matching_flights(flights, airports, search, collation).agg(
         F.lit(page).alias("page"),
         F.lit(limit).alias("limit"),
         total.alias("total"),

@@ -17,8 +17,10 @@ from tarmac.plans.lookup import lookup
 from tarmac.plans.outcome import Outcome, reject_taken
 
 
-def register_users(requests: DataFrame, users: DataFrame, as_of: date | str) -> Outcome:
-    """New users with a unique e-mail. The password is checked and dropped."""
+def register_users(
+    requests: DataFrame, users: DataFrame, as_of: date | str, collation: str | None = None
+) -> Outcome:
+    """New users with an e-mail that is unique, by ``collation`` if given. The password is checked and dropped."""
     given = {c: F.col(c).isNotNull() for c in ("phone", "dob", "address")}
     reasons = failures(
         *rules.name_rules("first_name", F.col("first_name")),
@@ -41,7 +43,7 @@ def register_users(requests: DataFrame, users: DataFrame, as_of: date | str) ->
         F.lit("active").alias("status"),
         reasons.alias("reasons"),
     )
-    decided = reject_taken(checked, "email", users, "email_taken")
+    decided = reject_taken(checked, "email", users, "email_taken", collation=collation)
     return Outcome(
         decided,
         "request_id",

@@ -92,8 +92,10 @@ def _any(conditions: list[Column]) -> Column:
 PROFILE_FIELDS = ["first_name", "last_name", "email", "phone", "date_of_birth", "address"]
 
 
-def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) -> Outcome:
-    """Decide profile updates (change_id, change_ts, user_id, changes); e-mails stay unique."""
+def profile_updates(
+    users: DataFrame, changes: DataFrame, as_of: date | str, collation: str | None = None
+) -> Outcome:
+    """Decide profile updates (change_id, change_ts, user_id, changes); e-mails stay unique, by ``collation`` if given."""
     keys = dict(zip(PROFILE_FIELDS, ["firstName", "lastName", "email", "phone", "dateOfBirth", "address"], strict=True))
     given, raw = {f: F.col(f"has_{f}") for f in keys}, {f: F.col(f"raw_{f}") for f in keys}
     early = failures(
@@ -119,7 +121,7 @@ def profile_updates(users: DataFrame, changes: DataFrame, as_of: date | str) ->
         F.when(F.col("known").isNull(), F.array(F.lit("user_not_found"))).otherwise(early).alias("early"),
         first_failure((~_any(list(given.values())), "no_fields")).alias("late"),
     )
-    return _decided(checked, users, "user_id", "email", "email_taken", PROFILE_FIELDS)
+    return _decided(checked, users, "user_id", "email", "email_taken", PROFILE_FIELDS, collation)
 
 
 def apply_profiles(users: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -217,14 +219,22 @@ def apply_flights(flights: DataFrame, accepted: DataFrame) -> DataFrame:
     return apply_last(flights, accepted, "flight_id", FLIGHT_FIELDS)
 
 
-def _decided(checked: DataFrame, base: DataFrame, entity: str, unique: str, reason: str, fields: list[str]) -> Outcome:
+def _decided(
+    checked: DataFrame,
+    base: DataFrame,
+    entity: str,
+    unique: str,
+    reason: str,
+    fields: list[str],
+    collation: str | None = None,
+) -> Outcome:
     """Reasons in order: ``broken``, ``early``, a conflict on the ``unique`` field, ``late``.
 
     The checked changes are stored first; the claims, their holders and the decisions all read them.
     """
     checked = stored(checked, "checked-updates")
     valid = (F.size("broken") == 0) & (F.size("early") == 0) & (F.size("late") == 0)
-    decided = with_conflict(checked, valid, base, entity, unique).withColumn(
+    decided = with_conflict(checked, valid, base, entity, unique, collation).withColumn(
         "reasons",
         F.when(F.size("broken") > 0, F.col("broken"))
         .when(F.size("early") > 0, F.col("early"))

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.functions.collation import compared
 from tarmac.plans.combine import asked_for
 from tarmac.sources.work import stored
 
@@ -43,17 +44,26 @@ class Outcome:
 
 
 def reject_taken(
-    checked: DataFrame, value: str, base: DataFrame, reason: str, key: str = "request_id", order: tuple[str, ...] = ()
+    checked: DataFrame,
+    value: str,
+    base: DataFrame,
+    reason: str,
+    key: str = "request_id",
+    order: tuple[str, ...] = (),
+    collation: str | None = None,
 ) -> DataFrame:
     """Add ``reason`` to valid requests whose ``value`` is in ``base`` or was asked for by an earlier valid request.
 
+    Values are compared by ``collation``, byte by byte without one.
+
     The earliest request per value is a minimum, combined map-side, and comes back by the unique ``key``: a value that
     many requests ask for is never gathered.
     """
     earliest = F.min(F.struct(*order, key)).alias("_earliest")
-    first = checked.where(is_ok()).groupBy(value).agg(earliest)
-    taken = asked_for(base.select(value), first, value)
-    free = first.join(taken, value, "left_anti").select(
+    claim = compared(F.col(value), collation).alias("_claim")
+    first = checked.where(is_ok()).groupBy(claim).agg(earliest)
+    taken = asked_for(base.select(claim), first, "_claim")
+    free = first.join(taken, "_claim", "left_anti").select(
         F.col("_earliest")[key].alias(key), F.lit(True).alias("_free")
     )
     refused = is_ok() & F.col("_free").isNull()

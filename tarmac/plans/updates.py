@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.functions.collation import compared
 from tarmac.plans.combine import asked_for
 from tarmac.plans.lookup import lookup
 
@@ -13,16 +14,19 @@ def key() -> Column:
     return F.struct(*ORDER)
 
 
-def with_conflict(checked: DataFrame, valid: Column, base: DataFrame, entity: str, value: str) -> DataFrame:
+def with_conflict(
+    checked: DataFrame, valid: Column, base: DataFrame, entity: str, value: str, collation: str | None = None
+) -> DataFrame:
     """Add ``conflict``: the new ``value`` belongs to another entity, in ``base`` or through an earlier valid change.
 
-    A value held in ``base`` stays taken for all others even if its holder gives it up in the same batch.
+    A value held in ``base`` stays taken for all others even if its holder gives it up in the same batch. Values are
+    compared by ``collation``, byte by byte without one.
     """
-    checked = checked.withColumn("_value", F.col(value))
+    checked = checked.withColumn("_value", compared(F.col(value), collation))
     claims = checked.where(valid & F.col("_value").isNotNull()).groupBy("_value")
     first = claims.agg(F.min(F.struct(*ORDER, entity)).alias("_first"))
     held = (
-        asked_for(base.select(entity, F.col(value).alias("_value")), checked, "_value")
+        asked_for(base.select(entity, compared(F.col(value), collation).alias("_value")), checked, "_value")
         .groupBy("_value")
         .agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
     )
