@@ -8,6 +8,7 @@ from tarmac.operators import listings
 from tarmac.operators.searches import search_flights
 from tarmac.operators.text_searches import search_texts
 from tarmac.plans import airline
+from tarmac.sources.work import stored
 
 SEATS = f"(SELECT b.flight_id, count(*) AS n FROM {HELD} GROUP BY b.flight_id)"
 PLACES = """dep.airport_code AS from_code, dep.airport_name AS from_name, dep.city AS from_city, dep.country AS from_country,
@@ -112,6 +113,29 @@ def admin_flights_page(flights, airports, aircraft):
     return listings.admin_flights_page(flights, airports, aircraft, page=3, limit=40, search=" city_1 ")
 
 
+PAGE_ROWS = f"""SELECT f.flight_id, f.departure_datetime AS leaves, row_number() OVER (ORDER BY f.departure_datetime DESC NULLS LAST, f.flight_id) - 1 AS place
+FROM flights f {JOINS} WHERE {SEARCH}"""
+
+
+@check(
+    "flights airports aircraft",
+    f"""SELECT CAST(place // 40 + 1 AS BIGINT) AS page, count(*) AS row_count, arg_min(leaves, place) AS first_ts, arg_min(flight_id, place) AS first_key,
+arg_max(leaves, place) AS last_ts, arg_max(flight_id, place) AS last_key FROM ({PAGE_ROWS}) p GROUP BY 1""",
+)
+def flight_page_directory(flights, airports, aircraft):
+    return listings.flight_page_directory(flights, airports, aircraft, limit=40, search="city_1")
+
+
+@check(
+    "flights airports aircraft",
+    f"SELECT flight_id, leaves AS departure_datetime FROM ({PAGE_ROWS}) p WHERE place BETWEEN 80 AND 119",
+)
+def flights_of_page(flights, airports, aircraft):
+    pages = stored(listings.flight_page_directory(flights, airports, aircraft, limit=40, search="city_1"), "pages")
+    found = listings.flights_of_page(pages, flights, airports, aircraft, page=3, search="city_1")
+    return found.select("flight_id", "departure_datetime")
+
+
 @check(
     "flights airports",
     f"""SELECT 3 AS page, 40 AS limit, count(*) AS total, CAST(ceil(count(*) / 40) AS BIGINT) AS total_pages

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.collation import lower_or_compared
 from tarmac.functions.expr import OPEN_FLIGHT, class_price, day, lenient_int
-from tarmac.plans import paging
+from tarmac.plans import page_directory, paging
 from tarmac.plans.airline import booked_seats, with_aircraft, with_airports
 from tarmac.plans.combine import asked_for
 from tarmac.plans.running import running
@@ -180,6 +180,22 @@ def page_bounds(page: int | None = None, limit: int | None = None) -> tuple[int,
     return max(1, page or 1), min(MAX_LIMIT, max(1, limit or DEFAULT_LIMIT))
 
 
+def _listed_flights(
+    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, search: str | None, collation: str | None
+) -> DataFrame:
+    return with_aircraft(_matching_flights(flights, airports, search, collation), aircraft).select(
+        *FLIGHT_COLUMNS,
+        "aircraft_model",
+        "capacity",
+        "from_name",
+        "from_city",
+        "from_country",
+        "to_name",
+        "to_city",
+        "to_country",
+    )
+
+
 def admin_flights_page(
     flights: DataFrame,
     airports: DataFrame,
@@ -194,22 +210,48 @@ def admin_flights_page(
     It is found by ``collation``, without one in lower case.
     """
     page, limit = page_bounds(page, limit)
-    found = with_aircraft(_matching_flights(flights, airports, search, collation), aircraft).select(
-        *FLIGHT_COLUMNS,
-        "aircraft_model",
-        "capacity",
-        "from_name",
-        "from_city",
-        "from_country",
-        "to_name",
-        "to_city",
-        "to_country",
-    )
+    found = _listed_flights(flights, airports, aircraft, search, collation)
     order = [F.desc("departure_datetime"), F.asc("flight_id")]
     buckets = [*paging.latest_first("departure_datetime"), paging.id_block("flight_id")]
     return paging.page(found, order, buckets, (page - 1) * limit, limit)
 
 
+def flight_page_directory(
+    flights: DataFrame,
+    airports: DataFrame,
+    aircraft: DataFrame,
+    limit: int | None = None,
+    search: str | None = None,
+    collation: str | None = None,
+) -> DataFrame:
+    """The bounds of all pages of ``admin_flights_page`` with this ``limit`` and search: one row for each page.
+
+    Keep it as a table: ``flights_of_page`` then finds any page without counting. It holds for the flights it was made of.
+    """
+    found = _listed_flights(flights, airports, aircraft, search, collation)
+    return page_directory.directory(found, "departure_datetime", "flight_id", page_bounds(limit=limit)[1])
+
+
+def flights_of_page(
+    directory: DataFrame,
+    flights: DataFrame,
+    airports: DataFrame,
+    aircraft: DataFrame,
+    page: int | None = None,
+    search: str | None = None,
+    collation: str | None = None,
+) -> DataFrame:
+    """A page by its row of ``directory``, which was made with the same search; empty if there is no such page.
+
+    The bounds of that one page come to the driver and reach the scan of the flights as a range.
+    """
+    bounds = directory.where(F.col("page") == page_bounds(page)[0]).head()
+    ts, key = "departure_datetime", "flight_id"
+    within = F.lit(False) if bounds is None else page_directory.in_page(bounds, ts, key)
+    found = _listed_flights(flights.where(within), airports, aircraft, search, collation)
+    return found.orderBy(*page_directory.latest_first(ts, key))
+
+
 def admin_flights_total(
     flights: DataFrame,
     airports: DataFrame,
