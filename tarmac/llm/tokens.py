@@ -5,8 +5,12 @@ pre-tokens that a task has not met yet are laid end to end as symbols. In each r
 of its neighbouring pairs, takes its lowest, and merges all places where that pair stands, from the left where they
 overlap. A pair formed by a merge has a higher rank than the pair merged, so the rounds give what merging one place at a
 time gives. Sequences without a pair are done; the symbols that are left are their tokens.
+
+A long sequence would need many rounds over all of its symbols. Its places are held by rank instead: a round takes the
+places of the lowest rank, merges them at once and looks again only at the places next to them.
 """
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,6 +25,8 @@ LIMIT = 1024
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pre-tokens a task remembers; beyond that it forgets all and goes on.
 REMEMBERED = 1 << 20
+# Bytes from which on a pre-token is merged by itself. Both ways give the same counts.
+LONG = 256
 # Characters of text whose pre-tokens are held together.
 RUN = 1 << 21
 
@@ -51,6 +57,66 @@ class Vocabulary:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of tokens of each pre-token."""
+        long = np.array([len(w) >= LONG for w in words], dtype=bool)
+        found = np.zeros(len(words), dtype=np.int64)
+        found[long] = [self._long_count(w) for w, is_long in zip(words, long, strict=True) if is_long]
+        if not long.all():
+            found[~long] = self._short_counts([w for w, is_long in zip(words, long, strict=True) if not is_long])
+        return found
+
+    def _ranked(self, symbols: np.ndarray, after: np.ndarray, places: np.ndarray) -> dict[int, np.ndarray]:
+        """Those of the ``places`` where a pair stands that can be merged, by its index."""
+        places = places[after[places] < len(symbols)]
+        pair = symbols[places] << 32 | symbols[after[places]]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = self.pairs[at] == pair
+        places, at = places[known], at[known]
+        order = np.argsort(at, kind="stable")
+        places, at = places[order], at[order]
+        firsts = np.flatnonzero(np.diff(at, prepend=-1))
+        return dict(zip(at[firsts].tolist(), np.split(places, firsts[1:]), strict=True)) if len(at) else {}
+
+    def _long_count(self, word: bytes) -> int:
+        """The number of tokens of one pre-token, in work that follows its merges and not its length in every round."""
+        symbols = self.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+        size = len(symbols)
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        there = np.ones(size, dtype=bool)
+        waiting, queue = {}, []
+
+        def hold(found: dict[int, np.ndarray]) -> None:
+            for pair, places in found.items():
+                if pair not in waiting:
+                    waiting[pair] = []
+                    heapq.heappush(queue, (int(self.ranks[pair]), pair))
+                waiting[pair].append(places)
+
+        hold(self._ranked(symbols, after, np.arange(size)))
+        left = size
+        while queue:
+            _, pair = heapq.heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(pair)))
+            # Some places were merged away or hold another pair by now.
+            places = places[there[places] & (after[places] < size)]
+            places = places[symbols[places] << 32 | symbols[after[places]] == self.pairs[pair]]
+            if not len(places):
+                continue
+            # In a run of overlapping places every second one stays, from the left.
+            number = np.arange(len(places))
+            run_start = np.concatenate([[True], after[places[:-1]] != places[1:]])
+            places = places[(number - np.maximum.accumulate(np.where(run_start, number, 0))) % 2 == 0]
+            gone = after[places]
+            symbols[places], there[gone] = self.results[pair], False
+            behind = after[gone]
+            after[places] = behind
+            inside = behind < size
+            before[behind[inside]] = places[inside]
+            left -= len(places)
+            ahead = before[places]
+            hold(self._ranked(symbols, after, np.unique(np.concatenate([places, ahead[ahead >= 0]]))))
+        return left
+
+    def _short_counts(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         symbols = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
