@@ -13,6 +13,8 @@ if an earlier line, by (doc_id, text's hash, line number), matches it, whether o
 4. Two sets of n and m words that match share at least a = ceil(0.8 / 1.8 * (n + m)) words, and so have a first common
    word at place n - a or before in the one and m - a or before in the other. Pairs that meet on a word are kept if
    their lengths and both places allow that, and if at most n + m - 2a bits differ between parity bitmaps of the sets.
+   64 bits tell nothing about sets of a hundred words, which differ in half of them whatever they hold, so that of long
+   lines is kept in two parts, each of 64 bits for its own half of the words.
 5. Pairs that remain are verified on their whole sets, read again from the documents.
 
 Sets are compared by 56-bit hashes of their words.
@@ -33,6 +35,9 @@ PART, WHOLE = 4, 5
 # Turns the order of word hashes: with it and without, the first and the last word make four random orders.
 TURN = 0x2AAAAAAA
 SHARE, SIZES = PART, PART + WHOLE
+# The bitmap of a line of more words than this is in two parts.
+TWO_PARTS = 128
+BITS = ("bits", "half")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -57,7 +62,10 @@ def _at_least(n: Column, m: Column) -> Column:
 def _could_match(a: str, b: str) -> Column:
     """The length and bitmap filters for two classes in columns with the prefixes ``a`` and ``b``."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
+    bits, half = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in BITS)
+    # The half counts if both have it; the bitmap of all words without it is that of the others.
+    half = F.coalesce(half, F.lit(0).cast("long"))
+    differ = F.bit_count(bits.bitwiseXOR(half)) + F.bit_count(half)
     return (
         (WHOLE * F.least(n, m) >= PART * F.greatest(n, m)) & (differ <= n + m - 2 * _at_least(n, m)) & (
             F.col(f"{a}id") != F.col(f"{b}id")
@@ -65,8 +73,21 @@ def _could_match(a: str, b: str) -> Column:
     )
 
 
+def _parity(keys: Column) -> Column:
+    """A bitmap of 64 places: set where an odd number of the keys falls."""
+    return F.aggregate(
+        keys,
+        F.lit(0).cast("long"),
+        lambda bits, k: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+        ),
+    )
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row for each set of words: id, pos of the earliest line, n, bits, lows, skip and prefix.
+    """One row for each set of words: id, pos of the earliest line, n, bits, half, lows, skip and prefix.
+
+    ``bits`` is the bitmap of all words, ``half`` that of the words of one half by hash; null for lines of few words.
 
     ``lows`` holds the least word of a few random orders. ``prefix`` holds the rarest n - ceil(0.8 n) + 1 words but for the first ``skip``, which no other line has.
     """
@@ -89,25 +110,20 @@ def _classes(docs: DataFrame) -> DataFrame:
         "pos",
         n.alias("n"),
         F.xxhash64("keys").alias("sig"),
-        F.aggregate(
-            "keys",
-            F.lit(0).cast("long"),
-            lambda bits, k: bits.bitwiseXOR(
-                F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-            ),
-        ).alias("bits"),
+        _parity(F.col("keys")).alias("bits"),
+        F.when(n > TWO_PARTS, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).alias("half"),
         F.size(F.filter(F.slice("keys", F.lit(1), length), lambda k: F.shiftrightunsigned(k, 56) == 1)).alias("skip"),
         length.alias("length"),
         F.transform("keys", lambda k: F.hash(k)).alias("short"),
     )
     turned = F.transform("short", lambda k: k.bitwiseXOR(F.lit(TURN)))
     rows = rows.withColumn("turned", turned).select(
-        "pos", "n", "sig", "bits", "skip",
+        "pos", "n", "sig", *BITS, "skip",
         F.array(*[f(c) for c in ("short", "turned") for f in (F.array_min, F.array_max)]).alias("lows"),
         F.slice("short", F.col("skip") + 1, F.greatest(F.col("length") - F.col("skip"), F.lit(0))).alias("prefix"),
     )
     classes = rows.groupBy("sig").agg(
-        F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "lows", "bits", "skip", "prefix")]
+        F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "lows", *BITS, "skip", "prefix")]
     )
     return stored(classes.drop("sig").withColumn("id", F.monotonically_increasing_id()), "classes")
 
@@ -157,16 +173,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """
     docs = _keyed(docs)
     classes = _classes(docs)
-    members = classes.select("pos", "id", "n", "bits", F.posexplode("lows").alias("turn", "low"))
+    members = classes.select("pos", "id", "n", *BITS, F.posexplode("lows").alias("turn", "low"))
     leads = members.groupBy("turn", "low").agg(
-        F.min_by(F.struct("id", "n", "bits"), "pos").alias("lead"), F.count("*").alias("members")
+        F.min_by(F.struct("id", "n", *BITS), "pos").alias("lead"), F.count("*").alias("members")
     )
     leads = leads.where("members > 1").select(
-        "turn", "low", F.col("lead.id").alias("y_id"), F.col("lead.n").alias("y_n"), F.col("lead.bits").alias("y_bits")
-    )
-    members = members.select(
-        "turn", "low", F.col("id").alias("x_id"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits")
+        "turn", "low", *[F.col(f"lead.{c}").alias(f"y_{c}") for c in ("id", "n", *BITS)]
     )
+    members = members.select("turn", "low", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", *BITS)])
     first = members.join(leads, ["turn", "low"]).where(_could_match("x_", "y_"))
     first = stored(first.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), "first")
     settled = stored(_verified(first, classes, docs), "settled")
@@ -174,15 +188,15 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     flagged = classes.join(settled.withColumn("settled", F.lit(True)), "id", "left")
     # Words in the set, place and whether the line is open share a column: this is the widest exchange.
     open_, place = F.col("settled").isNull().cast("long"), (F.col("i") + F.col("skip")).cast("long")
-    words_of = flagged.select("id", "bits", "n", "skip", "settled", "pos.doc_id", F.posexplode("prefix").alias("i", "word"))
+    words_of = flagged.select("id", *BITS, "n", "skip", "settled", "pos.doc_id", F.posexplode("prefix").alias("i", "word"))
     words_of = words_of.select(
-        "word", "id", "bits", "doc_id", (F.col("n").cast("long") * 2**32 + place * 2 + open_).alias("packed")
+        "word", "half", "id", "bits", "doc_id", (F.col("n").cast("long") * 2**32 + place * 2 + open_).alias("packed")
     )
     dealt = words_of.repartition("word")
     is_open = F.col("packed").bitwiseAND(F.lit(1)) == 1
     # Not pushed below the exchange, which both sides share: a filter that is not deterministic stays where it is.
     left = dealt.where(is_open | (F.rand(1) < 0))
-    side = ("id", "bits", "doc_id")
+    side = ("id", *BITS, "doc_id")
     left = left.select("word", *[F.col(c).alias(f"x_{c}") for c in side], _n().alias("x_n"), _i().alias("x_i"))
     right = dealt.select(
         "word", *[F.col(c).alias(f"y_{c}") for c in side], _n().alias("y_n"), _i().alias("y_i"), is_open.alias("y_open")
