@@ -3,17 +3,22 @@
 A document is the set of its shingles (five words in a row, A-Z lower-cased). Two documents link when the similarity of
 their sets is at least 0.8. Documents of equal sets are one class and links are looked for between classes.
 
-1. One pass gives for each document the size and hash of its set and the least shingle in a few random orders, and
-   counts all shingles in a table of fixed length.
+1. One pass gives for each document the size, hash and bitmap of its set and the least shingle in a few random orders,
+   and counts all shingles in a table of fixed length.
 2. A global order of shingles is: count in the table, then a hash that differs from order to order. In each order, two
    sets of n and m shingles that link share one of the first n - a + 1 and m - a + 1, with a = ceil(0.8/1.8 * (n + m)).
    This holds for any order, so a table place that several shingles share costs nothing but speed.
 3. Classes with the same least shingle are held against the earliest of them, first those that agree in most orders.
    What is verified joins most members of a group of near copies into one component, whatever the group's size.
-4. The prefixes in the first order are dealt out by shingle. Shingles of a single component are dropped: more links
-   inside it change nothing. On the others, members outside the largest component present are held against all of other
-   components. A pair must share as many prefix shingles as its lengths require, and one in each further order.
-5. Pairs that pass are verified on their whole sets, read again from the documents; a bitmap of fixed length tells which
+4. The prefixes in the first order are dealt out by shingle. Classes that share a shingle with many are first held
+   against one of them, another one for each shingle. A group whose members are linked here and there only becomes one
+   component by that, with as many pairs as it has prefix shingles.
+5. Shingles of a single component are dropped: more links inside it change nothing. On the others, members outside the
+   largest component present are held against all of other components. A pair must share as many prefix shingles as its
+   lengths require, and one in each further order.
+6. Sets of n and m shingles that link differ in at most n + m - 2a, and their parity bitmaps in no more bits. Pairs of
+   shingles that many share must pass that before they leave the join.
+7. Pairs that pass are verified on their whole sets, read again from the documents; a bitmap of fixed length tells which
    documents are asked for.
 
 Shingles are compared by 64-bit hashes.
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.components import components
@@ -40,6 +45,11 @@ ASKED_BITS = 22
 BLOCK = 1 << 14
 # Random orders by whose least shingle classes are first held together.
 LOWS = 4
+# Numbers of 64 bits in the bitmap of a set, and documents whose bitmaps are made at once.
+BITMAP = 16
+AT_ONCE = 1 << 10
+# Documents that share a prefix shingle from which on bitmaps are compared there.
+MANY = 8
 # Hash seeds of the global orders of shingles.
 ORDERS = (0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 # Counted shingles held before they are added up.
@@ -61,6 +71,19 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def _bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A bitmap of each set: the bits on which an odd number of its shingles falls."""
+    n, width = len(bounds) - 1, 64 * BITMAP
+    bits = np.zeros((n, 8 * BITMAP), dtype=np.uint8)
+    for i in range(0, n, AT_ONCE):
+        ends = bounds[i : min(i + AT_ONCE, n) + 1]
+        place = (hashes[ends[0] : ends[-1]] & U(width - 1)).astype(np.int64)
+        place += np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * width
+        odd = np.bincount(place, minlength=(len(ends) - 1) * width) & 1
+        bits[i : i + AT_ONCE] = np.packbits(odd.astype(bool).reshape(-1, width), axis=1)
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BITMAP, bits.reshape(-1).view(np.int64))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and at the end rows of counts: a block's number and its compressed counts."""
     counts, held, n_held = np.zeros(1 << COUNT_BITS, dtype=np.uint32), [], 0
@@ -74,7 +97,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_rows = batch.num_rows
         size, sig = np.zeros(n_rows, dtype=np.int64), np.zeros(n_rows, dtype=np.int64)
         lows = np.zeros((LOWS, n_rows), dtype=np.int64)
+        bitmaps = [pa.array([], pa.list_(pa.int64()))]
         for row, n, hashes, _, bounds in _sets(batch.column("text")):
+            bitmaps.append(_bitmaps(hashes, bounds))
             some = np.flatnonzero(np.diff(bounds))
             size[row : row + n] = np.diff(bounds)
             sig[row : row + n] = _signatures(hashes, bounds)
@@ -93,10 +118,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(size),
                 pa.array(sig),
                 *map(pa.array, lows),
+                pa.concat_arrays(bitmaps),
                 pa.nulls(n_rows, pa.int32()),
                 pa.nulls(n_rows, pa.binary()),
             ],
-            names=["doc_id", "dk", "n", "sig", *[f"low{j}" for j in range(LOWS)], "block", "counts"],
+            names=["doc_id", "dk", "n", "sig", *[f"low{j}" for j in range(LOWS)], "bits", "block", "counts"],
         )
     add()
     blocks = [(b, counts[b * BLOCK : (b + 1) * BLOCK]) for b in range(len(counts) // BLOCK)]
@@ -104,8 +130,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if blocks:
         empty = [pa.nulls(len(blocks), pa.int64()) for _ in range(4 + LOWS)]
         yield pa.RecordBatch.from_arrays(
-            [*empty, pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
-            names=["doc_id", "dk", "n", "sig", *[f"low{j}" for j in range(LOWS)], "block", "counts"],
+            [
+                *empty,
+                pa.nulls(len(blocks), pa.list_(pa.int64())),
+                pa.array([b for b, _ in blocks], pa.int32()),
+                pa.array([c for _, c in blocks], pa.binary()),
+            ],
+            names=["doc_id", "dk", "n", "sig", *[f"low{j}" for j in range(LOWS)], "bits", "block", "counts"],
         )
 
 
@@ -247,8 +278,19 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("x_part", "x") != F.coalesce("y_part", "y")).select("x", "y")
 
 
-def _other_pairs(rows: DataFrame, part: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share enough prefix shingles of the first order."""
+def _sizes_fit(n: str, m: str) -> Column:
+    return WHOLE * F.least(n, m) >= PART * F.greatest(n, m)
+
+
+def _bits_fit(a: str, b: str, n: str, m: str) -> Column:
+    """Whether sets of these bitmaps and sizes could link; true where a bitmap is missing."""
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITMAP)), F.lit(0))
+    least = F.ceil(PART * (F.col(n) + F.col(m)) / F.lit(SIZES))
+    return F.coalesce(differ <= F.col(n) + F.col(m) - 2 * least, F.lit(True))
+
+
+def _mixed(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """The ``rows`` (key, sig, n, many) of keys with several components, and whether outside the largest one present."""
     part = part.select(F.col("node").alias("sig"), "component")
     rows = rows.join(part, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     rows = stored(rows, "prefixes")
@@ -257,16 +299,39 @@ def _other_pairs(rows: DataFrame, part: DataFrame) -> DataFrame:
         F.count("*").alias("kinds"), F.max_by("component", F.struct("members", "component")).alias("largest")
     )
     mixed = rows.join(present.where("kinds > 1").drop("kinds"), "key")
-    mixed = stored(mixed.withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "mixed")
-    names = ("sig", "n", "component", "outside")
+    return stored(mixed.withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "mixed")
+
+
+def _lead_pairs(rows: DataFrame, part: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of classes of different components: each of a shingle that many share, and the one chosen for the shingle."""
+    mixed = _mixed(rows.where("many"), part)
+    turn = F.xxhash64("key", "sig")
+    leads = mixed.groupBy("key").agg(F.min_by(F.struct("sig", "n", "component"), turn).alias("lead"))
+    pairs = mixed.join(leads, "key").where((F.col("component") != F.col("lead.component")) & _sizes_fit("n", "lead.n"))
+    pairs = pairs.select(
+        F.least("sig", "lead.sig").alias("x"), F.greatest("sig", "lead.sig").alias("y")
+    ).distinct()
+    for c in ("x", "y"):
+        pairs = pairs.join(bits.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")), c)
+    return pairs.where(_bits_fit("x_bits", "y_bits", "x_n", "y_n")).select("x", "y")
+
+
+def _other_pairs(rows: DataFrame, part: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share enough prefix shingles of the first order."""
+    mixed = _mixed(rows, part)
+    dense = mixed.where("many").join(bits.select("sig", "bits"), "sig")
+    mixed = dense.unionByName(mixed.where("not many").withColumn("bits", F.lit(None).cast("array<long>")))
+    names = ("sig", "n", "component", "outside", "bits")
     left = mixed.where("outside").select("key", *[F.col(c).alias(f"x_{c}") for c in names])
     right = mixed.select("key", *[F.col(c).alias(f"y_{c}") for c in names])
     met = left.join(right, "key").where(
         (F.col("x_component") != F.col("y_component"))
         & (~F.col("y_outside") | (F.col("x_sig") < F.col("y_sig")))
-        & (WHOLE * F.least("x_n", "y_n") >= PART * F.greatest("x_n", "y_n"))
+        & _sizes_fit("x_n", "y_n")
+        & _bits_fit("x_bits", "y_bits", "x_n", "y_n")
     )
-    # Which of a pair is outside differs from shingle to shingle, so the pair is counted without regard to that.
+    # Which of a pair is outside differs from shingle to shingle, so the pair is counted without regard to that. Pairs
+    # that bitmaps part are missing on some shingles only, but need not be found.
     shared = met.groupBy(F.least("x_sig", "y_sig").alias("x_sig"), F.greatest("x_sig", "y_sig").alias("y_sig")).agg(
         F.count("*").alias("shared"), F.max(F.least("x_n", "y_n")).alias("n"), F.max(F.greatest("x_n", "y_n")).alias("m")
     )
@@ -276,9 +341,7 @@ def _other_pairs(rows: DataFrame, part: DataFrame) -> DataFrame:
 
     least = F.ceil(PART * (F.col("n") + F.col("m")) / F.lit(SIZES))
     enough = F.col("shared") + F.greatest(behind("n"), behind("m")) >= least
-    likeness = F.col("shared") / (F.col("n") + F.col("m"))
-    found = shared.where(enough).select(F.col("x_sig").alias("x"), F.col("y_sig").alias("y"), likeness.alias("likeness"))
-    return stored(found, "candidates")
+    return stored(shared.where(enough).select(F.col("x_sig").alias("x"), F.col("y_sig").alias("y")), "candidates")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,7 +362,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
     lows = ", ".join(f"low{j} long" for j in range(LOWS))
     profile = docs.mapInArrow(
-        _profile, f"doc_id long, dk long, n long, sig long, {lows}, block int, counts binary"
+        _profile, f"doc_id long, dk long, n long, sig long, {lows}, bits array<long>, block int, counts binary"
     )
     profile = stored(profile, "profile")
     blocks = profile.where("block is not null").select("block", "counts").repartition("block")
@@ -308,9 +371,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
         codes[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(c, dtype=np.uint8)
     codes = spark.sparkContext.broadcast(codes)
 
-    base = profile.where("block is null").select("doc_id", "dk", "n", "sig", *[f"low{j}" for j in range(LOWS)])
+    base = profile.where("block is null").drop("block", "counts")
     classes = base.where("n > 0").groupBy("sig").agg(
-        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *[f"low{j}" for j in range(LOWS)])]
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *[f"low{j}" for j in range(LOWS)], "bits")]
     )
     classes = stored(classes, "classes")
     # The lead that a class meets most often is its likeliest link; the others come next, where they would be news.
@@ -323,14 +386,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("text").mapInArrow(_prefix_rows(codes), "key long, sig long, n int")
     one = Window.partitionBy("key")
-    rows = rows.withColumns({"low": F.min("sig").over(one), "high": F.max("sig").over(one)}).where("low < high")
-    rows = stored(rows.select("key", "sig", "n").distinct(), "shared")
-    # Each class's likeliest pair first; of the others, those that this has not put into one component.
-    others = _other_pairs(rows, part)
-    likeliest = others.groupBy("x").agg(F.max_by("y", F.struct("likeness", "y")).alias("y"))
-    links = links.unionByName(_verified(likeliest, docs, codes))
+    met = {"low": F.min("sig").over(one), "high": F.max("sig").over(one), "many": F.count("*").over(one) >= MANY}
+    rows = rows.withColumns(met).where("low < high")
+    rows = stored(rows.select("key", "sig", "n", "many").distinct(), "shared")
+    # One pair for each row of the shingles that many share; then all pairs that this has not put into one component.
+    links = links.unionByName(_verified(_lead_pairs(rows, part, classes), docs, codes))
     part = stored(components(links), "part")
-    links = links.unionByName(_verified(_apart(others.select("x", "y"), part), docs, codes))
+    links = links.unionByName(_verified(_other_pairs(rows, part, classes), docs, codes))
     part = stored(components(links), "part")
 
     part = part.join(classes.select(F.col("sig").alias("node"), "doc_id"), "node")
