@@ -7,11 +7,13 @@ if an earlier line, by (doc_id, text's hash, line number), matches it, whether o
 2. Words are ordered by rarity: their count over all texts in a table of fixed length, then their hash. Words that share
    a place in the table share a count, which changes the order but nothing in the result: prefix filtering is exact for
    any order of all words.
-3. Classes that share the least word in one of a few random orders are held against the earliest of them first. In a
+3. Classes that share the least word in one of a few random orders, if more than a few, are held against the earliest of
+   them first. In a
    large group of near copies nearly every line is settled so, and only pairs with an unsettled line, which a settled one of a later document
    cannot change, are looked for afterwards.
 4. Two sets of n and m words that match share at least a = ceil(0.8 / 1.8 * (n + m)) words, and so have a first common
-   word at place n - a or before in the one and m - a or before in the other. Pairs that meet on a word are kept if
+   word at place n - a or before in the one and m - a or before in the other. The smaller set's place is then among
+   its first n - ceil(8 / 9 n) + 1 words, so the smaller one meets with these only. Pairs that meet on a word are kept if
    their lengths and both places allow that, and if at most n + m - 2a bits differ between parity bitmaps of the sets.
    64 bits tell nothing about sets of a hundred words, which differ in half of them whatever they hold, so that of long
    lines is kept in two parts, each of 64 bits for its own half of the words.
@@ -20,10 +22,12 @@ if an earlier line, by (doc_id, text's hash, line number), matches it, whether o
 Sets are compared by 56-bit hashes of their words.
 """
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.tables import fixed_table, look_up
+from tarmac.llm.tables import fixed_table, look_up, place
 from tarmac.llm.text import SPACE, SPACES, words
 from tarmac.sources.work import stored
 
@@ -32,20 +36,35 @@ COUNT_BITS = 20
 MARK_BITS = 21
 # Jaccard similarity as a fraction.
 PART, WHOLE = 4, 5
-# Turns the order of word hashes: with it and without, the first and the last word make four random orders.
-TURN = 0x2AAAAAAA
 SHARE, SIZES = PART, PART + WHOLE
 # The bitmap of a line of more words than this is in two parts.
 TWO_PARTS = 128
+# Classes that share the word of an order are held against the earliest of them if there are more than this.
+FEW = 8
 BITS = ("bits", "half")
 
 
+def _split(text: Column, plain: Column) -> Column:
+    """The words of ``text`` and empty strings between them.
+
+    ``plain`` is the text with blanks for line feeds. Without rarer white space it is split at blanks, which needs no
+    regular expression.
+    """
+    rare = reduce(Column.__or__, [F.contains(text, F.lit(space)) for space in SPACES if space not in " \n"])
+    return F.when(rare, F.split(text, SPACE, -1)).otherwise(F.split(plain, " ", -1))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with a word: pos (doc_id, dk, line) and the distinct hashes of their words."""
+    """Lines with a word: pos (doc_id, dk, line), the distinct hashes of their words, and the least and greatest of
+    these, hashed."""
     split = docs.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
-    return split.where(F.btrim("value", F.lit(SPACES)) != "").select(
+    hashes = F.transform(_split(F.col("value"), F.col("value")), lambda w: F.xxhash64(w))
+    lines = split.where(F.btrim("value", F.lit(SPACES)) != "").select(
         F.struct("doc_id", "dk", "line").alias("pos"),
-        F.array_distinct(F.transform(words(F.col("value")), lambda w: F.xxhash64(w))).alias("tokens"),
+        F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("tokens"),
+    )
+    return lines.select(
+        "pos", "tokens", F.hash(F.array_min("tokens")).alias("least"), F.hash(F.array_max("tokens")).alias("most")
     )
 
 
@@ -54,9 +73,9 @@ def _code(n: Column) -> Column:
     return F.when(n <= 1, 1).otherwise(F.least(F.lit(127), F.floor(F.log2(n.cast("double")) * 4) - 2))
 
 
-def _at_least(n: Column, m: Column) -> Column:
-    """The least number of common words of matching sets of ``n`` and ``m`` words."""
-    return F.ceil(SHARE * (n + m) / F.lit(SIZES))
+def _enough(common: Column, n: Column, m: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` words with ``common`` words in common match, or could with at most so many."""
+    return SIZES * common >= SHARE * (n + m)
 
 
 def _could_match(a: str, b: str) -> Column:
@@ -67,20 +86,19 @@ def _could_match(a: str, b: str) -> Column:
     half = F.coalesce(half, F.lit(0).cast("long"))
     differ = F.bit_count(bits.bitwiseXOR(half)) + F.bit_count(half)
     return (
-        (WHOLE * F.least(n, m) >= PART * F.greatest(n, m)) & (differ <= n + m - 2 * _at_least(n, m)) & (
+        # Sets with c words in common differ in n + m - 2 c words.
+        (WHOLE * F.least(n, m) >= PART * F.greatest(n, m)) & (SIZES * differ <= (SIZES - 2 * SHARE) * (n + m)) & (
             F.col(f"{a}id") != F.col(f"{b}id")
         )
     )
 
 
 def _parity(keys: Column) -> Column:
-    """A bitmap of 64 places: set where an odd number of the keys falls."""
+    """A bitmap of 64 places: set where an odd number of the keys falls. A shift takes the last six bits of a key."""
     return F.aggregate(
         keys,
         F.lit(0).cast("long"),
-        lambda bits, k: bits.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-        ),
+        lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)),
     )
 
 
@@ -89,37 +107,41 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     ``bits`` is the bitmap of all words, ``half`` that of the words of one half by hash; null for lines of few words.
 
-    ``lows`` holds the least word of a few random orders. ``prefix`` holds the rarest n - ceil(0.8 n) + 1 words but for the first ``skip``, which no other line has.
+    ``lows`` holds the least word of four random orders: least and greatest by two hashes. ``prefix`` holds the rarest n - ceil(0.8 n) + 1 words but for the first ``skip``, which no other line has.
     """
     lines = _lines(docs)
-    word = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w != ''").select(F.xxhash64("w").alias("t"))
-    counts = word.groupBy(F.pmod("t", F.lit(2**COUNT_BITS)).alias("bucket"))
+    plain = F.replace("text", F.lit("\n"), F.lit(" "))
+    word = docs.select(F.explode(_split(F.col("text"), plain)).alias("w")).where("w != ''")
+    word = word.select(F.xxhash64("w").alias("t"))
+    counts = word.groupBy(place(F.col("t"), COUNT_BITS).alias("bucket"))
     table = fixed_table(counts.agg(_code(F.count("*")).alias("code")), COUNT_BITS)
     # A column of its own first: a subquery may not be written inside a lambda. The optimizer moves it there, so that
-    # the table is not copied into any row.
+    # the table is not copied into any row; it would not if ``tokens`` were used twice in the same step. Without nulls,
+    # the array is sorted as one of plain numbers.
+    code = lambda t: F.coalesce(look_up(F.col("codes"), t, COUNT_BITS), F.lit(0).cast("byte"))
     rarity = F.transform(
-        "tokens",
-        lambda t: F.shiftleft(look_up(F.col("codes"), t, COUNT_BITS).cast("long"), 56).bitwiseOR(
-            F.shiftrightunsigned(t, 8)
-        ),
+        "tokens", lambda t: F.shiftleft(code(t).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    )
+    ordered = lines.withColumn("codes", table.scalar()).select(
+        "pos", F.sort_array(rarity).alias("keys"), "least", "most"
     )
-    ordered = lines.withColumn("codes", table.scalar()).select("pos", F.sort_array(rarity).alias("keys"))
     n = F.size("keys")
     length = n - F.ceil(PART * n / F.lit(WHOLE)).cast("int") + 1
     rows = ordered.select(
         "pos",
         n.alias("n"),
         F.xxhash64("keys").alias("sig"),
-        _parity(F.col("keys")).alias("bits"),
-        F.when(n > TWO_PARTS, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).alias("half"),
         F.size(F.filter(F.slice("keys", F.lit(1), length), lambda k: F.shiftrightunsigned(k, 56) == 1)).alias("skip"),
         length.alias("length"),
         F.transform("keys", lambda k: F.hash(k)).alias("short"),
+        "least",
+        "most",
     )
-    turned = F.transform("short", lambda k: k.bitwiseXOR(F.lit(TURN)))
-    rows = rows.withColumn("turned", turned).select(
-        "pos", "n", "sig", *BITS, "skip",
-        F.array(*[f(c) for c in ("short", "turned") for f in (F.array_min, F.array_max)]).alias("lows"),
+    rows = rows.select(
+        "pos", "n", "sig", "skip",
+        _parity(F.col("short")).alias("bits"),
+        F.when(F.col("n") > TWO_PARTS, _parity(F.filter("short", lambda k: k.bitwiseAND(F.lit(64)) != 0))).alias("half"),
+        F.array("least", "most", F.array_min("short"), F.array_max("short")).alias("lows"),
         F.slice("short", F.col("skip") + 1, F.greatest(F.col("length") - F.col("skip"), F.lit(0))).alias("prefix"),
     )
     classes = rows.groupBy("sig").agg(
@@ -144,18 +166,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """
     asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     asked = stored(asked.join(classes.select("id", "pos"), "id").withColumn("at", F.xxhash64("pos")), "asked")
-    marks = asked.groupBy(F.pmod("at", F.lit(2**MARK_BITS)).alias("bucket")).agg(F.max(F.lit(1)).alias("code"))
-    marks = fixed_table(marks, MARK_BITS)
-    lines = docs.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
-    lines = lines.select(F.xxhash64(F.struct("doc_id", "dk", "line")).alias("at"), "value")
-    lines = lines.where(look_up(marks.scalar(), F.col("at"), MARK_BITS) == 1)
+    # Marks are bits of 64 to a number.
+    high, bit = F.shiftrightunsigned("at", 6), F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("at"), 6).cast("int"))
+    # The documents of these lines are marked as well, so that no other one is split.
+    marks = asked.select("at").unionByName(asked.select(F.col("pos.dk").alias("at")))
+    marks = marks.groupBy(place(high, MARK_BITS - 6).alias("bucket")).agg(F.bit_or(bit).alias("code"))
+    marks = fixed_table(marks, MARK_BITS - 6, "long")
+    marked = look_up(marks.scalar(), high, MARK_BITS - 6).bitwiseAND(bit) != 0
+    lines = docs.withColumn("at", F.col("dk")).where(marked).drop("at")
+    lines = lines.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
+    lines = lines.select(F.xxhash64(F.struct("doc_id", "dk", "line")).alias("at"), "value").where(marked)
     tokens = F.array_distinct(F.transform(words(F.col("value")), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)))
     found = asked.join(lines, "at").select("id", "pos", tokens.alias("tokens")).dropDuplicates(["id"])
     found = stored(found, "found")
     both = pairs.join(found.select(F.col("id").alias("x"), F.col("pos").alias("x_pos"), F.col("tokens").alias("xt")), "x")
     both = both.join(found.select(F.col("id").alias("y"), F.col("pos").alias("y_pos"), F.col("tokens").alias("yt")), "y")
     common = F.size(F.array_intersect("xt", "yt"))
-    match = WHOLE * common >= PART * (F.size("xt") + F.size("yt") - common)
+    # 5 c >= 4 (n + m - c), with the intersection computed once.
+    match = _enough(common, F.size("xt"), F.size("yt"))
     later = F.when(F.col("x_pos") < F.col("y_pos"), F.col("y")).otherwise(F.col("x"))
     return both.where(match).select(later.alias("id")).distinct()
 
@@ -173,15 +201,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """
     docs = _keyed(docs)
     classes = _classes(docs)
-    members = classes.select("pos", "id", "n", *BITS, F.posexplode("lows").alias("turn", "low"))
-    leads = members.groupBy("turn", "low").agg(
-        F.min_by(F.struct("id", "n", *BITS), "pos").alias("lead"), F.count("*").alias("members")
-    )
-    leads = leads.where("members > 1").select(
-        "turn", "low", *[F.col(f"lead.{c}").alias(f"y_{c}") for c in ("id", "n", *BITS)]
+    members = classes.select(
+        "id", "n", *BITS, F.struct("pos.doc_id", "pos.line").alias("place"), F.posexplode("lows").alias("turn", "low")
     )
-    members = members.select("turn", "low", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", *BITS)])
-    first = members.join(leads, ["turn", "low"]).where(_could_match("x_", "y_"))
+    # One number for word and order: sorted by itself, without comparing columns.
+    members = members.withColumn("meet", F.col("low").cast("long") * 4 + F.col("turn")).drop("turn", "low")
+    crowds = stored(members.groupBy("meet").agg(F.count("*").alias("size")).where(F.col("size") > FEW), "crowds")
+    members = members.join(crowds, "meet", "left_semi")
+    lead = F.min_by(F.struct("id", "n", *BITS), "place").over(Window.partitionBy("meet"))
+    first = members.select(*[F.col(c).alias(f"x_{c}") for c in ("id", "n", *BITS)], lead.alias("lead"))
+    first = first.select("*", *[F.col(f"lead.{c}").alias(f"y_{c}") for c in ("id", "n", *BITS)])
+    first = first.where(_could_match("x_", "y_"))
     first = stored(first.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), "first")
     settled = stored(_verified(first, classes, docs), "settled")
 
@@ -189,29 +219,43 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # Words in the set, place and whether the line is open share a column: this is the widest exchange.
     open_, place = F.col("settled").isNull().cast("long"), (F.col("i") + F.col("skip")).cast("long")
     words_of = flagged.select("id", *BITS, "n", "skip", "settled", "pos.doc_id", F.posexplode("prefix").alias("i", "word"))
+    packed = F.col("n").cast("long") * 2**32 + place * 2 + open_
+    # Nothing but doc_id and half can be null: a filter for nulls would be put below one side's exchange only.
     words_of = words_of.select(
-        "word", "half", "id", "bits", "doc_id", (F.col("n").cast("long") * 2**32 + place * 2 + open_).alias("packed")
+        F.coalesce("word", F.lit(0)).alias("word"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(n) for n, c in (("id", "id"), ("bits", "bits"), ("packed", packed))],
+        "half",
+        "doc_id",
     )
     dealt = words_of.repartition("word")
-    is_open = F.col("packed").bitwiseAND(F.lit(1)) == 1
-    # Not pushed below the exchange, which both sides share: a filter that is not deterministic stays where it is.
-    left = dealt.where(is_open | (F.rand(1) < 0))
     side = ("id", *BITS, "doc_id")
-    left = left.select("word", *[F.col(c).alias(f"x_{c}") for c in side], _n().alias("x_n"), _i().alias("x_i"))
-    right = dealt.select(
-        "word", *[F.col(c).alias(f"y_{c}") for c in side], _n().alias("y_n"), _i().alias("y_i"), is_open.alias("y_open")
+    left, right = (
+        dealt.select(
+            "word",
+            *[F.col(c).alias(f"{s}{c}") for c in side],
+            _n().alias(f"{s}n"),
+            _i().alias(f"{s}i"),
+            (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias(f"{s}open"),
+        )
+        for s in ("x_", "y_")
     )
-    least = _at_least(F.col("x_n"), F.col("y_n"))
+    # The smaller set of a pair meets the larger one within the first n - ceil(8 / 9 n) + 1 words of its own.
+    # Not pushed below the exchange, which both sides share: a filter that is not deterministic stays where it is.
+    rest = {s: F.col(f"{s}n") - F.col(f"{s}i") for s in ("x_", "y_")}
+    near = _enough(rest["y_"], F.col("y_n"), F.col("y_n"))
+    right = right.where(near | (F.spark_partition_id() < 0))
     met = left.hint("merge").join(
         right,
         (left["word"] == right["word"])
-        # Two open lines meet once; a settled one matters to an open one only if it is earlier.
-        & F.when(F.col("y_open"), F.col("x_id") < F.col("y_id")).otherwise(
-            F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True))
-        )
+        # Two lines meet once, the larger one on the left.
+        & ((F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_id") < F.col("x_id"))))
+        & _enough(rest["x_"], F.col("x_n"), F.col("y_n"))
+        & _enough(rest["y_"], F.col("x_n"), F.col("y_n"))
         & _could_match("x_", "y_")
-        & (F.col("x_i") <= F.col("x_n") - least)
-        & (F.col("y_i") <= F.col("y_n") - least),
+        # A settled line matters to an open one only if it is earlier.
+        & (F.col("x_open") | F.col("y_open"))
+        & (F.col("y_open") | F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True)))
+        & (F.col("x_open") | F.coalesce(F.col("x_doc_id") <= F.col("y_doc_id"), F.lit(True))),
     )
     pairs = stored(met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), "pairs")
     gone = settled.unionByName(_verified(pairs, classes, docs)).distinct()
