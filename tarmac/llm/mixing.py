@@ -48,8 +48,9 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, epochs:
     filled = stored(filled.withColumn("capped", capped), "filled")
     full = filled.where("capped").agg(F.sum("cap"), F.sum("weight")).first()
     rest, shared = (all_words or 0) - (full[0] or 0), (all_weight or 0) - (full[1] or 0)
+    # As a long: a rest of fewer than 2^31 words is an int literal, whose product with a weight can pass that.
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
-        F.lit(rest) * F.col("weight") / F.lit(float(max(shared, 1)))
+        F.lit(rest).cast("long") * F.col("weight") / F.lit(float(max(shared, 1)))
     )
     return filled.select("src", "words", "weight", target.alias("target"))
 

@@ -46,6 +46,19 @@ def test_mix(spark, sizes):
     assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("words", [6 * 10**8, 3 * 10**9, 10**15])
+def test_mix_of_many_words(spark, words):
+    sizes = {"a": [words], "b": [words - 7, 7], "c": [words // 2, words // 3]}
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, all_ in sizes.items() for n in all_)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("text", F.lit("t"))
+    got = mixing.mix(df.withColumn("key", mixing.hash_key())).collect()
+    expected = targets({s: sum(n) for s, n in sizes.items()})
+    for source in sizes:
+        mine = [r for r in got if r.source == source]
+        assert all(r.target == pytest.approx(expected[source], rel=1e-14) for r in mine)
+        assert sum(r.taken for r in mine) == int(mine[0].target)
+
+
 def test_pack(spark):
     rng = np.random.default_rng(2)
     sizes = [int(x) for x in np.concatenate([rng.integers(0, 60, 300), [999, 64, 64, 128, 129, -1]])]
