@@ -15,6 +15,7 @@ from tarmac.plans import page_directory, paging
 from tarmac.plans.airline import booked_seats, with_aircraft, with_airports
 from tarmac.plans.combine import asked_for
 from tarmac.plans.running import running
+from tarmac.sources.work import stored
 
 # Page sizes of the flight administration.
 DEFAULT_LIMIT, MAX_LIMIT = 50, 100
@@ -380,19 +381,55 @@ def nested_passengers(
     """Passengers of a booking as arrays of structs in ``order``, which must be total inside a booking.
 
     Row ``part`` of a booking holds its passengers ``part * width`` to ``(part + 1) * width - 1`` in that order, so a
-    booking of any size is cut alike and no task gathers more than one part.
+    booking of any size is cut alike and no task gathers more than one part. Bookings are counted first: those of one
+    part are gathered where their rows meet, and only wider ones are numbered over all tasks.
     """
-    rows = passenger_rows(booking_passengers, passengers).withColumn("_one", F.lit(1))
-    placed = running(rows, [F.col("booking_id").asc(), *[F.col(c).asc() for c in order]], {"_place": "_one"})
+    rows = passenger_rows(booking_passengers, passengers).where("booking_id IS NOT NULL")
+    # A passenger that stands twice in the table counts twice.
+    repeated = passengers.groupBy("passenger_id").count().where("count > 1")
+    counted = booking_passengers if repeated.isEmpty() else rows
+    sizes = counted.groupBy("booking_id").agg(F.count("*").alias("_size"))
+    wide = stored(sizes.where(F.col("_size") > width).select("booking_id"), "wide-bookings")
+    if wide.isEmpty():
+        return _gathered(rows, width, order)
+    narrow = _gathered(rows.join(wide, "booking_id", "left_anti"), width, order)
+    return narrow.unionByName(_dealt(asked_for(rows, wide, "booking_id"), width, order))
+
+
+def _passenger() -> Column:
+    return F.struct("booking_passenger_id", *PASSENGER_COLUMNS, "seat_number").alias("passenger")
+
+
+def _gathered(rows: DataFrame, width: int, order: tuple[str, ...]) -> DataFrame:
+    """Parts of bookings that one task can hold whole: their rows move once and then lie by booking."""
+    item = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], _passenger())
+    whole = (
+        rows.repartition("booking_id")
+        .groupBy("booking_id")
+        .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["passenger"]).alias("_all"))
+    )
+    starts = F.sequence(F.lit(1), F.size("_all"), F.lit(width))
+    parts = F.transform(starts, lambda start: F.slice("_all", start, F.lit(width)))
+    return whole.select("booking_id", F.posexplode(parts).alias("part", "passengers"))
+
+
+def _dealt(rows: DataFrame, width: int, order: tuple[str, ...]) -> DataFrame:
+    """Parts of bookings of any size: the rows are dealt by range, numbered and dealt again by part."""
+    placed = running(
+        rows.withColumn("_one", F.lit(1)), [F.col("booking_id").asc(), *[F.col(c).asc() for c in order]], {"_place": "_one"}
+    )
     first = placed.groupBy("booking_id").agg(F.min("_place").alias("_first"))
     part = F.floor((F.col("_place") - F.col("_first")) / width).cast("int")
-    item = F.struct("_place", F.struct("booking_passenger_id", *PASSENGER_COLUMNS, "seat_number").alias("passenger"))
     return (
         placed.join(first, "booking_id")
         .withColumn("part", part)
         .repartition("booking_id", "part")
         .groupBy("booking_id", "part")
-        .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["passenger"]).alias("passengers"))
+        .agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("_place", _passenger()))), lambda x: x["passenger"]).alias(
+                "passengers"
+            )
+        )
     )
 
 

@@ -1,6 +1,7 @@
 """Listings: parameters, ties, paging, nesting."""
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -201,6 +202,42 @@ def test_a_very_large_booking_keeps_its_order(spark):
     assert names == sorted(names) and len(set(names)) == 2500
 
 
+def test_narrow_and_wide_bookings_together(spark):
+    rng = random.Random(4)
+    people = [{"passenger_id": i, "last_name": rng.choice(["a", "b", None])} for i in range(30)] + [{"passenger_id": 3, "last_name": "c"}]
+    links = [
+        {"booking_passenger_id": i, "booking_id": rng.choice([1, 1, 1, 2, 3, 4, None]), "passenger_id": rng.choice([3, *range(32)]), "seat_number": f"{i}"}
+        for i in range(120)
+    ]
+    expected = {}
+    for i in sorted(links, key=lambda i: i["booking_passenger_id"]):
+        for p in sorted((p for p in people if p["passenger_id"] == i["passenger_id"]), key=lambda p: p["last_name"] or ""):
+            if i["booking_id"] is not None:
+                expected.setdefault(i["booking_id"], []).append((i["seat_number"], p["last_name"]))
+    for width in (1, 7, 25, 1000):
+        rows = listings.nested_passengers(
+            table(spark, "booking_passengers", *links), table(spark, "passengers", *people), width=width, order=("booking_passenger_id", "last_name")
+        ).collect()
+        got = {(r.booking_id, r.part): [(p.seat_number, p.last_name) for p in r.passengers] for r in rows}
+        assert len(got) == len(rows)
+        assert got == {(b, k // width): x[k : k + width] for b, x in expected.items() for k in range(0, len(x), width)}
+
+
+def test_nested_passengers_move_once(spark, airline):
+    """Behind the join with the passengers, rows lie by booking for the arrays and for the booking they go to."""
+    a = airline
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        detail = listings.booking_detail(a["bookings"], a["flights"], a["airports"])
+        df = listings.booking_with_passengers(detail, a["people"], a["passengers"])
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"Exchange[^\n]*\n([^\n]*)", text)
+    assert sum("last_name" in line for line in moved) == 2  # the passengers themselves, and what they are joined to
+    assert "part#" not in " ".join(re.findall(r"Exchange[^\n]*", text)) and "Window" not in text
+
+
 def test_people(airline):
     assert [r.passenger_id for r in listings.saved_passengers(airline["passengers"], 7).collect()] == [3, 1]
     assert "password" not in listings.users_public(airline["users"]).columns
